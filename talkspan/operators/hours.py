@@ -30,25 +30,26 @@ def with_words(
     return messages.withColumn("words", tx.clean_words(text, stop_words) if words is None else words)
 
 
-def hour_stats(messages: DataFrame) -> DataFrame:
-    """Per cell: messages, words, first and last time. Needs `words` and `hour_idx`."""
-    return messages.groupBy(*CELL).agg(
+def _stats(messages: DataFrame) -> list[Column]:
+    counted = "n_words" in messages.columns
+    n_words = F.col("n_words") if counted else F.size("words").cast("long")
+    return [
         F.count(F.lit(1)).alias("n_msgs"),
-        F.sum(F.size("words").cast("long")).alias("n_words"),
+        F.sum(n_words).alias("n_words"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
-    )
+    ]
+
+
+def hour_stats(messages: DataFrame) -> DataFrame:
+    """Per cell: messages, words, first and last time. Needs `hour_idx`, and `words` or `n_words`."""
+    return messages.groupBy(*CELL).agg(*_stats(messages))
 
 
 def hour_vectors(messages: DataFrame, dim: int) -> DataFrame:
     """`hour_stats` plus the sum of the message vectors `vec` (fixed point)."""
-    return messages.groupBy(*CELL).agg(
-        F.count(F.lit(1)).alias("n_msgs"),
-        F.sum(F.size("words").cast("long")).alias("n_words"),
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
-        vx.sum_vectors(F.col("vec"), dim).alias("vec"),
-    )
+    total = vx.sum_vectors(F.col("vec"), dim).alias("vec")
+    return messages.groupBy(*CELL).agg(*_stats(messages), total)
 
 
 def hour_word_counts(messages: DataFrame, words: str = "words") -> DataFrame:

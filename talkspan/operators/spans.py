@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talkspan.functions import vectors as vx
@@ -55,6 +56,18 @@ def _span_p(prefix: np.ndarray, start: int, rows: np.ndarray) -> np.ndarray:
     return vx.softmax_rows(cosine_rows(prefix[start + 1 :] - prefix[start], rows))
 
 
+def running(hours: DataFrame, dim: int) -> DataFrame:
+    """Running sums per sender in hour order: `prefix` vector and `msgs_so_far`. The vector of a span
+    is the difference of two prefixes."""
+    so_far = W.partitionBy("sender").orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return hours.select(
+        "sender",
+        "ord",
+        F.sum("n_msgs").over(so_far).alias("msgs_so_far"),
+        F.array(*[F.sum(F.col("vec")[i]).over(so_far) for i in range(dim)]).alias("prefix"),
+    )
+
+
 def _sorted_hours(hours: DataFrame) -> DataFrame:
     return (
         hours.select("sender", "hour_idx", "n_msgs", "vec")
