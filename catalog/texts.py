@@ -88,19 +88,21 @@ FREQUENT = 4
 
 @query(
     "fn_spell",
-    f"""WITH v AS (SELECT word, sum(n)::BIGINT AS n FROM doc_words GROUP BY word),
-        known AS (SELECT * FROM v WHERE n >= {FREQUENT}),
-        chars AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v),
-        once AS (SELECT DISTINCT word, left(word, i - 1) || substr(word, i + 1) AS form FROM chars),
-        twice AS (SELECT DISTINCT word, left(form, i - 1) || substr(form, i + 1) AS form FROM (
-            SELECT word, form, unnest(range(1, length(form) + 1)) AS i FROM once)),
-        forms AS (SELECT word, word AS form FROM v UNION SELECT * FROM once UNION SELECT * FROM twice),
-        pairs AS (SELECT DISTINCT l.word, r.word AS candidate FROM forms l JOIN forms r USING (form)
-            JOIN known k ON k.word = r.word WHERE l.word NOT IN (SELECT word FROM known)),
-        best AS (SELECT word, arg_min(candidate, (d, -n, candidate)) AS fixed FROM (
+    "SELECT v.word, coalesce(best.fixed, v.word) AS fixed FROM counted v LEFT JOIN best USING (word)",
+    {
+        "counted": "SELECT word, sum(n)::BIGINT AS n FROM doc_words GROUP BY word",
+        "known": f"SELECT * FROM counted WHERE n >= {FREQUENT}",
+        "once": """SELECT DISTINCT word, left(word, i - 1) || substr(word, i + 1) AS form FROM (
+            SELECT word, unnest(range(1, length(word) + 1)) AS i FROM counted)""",
+        "twice": """SELECT DISTINCT word, left(form, i - 1) || substr(form, i + 1) AS form FROM (
+            SELECT word, form, unnest(range(1, length(form) + 1)) AS i FROM once)""",
+        "forms": "SELECT word, word AS form FROM counted UNION SELECT * FROM once UNION SELECT * FROM twice",
+        "pairs": """SELECT DISTINCT l.word, r.word AS candidate FROM forms l JOIN forms r USING (form)
+            JOIN known k ON k.word = r.word WHERE l.word NOT IN (SELECT word FROM known)""",
+        "best": """SELECT word, arg_min(candidate, (d, -n, candidate)) AS fixed FROM (
             SELECT p.word, candidate, k.n, damerau_levenshtein(p.word, candidate) AS d
-            FROM pairs p JOIN known k ON k.word = candidate) WHERE d <= 2 GROUP BY word)
-        SELECT v.word, coalesce(best.fixed, v.word) AS fixed FROM v LEFT JOIN best USING (word)""",
+            FROM pairs p JOIN known k ON k.word = candidate) WHERE d <= 2 GROUP BY word""",
+    },
 )
 def fn_spell(spark, sf):
     vocabulary = hr.vocabulary(b.docs(spark, sf))
@@ -150,16 +152,17 @@ def prov_factory(spark, sf):
 def stored_words(spark, sf):
     """A vector table of the distinct cleaned words of the documents: `text, vec, frequency`."""
     vocabulary = hr.vocabulary(b.docs(spark, sf))
-    return vocabulary.select(
-        F.col("word").alias("text"), em.hashed_word(F.col("word"), b.HASH_DIM).alias("vec"), F.col("n").alias("frequency")
-    )
+    vecs = em.hashed_words(vocabulary.select("word"), b.HASH_DIM)
+    return vocabulary.join(vecs, "word").select(F.col("word").alias("text"), "vec", F.col("n").alias("frequency"))
 
 
 def offered_words(spark, sf):
     """Words of the benchmark texts, one row per occurrence, with the vectors of a new model."""
-    rows = sm.table(spark, sf, "benchmark").select(F.explode(tx.clean_words(F.col("text"))).alias("text"))
-    vec = F.transform(em.hashed_word(F.col("text"), b.HASH_DIM), lambda x: -x)
-    return rows.select("text", vec.alias("vec"))
+    rows = sm.table(spark, sf, "benchmark").select(F.explode(tx.clean_words(F.col("text"))).alias("word"))
+    vecs = em.hashed_words(rows.distinct(), b.HASH_DIM)
+    return rows.join(vecs, "word").select(
+        F.col("word").alias("text"), F.transform("vec", lambda x: -x).alias("vec")
+    )
 
 
 def vec_text(vec="vec"):
@@ -887,9 +890,14 @@ def prov_pandas(spark, sf):
     return em.embed_texts(texts, provider).select("text_hash", vec_text())
 
 
+KEYWORD_THRESHOLD = 0.2
+
+
 @query("find_blocks_keyword")
 def find_blocks_keyword(spark, sf):
     """Greedy blocks in the baseline keyword mode over the sample messages."""
-    hours = hr.hour_texts(b.worded(spark, sf))
-    found = kb.keyword_blocks(hours, b.text_model(spark, pm.BASELINE), 0.2)
+    hours = hr.hour_texts(b.worded(spark, sf)).persist()
+    model = b.text_model(spark, pm.BASELINE)
+    scored = kb.score_hours(hours, model).persist()
+    found = kb.keyword_blocks(hours, scored, model, KEYWORD_THRESHOLD)
     return found.select("sender", "topic_idx", "block_no", "start_ord", "end_ord", b.rounded(F.col("p")).alias("p"))

@@ -17,10 +17,8 @@ BLANK_ENDS = r"^\s+|\s+$"
 
 
 def _without(words: Column, stop_words: Iterable[str] | None) -> Column:
-    stop = sorted(set(DEFAULT_STOP_WORDS if stop_words is None else stop_words))
-    if not stop:
-        return F.filter(words, lambda w: w != "")
-    return F.filter(words, lambda w: (w != "") & ~w.isin(stop))
+    stop = sorted({"", *(DEFAULT_STOP_WORDS if stop_words is None else stop_words)})
+    return F.filter(words, lambda w: ~w.isin(stop))
 
 
 def message_text(text: Column, null_text: str | None = None) -> Column:

@@ -8,7 +8,7 @@ Cosines are scale free, which makes the fixed-point factor invisible in every sc
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column
@@ -32,6 +32,11 @@ def sum_vectors(vec: Column, dim: int, weight: Column | None = None) -> Column:
     return F.array(*[F.sum(vec[i] if weight is None else vec[i] * weight) for i in range(dim)])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` evaluated once, however often the body mentions it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
@@ -43,21 +48,30 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """0 when either vector is zero or missing."""
-    size = norm(a) * norm(b)
-    return F.coalesce(F.when(size > 0, dot(a, b) / size), F.lit(0.0))
+    return ratio(dot(a, b), norm(a) * norm(b))
+
+
+def ratio(num: Column, den: Column) -> Column:
+    """num / den, 0 where the denominator is 0 or missing."""
+    return F.coalesce(num / F.nullif(den, F.lit(0.0)), F.lit(0.0))
 
 
 def unit(a: Column) -> Column:
     """Unit vector; the zero vector stays zero."""
-    return F.transform(a, lambda x: x.cast("double") / F.when(norm(a) > 0, norm(a)).otherwise(1.0))
+    length = F.coalesce(F.nullif(norm(a), F.lit(0.0)), F.lit(1.0))
+    return let(length, lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
 def softmax(scores: Column) -> Column:
     """Softmax of an array of scores."""
-    top = F.array_max(scores)
-    weights = F.transform(scores, lambda s: F.exp(s - top))
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(weights, lambda w: w / total)
+
+    def weights(s: Column) -> Column:
+        return let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
+
+    def shares(w: Column) -> Column:
+        return let(F.aggregate(w, F.lit(0.0), lambda acc, x: acc + x), lambda t: F.transform(w, lambda x: x / t))
+
+    return let(let(scores, weights), shares)
 
 
 def matrix(rows: Sequence[Sequence[float]]) -> Column:
@@ -68,10 +82,7 @@ def matrix(rows: Sequence[Sequence[float]]) -> Column:
 
 def cosines(vec: Column, unit_rows: Column) -> Column:
     """Cosine of `vec` with every row of a constant matrix of unit (or zero) rows."""
-    length = norm(vec)
-    return F.transform(
-        unit_rows, lambda row: F.coalesce(F.when(length > 0, dot(vec, row) / length), F.lit(0.0))
-    )
+    return let(norm(vec), lambda n: F.transform(unit_rows, lambda row: ratio(dot(vec, row), n)))
 
 
 def unit_rows(rows: Sequence[Sequence[float]]) -> np.ndarray:

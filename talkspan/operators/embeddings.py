@@ -6,7 +6,7 @@ Word2Vec fitted on the corpus, or from any Python model run in Arrow batches on
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
@@ -37,23 +37,18 @@ def trigrams(word: Column) -> Column:
     )
 
 
-def hashed_word(word: Column, dim: int) -> Column:
-    """Signed trigram hashing: md5 of each trigram picks a dimension and a sign."""
-    codes = F.transform(
-        trigrams(word), lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("bigint")
+def hashed_words(words: DataFrame, dim: int) -> DataFrame:
+    """`word, vec` of distinct words by signed trigram hashing: the md5 of each trigram picks a
+    dimension and a sign. The sums stay on the partitioning that made the words distinct."""
+    grams = words.select("word", F.explode(trigrams(F.col("word"))).alias("gram"))
+    code = F.conv(F.substring(F.md5("gram"), 1, 8), 16, 10).cast("bigint")
+    sign = F.when(F.floor(F.col("code") / dim) % 2 == 0, F.lit(vx.SCALE)).otherwise(F.lit(-vx.SCALE))
+    placed = grams.withColumn("code", code).select(
+        "word", (F.col("code") % dim).alias("d"), sign.cast("bigint").alias("s")
     )
-    zero = F.array_repeat(F.lit(0).cast("bigint"), dim)
-    return F.aggregate(
-        codes,
-        zero,
-        lambda acc, c: F.transform(
-            acc,
-            lambda x, i: x
-            + F.when(
-                c % dim == i,
-                F.when(F.floor(c / dim) % 2 == 0, F.lit(vx.SCALE)).otherwise(F.lit(-vx.SCALE)),
-            ).otherwise(F.lit(0)),
-        ),
+    none = F.lit(0).cast("bigint")
+    return placed.groupBy("word").agg(
+        F.array(*[F.sum(F.when(F.col("d") == i, F.col("s")).otherwise(none)) for i in range(dim)]).alias("vec")
     )
 
 
@@ -72,13 +67,10 @@ class HashProvider:
     def __init__(self, dim: int = 64) -> None:
         self.dim = dim
 
-    def word_vector(self, word: Column) -> Column:
-        return hashed_word(word, self.dim)
-
     def vectors(self, texts: DataFrame) -> DataFrame:
         """Tokens are counted per text and hashed once per distinct word."""
         counts = token_counts(texts, "text_hash", "text")
-        vecs = sum_word_vectors(counts, self.lexicon(counts), "text_hash", self.dim)
+        vecs = sum_word_vectors(counts, self.lexicon(counts), ["text_hash"], self.dim)
         zero = F.array_repeat(F.lit(0).cast("bigint"), self.dim)
         return (
             texts.select("text_hash")
@@ -88,7 +80,7 @@ class HashProvider:
 
     def lexicon(self, counts: DataFrame) -> DataFrame:
         """`word, vec` of the distinct words of a count table."""
-        return counts.select("word").distinct().withColumn("vec", self.word_vector(F.col("word")))
+        return hashed_words(counts.select("word").distinct(), self.dim)
 
 
 def token_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -97,12 +89,12 @@ def token_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
     return long.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def sum_word_vectors(counts: DataFrame, lexicon: DataFrame, key: str, dim: int) -> DataFrame:
+def sum_word_vectors(counts: DataFrame, lexicon: DataFrame, key: Sequence[str], dim: int) -> DataFrame:
     """Text vectors from word counts. A word has one row per text, so even the most common word is
     spread over its texts; adaptive skew handling splits it, and small lexicons are broadcast."""
     return (
         counts.join(lexicon, "word")
-        .groupBy(key)
+        .groupBy(*key)
         .agg(vx.sum_vectors(F.col("vec"), dim, F.col("n")).alias("vec"))
     )
 
@@ -133,16 +125,17 @@ class Word2VecProvider:
             vectorSize=dim, minCount=min_count, seed=seed, maxIter=1, inputCol="words", outputCol="v"
         ).fit(corpus.select("words"))
 
-    def lexicon(self) -> DataFrame:
+    def lexicon(self, counts: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
         vec = vx.fixed_point(vector_to_array(F.col("vector")))
-        return self.model.getVectors().select("word", vec.alias("vec"))
+        learned = self.model.getVectors().select("word", vec.alias("vec"))
+        return counts.select("word").distinct().join(learned, "word")
 
     def vectors(self, texts: DataFrame) -> DataFrame:
         long = texts.select("text_hash", F.explode(tx.clean_words(F.col("text"))).alias("word"))
         counts = long.groupBy("text_hash", "word").agg(F.count(F.lit(1)).alias("n"))
-        vecs = sum_word_vectors(counts, self.lexicon(), "text_hash", self.dim)
+        vecs = sum_word_vectors(counts, self.lexicon(counts), ["text_hash"], self.dim)
         zero = F.array_repeat(F.lit(0).cast("bigint"), self.dim)
         return (
             texts.select("text_hash")

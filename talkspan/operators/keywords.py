@@ -82,9 +82,8 @@ def word_freq(docs: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def lexicon(counted: DataFrame, provider: EmbeddingProvider) -> DataFrame:
     """`word, vec` of the distinct words, each computed once."""
-    if hasattr(provider, "word_vector"):
-        words = counted.select("word").distinct()
-        return words.withColumn("vec", provider.word_vector(F.col("word")))
+    if hasattr(provider, "lexicon"):
+        return provider.lexicon(counted)
     return word_vectors(counted, provider)
 
 

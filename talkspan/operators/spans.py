@@ -88,10 +88,11 @@ def span_starts(hours: DataFrame, space: TopicSpace, threshold: float) -> DataFr
         best = np.empty((n, n_topics))
         end = np.empty((n, n_topics), dtype=np.int32)
         for i in range(n):
-            p = np.floor(_span_p(prefix, i, rows) * PLACES + 0.5)
-            passing[i] = (p >= unit).sum(axis=0)
-            at = p.argmax(axis=0)
-            best[i] = p[at, np.arange(n_topics)] / PLACES
+            p = _span_p(prefix, i, rows)
+            rounded = np.floor(p * PLACES + 0.5)
+            passing[i] = (rounded >= unit).sum(axis=0)
+            at = rounded.argmax(axis=0)
+            best[i] = p.max(axis=0)
             end[i] = i + 1 + at
         starts = np.repeat(np.arange(1, n + 1, dtype=np.int32), n_topics)
         return pa.RecordBatch.from_arrays(
