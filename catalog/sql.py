@@ -159,7 +159,7 @@ PARTS |= {
 def greedy(thresholds, gate: float = 0.0) -> dict[str, str]:
     """CTEs `own`, `walk`, `blocks`: the greedy rule, hour by hour, for several thresholds."""
     levels = ", ".join(f"({t}::DOUBLE)" for t in thresholds)
-    gated = f" AND sim >= {gate}" if gate > 0 else ""
+    gated = f" AND {passes('sim', gate)}" if gate > 0 else ""
     return {
         "levels": f"SELECT * FROM (VALUES {levels}) v(threshold)",
         "own": f"""SELECT l.threshold, h.sender, h.ord, h.topic_idx, h.p,

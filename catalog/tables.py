@@ -161,7 +161,7 @@ def flt_seed(spark, sf):
     return kept.withColumn("p", b.rounded(F.col("p")))
 
 
-@query("flt_prefilter", SEEDS + f" AND sim >= {b.GATE}")
+@query("flt_prefilter", SEEDS + f" AND {passes('sim', b.GATE)}")
 def flt_prefilter(spark, sf):
     kept = bk.seeds(b.scored_hours(spark, sf), b.THRESHOLD, b.GATE)
     return kept.withColumn("p", b.rounded(F.col("p")))
@@ -240,8 +240,8 @@ def set_vocab(spark, sf):
 
 @query(
     "agg_gate_stats",
-    f"""SELECT count(*) AS checked, count(*) FILTER (WHERE sim < {b.GATE}) AS skipped,
-        {fixed(f'100.0::DOUBLE * count(*) FILTER (WHERE sim < {b.GATE}) / count(*)', 4)} AS skipped_pct
+    f"""SELECT count(*) AS checked, count(*) FILTER (WHERE NOT {passes('sim', b.GATE)}) AS skipped,
+        {fixed(f"100.0::DOUBLE * count(*) FILTER (WHERE NOT {passes('sim', b.GATE)}) / count(*)", 4)} AS skipped_pct
         FROM hour_sims""",
 )
 def agg_gate_stats(spark, sf):

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from catalog import base as b
 from catalog.registry import query
-from catalog.sql import STOP, as_lists, cosine, fixed, greedy, hash_long, softmax_rows, words
+from catalog.sql import STOP, as_lists, cosine, fixed, greedy, hash_long, passes, softmax_rows, words
 from talkspan import params as pm
 from talkspan.functions import text as tx
 from talkspan.functions import vectors as vx
+from talkspan.operators import blocks as bk
 from talkspan.operators import embeddings as em
 from talkspan.operators import hours as hr
 from talkspan.operators import keyword_blocks as kb
@@ -19,13 +20,15 @@ from talkspan.operators import metrics as mt
 from talkspan.operators import scoring as sc
 from talkspan.operators import topics as tp
 from talkspan.operators import vocab as vo
-from talkspan.plans import pipeline as pl
+from talkspan.plans import jobs as jb
 from talkspan.sources import labels as lb
 from talkspan.sources import messages as ms
 from talkspan.sources import sample as sm
 from talkspan.sources import sinks as sk
 from talkspan.sources import vector_table as vt
 
+ZERO = f"list_transform(range({b.HASH_DIM}), lambda x: 0::BIGINT)"
+
 # ---- text functions
 
 
@@ -122,11 +125,10 @@ def agg_word_freq(spark, sf):
 
 @query(
     "prov_hash",
-    "SELECT doc_id, array_to_string(vec, ',') AS vec FROM dv",
+    f"SELECT doc_id, array_to_string(coalesce(vec, {ZERO}), ',') AS vec FROM documents LEFT JOIN dv USING (doc_id)",
 )
 def prov_hash(spark, sf):
-    found = b.language_vectors(spark, sf).where(F.size(tx.tokens(F.col("text"))) > 0)
-    return found.select("doc_id", F.array_join(F.col("vec").cast("array<string>"), ",").alias("vec"))
+    return b.language_vectors(spark, sf).select("doc_id", F.array_join(F.col("vec").cast("array<string>"), ",").alias("vec"))
 
 
 @query(
@@ -291,13 +293,14 @@ def store_clear(spark, sf):
 
 @query(
     "join_embed",
-    "SELECT o.text, (s.text IS NOT NULL) AS stored, array_to_string(coalesce(s.vec, v.vec), ',') AS vec "
-    "FROM offered o JOIN offer_vecs v ON v.word = o.text LEFT JOIN stored s ON s.text = o.text WHERE length(o.text) > 1",
+    f"""SELECT o.text, (s.text IS NOT NULL) AS stored, array_to_string(coalesce(s.vec,
+            CASE WHEN length(o.text) > 1 THEN v.vec ELSE {ZERO} END), ',') AS vec
+        FROM offered o JOIN offer_vecs v ON v.word = o.text LEFT JOIN stored s ON s.text = o.text""",
     STORE,
 )
 def join_embed(spark, sf):
     store = stored_words(spark, sf).withColumn("text_hash", tx.text_key(F.col("text")))
-    texts = offered_words(spark, sf).where(F.length("text") > 1).select("text")  # tokens of the provider
+    texts = offered_words(spark, sf).select("text")
     found = em.embed_texts(texts, em.HashProvider(b.HASH_DIM), store)
     return found.select("text", "stored", vec_text())
 
@@ -354,14 +357,12 @@ def fn_norm(spark, sf):
     "fn_text_sim",
     f"""SELECT doc_id, {fixed(cosine('d.vec', 'l.vec'))} AS similarity FROM (
         SELECT doc_id, lower(name) AS word FROM documents CROSS JOIN default_topics WHERE name = 'Technology') p
-        JOIN dv d USING (doc_id) JOIN wv l USING (word)""",
+        LEFT JOIN dv d USING (doc_id) JOIN wv l USING (word)""",
 )
 def fn_text_sim(spark, sf):
     rows = b.docs(spark, sf).select("doc_id", F.col("text").alias("left"), F.lit("TECHNOLOGY").alias("right"))
     found = em.text_similarity(rows, em.HashProvider(b.HASH_DIM))
-    return found.where(F.size(tx.tokens(F.col("left"))) > 0).select(
-        "doc_id", b.rounded(F.col("similarity")).alias("similarity")
-    )
+    return found.select("doc_id", b.rounded(F.col("similarity")).alias("similarity"))
 
 
 @query(
@@ -485,7 +486,7 @@ HYBRID_GATE = {
 
 @query(
     "score_hybrid",
-    f"""SELECT p.doc_id, p.topic_idx::BIGINT AS topic_idx, {fixed('p.p')} AS p, (s.sim >= 0.1) AS gate
+    f"""SELECT p.doc_id, p.topic_idx::BIGINT AS topic_idx, {fixed('p.p')} AS p, ({passes('s.sim', 0.1)}) AS gate
         FROM doc_p p JOIN doc_sims s USING (doc_id, topic_idx)""",
     BASE | HYBRID_GATE,
 )
@@ -499,7 +500,7 @@ def score_hybrid(spark, sf):
     gates = sc.with_cosines_native(keyed.join(vecs, "text_hash"), b.named_topics(spark, main))
     both = p.join(gates.select("doc_id", "sims"), "doc_id")
     rows = both.select("doc_id", F.posexplode(F.arrays_zip("p", "sims")).alias("topic_idx", "x"))
-    return rows.select("doc_id", "topic_idx", b.rounded(F.col("x.p")).alias("p"), (F.col("x.sims") >= 0.1).alias("gate"))
+    return rows.select("doc_id", "topic_idx", b.rounded(F.col("x.p")).alias("p"), bk.passes(F.col("x.sims"), 0.1).alias("gate"))
 
 
 @query("score_auto", DOC_P, score_parts(space="2"))
@@ -562,7 +563,7 @@ def fn_uniform(spark, sf):
 )
 def predict_topic(spark, sf):
     model = b.text_model(spark, pm.BASELINE)
-    return pl.predict(b.docs(spark, sf), b.DOC, pm.RunParams(), model)
+    return jb.predict(b.docs(spark, sf), b.DOC, pm.RunParams(), model)
 
 
 @query(
@@ -591,7 +592,7 @@ def embed_topics(spark, sf):
 
 @query(
     "embed_texts",
-    """SELECT DISTINCT sha256(text) AS text_hash, array_to_string(coalesce(vec, list_transform(range(16), lambda x: 0)), ',') AS vec
+    f"""SELECT DISTINCT sha256(text) AS text_hash, array_to_string(coalesce(vec, {ZERO}), ',') AS vec
         FROM documents LEFT JOIN dv USING (doc_id)""",
 )
 def embed_texts(spark, sf):
@@ -676,7 +677,7 @@ def eval_labelled(spark, sf):
     provider = em.HashProvider(b.HASH_DIM)
     space = tp.topic_space(b.languages(spark, sf), b.HASH_DIM)
     params = pm.RunParams(topics=space.names, use_keywords=False, lemmatize=False)
-    return pl.labelled_accuracy(rows, params, model=None, provider=provider, space=space)["confusion"]
+    return jb.labelled_accuracy(rows, params, model=None, provider=provider, space=space)["confusion"]
 
 
 # ---- runs
@@ -801,13 +802,13 @@ def fn_run_name(spark, sf):
 def text_run(spark, sf, **changes):
     """A run over the sample messages and default topics, direct mode in the hashed space."""
     params = pm.RunParams(threshold=b.TEXT_THRESHOLD, use_keywords=False, lemmatize=False).with_(**changes)
-    return pl.analyse(sm.messages(spark, sf), params, em.HashProvider(b.HASH_DIM), em.HashProvider(b.HASH_DIM))
+    return jb.analyse(sm.messages(spark, sf), params, em.HashProvider(b.HASH_DIM), em.HashProvider(b.HASH_DIM))
 
 
 @query("evaluate")
 def evaluate(spark, sf):
     run = text_run(spark, sf)
-    return pl.run_document(run, "sample", "2024-01-31T00:00:00", 1.0).select(
+    return jb.run_document(run, "sample", "2024-01-31T00:00:00", 1.0).select(
         "run_name", "config.accuracy_fingerprint", "performance.total_messages", "quality.num_segments",
         "quality.avg_probability",
     )
@@ -824,7 +825,7 @@ def agg_run_cost(spark, sf):
 def sink_eval(spark, sf):
     base = b.scratch(spark, "eval")
     run = text_run(spark, sf)
-    document = pl.run_document(run, "sample", "2024-01-31T00:00:00", 1.0)
+    document = jb.run_document(run, "sample", "2024-01-31T00:00:00", 1.0)
     summary, topics = mt.summary(run.segments), mt.topic_distribution(run.segments)
     sk.write_run(document, run.with_transcripts(), summary, topics, base, "sample")
     run.release()
@@ -859,7 +860,7 @@ def fn_json(spark, sf):
 
 @query("score_lda")
 def score_lda(spark, sf):
-    docs = b.docs(spark, sf).where(F.size("words") > 0)
+    docs = b.docs(spark, sf)
     counts, model = ld.fit(docs, len(pm.DEFAULT_TOPICS))
     return b.long_rounded(ld.score(docs, b.DOC, counts, model), "doc_id")
 

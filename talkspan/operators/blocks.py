@@ -34,7 +34,7 @@ PLACES = 1e9  # probabilities meet thresholds after rounding to nine places
 
 
 def passes(p, threshold: float):
-    """Column form of the threshold test, `p >= threshold` on nine places."""
+    """Column form of every threshold and gate test: `p >= threshold` on nine places."""
     return F.floor(p * F.lit(PLACES) + F.lit(0.5)) >= F.lit(_units(threshold))
 
 
@@ -42,18 +42,16 @@ def _units(threshold: float) -> int:
     return int(np.floor(threshold * PLACES + 0.5))
 
 
-def gate_flags(sims, gate: float):
-    """Per topic: does the hour pass the similarity gate? Unknown texts and gate 0 always pass."""
-    if gate <= 0:
-        return F.transform(sims, lambda s: F.lit(True))
-    return F.transform(sims, lambda s: F.coalesce(s, F.lit(1.0)) >= F.lit(gate))
+def _open(sim, gate: float):
+    """Does a similarity pass the gate? Unknown texts do."""
+    return passes(F.coalesce(sim, F.lit(1.0)), gate)
 
 
 def gate_stats(hours: DataFrame, gate: float, sims: str = "sims") -> DataFrame:
     """Hours checked and skipped, counted once per (sender, topic) check."""
     checked = F.coalesce(F.sum(F.size(sims)), F.lit(0)).cast("long")
     skipped = F.coalesce(
-        F.sum(F.size(F.filter(F.col(sims), lambda s: F.coalesce(s, F.lit(1.0)) < F.lit(gate)))), F.lit(0)
+        F.sum(F.size(F.filter(F.col(sims), lambda s: ~_open(s, gate)))), F.lit(0)
     ).cast("long")
     if gate <= 0:
         skipped = F.lit(0).cast("long")
@@ -65,11 +63,11 @@ def gate_stats(hours: DataFrame, gate: float, sims: str = "sims") -> DataFrame:
 def seeds(scored: DataFrame, threshold: float, gate: float = 0.0) -> DataFrame:
     """Rows `sender, topic_idx, ord, hour_idx, p` of the seed hours. Needs `p` (array), and `sims`
     (array) when there is a gate."""
-    kept = scored.select("sender", "ord", "hour_idx", F.posexplode("p").alias("topic_idx", "p"), *(["sims"] if gate > 0 else []))
+    extra = ["sims"] if gate > 0 else []
+    kept = scored.select("sender", "ord", "hour_idx", F.posexplode("p").alias("topic_idx", "p"), *extra)
     kept = kept.where(passes(F.col("p"), threshold))
     if gate > 0:
-        sim = F.coalesce(F.get(F.col("sims"), F.col("topic_idx")), F.lit(1.0))
-        kept = kept.where(sim >= F.lit(gate)).drop("sims")
+        kept = kept.where(_open(F.get(F.col("sims"), F.col("topic_idx")), gate)).drop("sims")
     return kept.select("sender", "topic_idx", "ord", "hour_idx", "p")
 
 
@@ -266,7 +264,8 @@ def greedy_blocks(
             seed = np.tile(np.floor(p * PLACES + 0.5), (1, n_sets)) >= units
             if gate > 0:
                 sims = batch.column(gate_sims).flatten().fill_null(1.0)
-                open_gate = sims.to_numpy(zero_copy_only=False).reshape(-1, n_topics) >= gate
+                sims = np.floor(sims.to_numpy(zero_copy_only=False).reshape(-1, n_topics) * PLACES + 0.5)
+                open_gate = sims >= _units(gate)
                 seed &= np.tile(open_gate, (1, n_sets))
             names = batch.column("sender").to_pylist()
             hour_idx = batch.column("hour_idx").to_pylist()
