@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCALE = 1_000_000
+UNROLLED = 64
 
 
 def fixed_point(vec: Column) -> Column:
@@ -42,6 +43,17 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def dot_of(a: Column, b: Column, dim: int) -> Column:
+    """`dot` for a known length. Written out it compiles to plain arithmetic, which pays off when
+    there are many rows; long vectors keep the array form, whose size does not grow."""
+    if dim > UNROLLED:
+        return dot(a, b)
+    total = F.lit(0.0)
+    for i in range(dim):
+        total = total + a[i].cast("double") * b[i].cast("double")
+    return total
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 

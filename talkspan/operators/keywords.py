@@ -81,30 +81,35 @@ def word_freq(docs: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def lexicon(counted: DataFrame, provider: EmbeddingProvider) -> DataFrame:
-    """`word, vec` of the distinct words, each computed once."""
-    if hasattr(provider, "lexicon"):
-        return provider.lexicon(counted)
-    return word_vectors(counted, provider)
+    """`word, vec, size` of the distinct words, each computed once."""
+    found = provider.lexicon(counted) if hasattr(provider, "lexicon") else word_vectors(counted, provider)
+    return found.withColumn("size", vx.norm(F.col("vec")))
 
 
 def _document_vectors(
     docs: DataFrame, with_vec: DataFrame, key: Sequence[str], provider: EmbeddingProvider, source: str
 ) -> DataFrame:
-    """`key, doc_vec`. Additive providers sum word vectors; the others embed the document text."""
+    """`key, doc_vec, doc_size`. Additive providers sum word vectors; the others embed the document text."""
     if provider.additive:
         weight = {
             "text": F.col("n_tok"),
             "words": F.when(F.length("word") > 1, F.col("n_word")).otherwise(F.lit(0)),
         }[source]
-        return with_vec.groupBy(*key).agg(vx.sum_vectors(F.col("vec"), provider.dim, weight).alias("doc_vec"))
+        sums = with_vec.groupBy(*key).agg(vx.sum_vectors(F.col("vec"), provider.dim, weight).alias("doc_vec"))
+        return sums.withColumn("doc_size", vx.norm(F.col("doc_vec")))
     body = F.col("text") if source == "text" else F.array_join("words", " ")
     keyed = docs.select(*key, body.alias("text")).withColumn("text_hash", tx.text_key(F.col("text")))
     texts = keyed.select("text_hash", "text").dropDuplicates(["text_hash"])
-    return keyed.join(provider.vectors(texts), "text_hash").select(*key, F.col("vec").alias("doc_vec"))
+    return keyed.join(provider.vectors(texts), "text_hash").select(
+        *key, F.col("vec").alias("doc_vec"), vx.norm(F.col("vec")).alias("doc_size")
+    )
 
 
-def _relevance(vec: Column, doc_vec: Column) -> Column:
-    return vx.cosine(vec, doc_vec)
+def _relevance(dim: int) -> Column:
+    """Cosine of word and document; both lengths are worked out once per word and per document."""
+    return vx.ratio(
+        vx.dot_of(F.col("vec"), F.col("doc_vec"), dim), F.col("size") * F.col("doc_size")
+    )
 
 
 def extract(docs: DataFrame, key: Sequence[str], model: KeywordModel) -> DataFrame:
@@ -121,7 +126,7 @@ def extract(docs: DataFrame, key: Sequence[str], model: KeywordModel) -> DataFra
         with_vec.where("candidate")
         .join(doc_vec, list(key))
         .join(n_words, list(key))
-        .withColumn("relevance", vx.fixed(_relevance(F.col("vec"), F.col("doc_vec")), 4))
+        .withColumn("relevance", vx.fixed(_relevance(model.extract.dim), 4))
     )
     order = W.partitionBy(*key).orderBy(F.desc("relevance"), "word")
     ranked = candidates.withColumn("rank", F.row_number().over(order))
@@ -146,8 +151,8 @@ def weighted_keywords(docs: DataFrame, key: Sequence[str], model: KeywordModel)
     doc_vec = _document_vectors(docs, with_vec, key, model.compare, model.relevance)
     return (
         found.join(doc_vec, list(key))
-        .withColumn("relevance", _relevance(F.col("vec"), F.col("doc_vec")))
-        .drop("doc_vec")
+        .withColumn("relevance", _relevance(model.compare.dim))
+        .drop("doc_vec", "doc_size", "size")
     )
 
 
