@@ -68,7 +68,7 @@ LEMMA_FORMS = " UNION ALL ".join(
     ["SELECT word, word AS form FROM v"]
     + [
         f"SELECT word, left(word, length(word) - {len(e)}) || '{r}' FROM v "
-        f"WHERE suffix(word, '{e}') AND length(word) > {len(e)}"
+        f"WHERE suffix(word, '{e}')"
         for e, r in ENDINGS
     ]
 )

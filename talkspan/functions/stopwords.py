@@ -2,8 +2,8 @@
 
 DEFAULT_STOP_WORDS = tuple(
     """
-    about above across after again against all almost alone along already also although always am
-    among an and another any anyone anything are around as at
+    a about above across after again against all almost alone along already also although always am
+    among an and another any anything are around as at
     back be became because become been before behind being below between both but by
     can cannot could
     did do does done down during
@@ -11,12 +11,12 @@ DEFAULT_STOP_WORDS = tuple(
     few first for from further
     get give go
     had has have he hence her here hers herself him himself his how however
-    if in indeed into is it its itself
+    i if in indeed into is it its itself
     just keep last least less
-    made many may me meanwhile might mine more most much must my myself
+    made many may me might mine more most much must my myself
     neither never next no nobody none nor not nothing now
     of off often on once one only onto or other others our ours out over own
-    per perhaps please put quite rather really
+    per perhaps please quite rather really
     same say see seem several she should show since so some someone something still such
     take than that the their them then there these they this those through to too toward
     under until up upon us
