@@ -412,6 +412,17 @@ def join_block_msgs(spark, sf):
     )
 
 
+@query(
+    "agg_captured",
+    """SELECT sum(n_msgs * n)::BIGINT AS messages_captured, sum(n_msgs)::BIGINT AS distinct_messages_captured
+        FROM (SELECT sender, hour_idx, count(*) AS n FROM block_hours GROUP BY ALL)
+        JOIN hour_stats USING (sender, hour_idx)""",
+    ONE | BLOCK_HOURS,
+)
+def agg_captured(spark, sf):
+    return sg.captured(b.blocks(spark, sf), hr.hour_stats(b.worded(spark, sf)))
+
+
 TRANSCRIPT = {
     "transcripts": f"""SELECT threshold, sender, topic_idx, block_no,
         string_agg({LINE}, chr(10) ORDER BY hour_idx, row_id) AS chat_summary

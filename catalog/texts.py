@@ -131,15 +131,11 @@ def prov_hash(spark, sf):
     return b.language_vectors(spark, sf).select("doc_id", F.array_join(F.col("vec").cast("array<string>"), ",").alias("vec"))
 
 
-@query(
-    "prov_interface",
-    "SELECT lower(name) AS word, array_to_string(vec, ',') AS vec FROM tv",
-)
+@query("prov_interface", "SELECT word, array_to_string(vec, ',') AS vec FROM (SELECT DISTINCT word FROM doc_tokens) JOIN wv USING (word)")
 def prov_interface(spark, sf):
-    """The provider's text interface over one text per row (the topic names)."""
-    topics = ms.topics_frame(spark, pm.DEFAULT_TOPICS).select(F.lower("name").alias("word"))
-    vecs = em.word_vectors(topics, em.make_provider("hash", dim=b.HASH_DIM))
-    return vecs.select("word", F.array_join(F.col("vec").cast("array<string>"), ",").alias("vec"))
+    """The provider's text interface, one text per distinct word."""
+    counted = em.token_counts(b.docs(spark, sf), "doc_id", "text")
+    return em.word_vectors(counted, em.make_provider("hash", dim=b.HASH_DIM)).select("word", vec_text())
 
 
 @query("prov_factory", "SELECT count(DISTINCT word) AS n_words, 'hash,pandas,table,word2vec' AS names FROM doc_tokens")
@@ -575,14 +571,27 @@ def win_argmax(spark, sf):
     return b.scored_hours(spark, sf).select("sender", "ord", sc.most_likely(F.col("p")).alias("topic_idx"))
 
 
+SOURCE_TOPICS = {"source_words": "SELECT DISTINCT source AS word FROM documents"}
+for _d in (b.HASH_DIM, b.OTHER_DIM):
+    SOURCE_TOPICS |= {
+        f"source_long{_d}": hash_long(_d, "source_words"),
+        f"source_vecs{_d}": as_lists(f"source_long{_d}", "word", _d),
+    }
+
+
 @query(
     "embed_topics",
-    "SELECT topic_idx::BIGINT AS topic_idx, name, 16::BIGINT AS space, array_to_string(vec, ',') AS vec FROM tv "
-    "UNION ALL SELECT topic_idx, name, 24, array_to_string(vec, ',') FROM tv2",
+    " UNION ALL ".join(
+        f"SELECT row_number() OVER (ORDER BY word) - 1 AS topic_idx, word AS name, {d}::BIGINT AS space, "
+        f"array_to_string(vec, ',') AS vec FROM source_vecs{d}"
+        for d in (b.HASH_DIM, b.OTHER_DIM)
+    ),
+    SOURCE_TOPICS,
 )
 def embed_topics(spark, sf):
-    """The default topic names and the languages that occur, in two spaces."""
-    topics = ms.topics_frame(spark, pm.DEFAULT_TOPICS)
+    """The document sources as topic names, in two spaces."""
+    listed = sm.table(spark, sf, "documents").select("source").distinct().orderBy("source")
+    topics = ms.topics_frame(spark, [r["source"] for r in listed.collect()])  # a short list of names
     both = [
         em.embed_topics(topics, em.HashProvider(d)).select("topic_idx", "name", F.lit(d).alias("space"), vec_text())
         for d in (b.HASH_DIM, b.OTHER_DIM)

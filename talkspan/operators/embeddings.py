@@ -113,17 +113,22 @@ class TableProvider:
 
 
 class Word2VecProvider:
-    """Text vector = sum of Word2Vec vectors of its cleaned words; fitted on a corpus of `words`."""
+    """Text vector = sum of Word2Vec vectors of its cleaned words; fitted on a corpus of `words`.
+
+    Training runs on `partitions` parts of the corpus (by default one per core) and averages them.
+    """
 
     additive = True
 
-    def __init__(self, corpus: DataFrame, dim: int = 32, min_count: int = 2, seed: int = 7) -> None:
+    def __init__(
+        self, corpus: DataFrame, dim: int = 32, min_count: int = 1, seed: int = 7, partitions: int | None = None
+    ) -> None:
         from pyspark.ml.feature import Word2Vec
 
         self.dim = dim
-        self.model = Word2Vec(
-            vectorSize=dim, minCount=min_count, seed=seed, maxIter=1, inputCol="words", outputCol="v"
-        ).fit(corpus.select("words"))
+        parts = partitions or corpus.sparkSession.sparkContext.defaultParallelism
+        trainer = Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, maxIter=1, numPartitions=parts)
+        self.model = trainer.setInputCol("words").setOutputCol("v").fit(corpus.select("words"))
 
     def lexicon(self, counts: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array

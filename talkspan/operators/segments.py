@@ -47,6 +47,17 @@ def transcripts(parts: DataFrame) -> DataFrame:
     ).select(*BLOCK_KEY, F.array_join("ordered.lines", "\n").alias("chat_summary"))
 
 
+def captured(blocks: DataFrame, hours: DataFrame) -> DataFrame:
+    """One row: messages counted once per block, and messages counted once however many blocks hold
+    their cell. Needs the cells' `n_msgs`."""
+    cells = block_hours(blocks).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_blocks"))
+    joined = cells.join(hours.select(*CELL, "n_msgs"), list(CELL))
+    return joined.agg(
+        F.coalesce(F.sum(F.col("n_msgs") * F.col("n_blocks")), F.lit(0)).alias("messages_captured"),
+        F.coalesce(F.sum("n_msgs"), F.lit(0)).alias("distinct_messages_captured"),
+    )
+
+
 def bounds(blocks: DataFrame) -> DataFrame:
     """Adds `duration_s`; first and last message times count in whole seconds."""
     start = F.date_trunc("second", F.col("start_ts").cast("timestamp"))

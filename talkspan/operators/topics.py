@@ -35,12 +35,6 @@ class TopicSpace:
         return vx.matrix(self.rows.tolist())
 
 
-def fits_in_plan(topics: DataFrame, dim: int) -> bool:
-    """Whether topics x dim stays below the bound, without reading more rows than that."""
-    most = max(MAX_CONSTANT_NUMBERS // dim, 1)
-    return topics.select("topic_idx").limit(most + 1).count() <= most
-
-
 def topic_space(topics: DataFrame, dim: int) -> TopicSpace:
     """Reads `topic_idx, name, vec`. Refuses lists beyond the bound, which `scoring` joins instead."""
     most = max(MAX_CONSTANT_NUMBERS // dim, 1)

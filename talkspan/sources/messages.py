@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 REQUIRED = ("Chatroom", "Sender", "Timestamp", "Text")
-MESSAGE_COLUMNS = ("row_id", "chatroom", "sender", "ts", "text", "prompt")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
