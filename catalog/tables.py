@@ -396,7 +396,7 @@ BLOCK_HOURS = {
 )
 def join_block_hours(spark, sf):
     stats = hr.hour_stats(b.worded(spark, sf)).select(*hr.CELL, "n_words", "n_msgs")
-    return bk.block_hours(b.blocks(spark, sf)).join(stats, list(hr.CELL)).drop("threshold")
+    return bk.block_hours(b.blocks(spark, sf)).join(stats, list(hr.CELL)).drop("level")
 
 
 @query(

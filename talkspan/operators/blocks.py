@@ -26,10 +26,12 @@ from talkspan.operators.scoring import cosine_rows, list_matrix
 from talkspan.operators.topics import TopicSpace
 
 BLOCK_SCHEMA = (
-    "threshold double, sender string, topic_idx int, block_no int, start_ord int, end_ord int, "
+    "level int, threshold double, sender string, topic_idx int, block_no int, start_ord int, end_ord int, "
     "n_hours int, n_msgs bigint, start_ts timestamp_ntz, end_ts timestamp_ntz, p double, "
     "hour_idxs array<int>"
 )
+# A block's key. `level` numbers the thresholds of a walk; floating-point numbers make poor join keys.
+BLOCK_KEY = ("level", "sender", "topic_idx", "block_no")
 PLACES = 1e9  # probabilities meet thresholds after rounding to nine places
 
 
@@ -112,7 +114,7 @@ class _Output:
     """Closed blocks of one batch, column by column."""
 
     def __init__(self) -> None:
-        self.columns: list[list] = [[] for _ in range(12)]
+        self.columns: list[list] = [[] for _ in range(13)]
 
     def add(self, *values) -> None:
         for column, value in zip(self.columns, values):
@@ -123,18 +125,19 @@ class _Output:
         ts = pa.timestamp("us")
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(c[0], pa.float64()),
-                pa.array(c[1], pa.string()),
-                pa.array(c[2], pa.int32()),
+                pa.array(c[0], pa.int32()),
+                pa.array(c[1], pa.float64()),
+                pa.array(c[2], pa.string()),
                 pa.array(c[3], pa.int32()),
                 pa.array(c[4], pa.int32()),
                 pa.array(c[5], pa.int32()),
                 pa.array(c[6], pa.int32()),
-                pa.array(c[7], pa.int64()),
-                pa.array(c[8], pa.int64()).cast(ts),
+                pa.array(c[7], pa.int32()),
+                pa.array(c[8], pa.int64()),
                 pa.array(c[9], pa.int64()).cast(ts),
-                pa.array(c[10], pa.float64()),
-                pa.array(c[11], pa.list_(pa.int32())),
+                pa.array(c[10], pa.int64()).cast(ts),
+                pa.array(c[11], pa.float64()),
+                pa.array(c[12], pa.list_(pa.int32())),
             ],
             names=[part.strip().split(" ")[0] for part in BLOCK_SCHEMA.split(", ")],
         )
@@ -175,6 +178,7 @@ class _Sender:
             k, topic = divmod(int(m), self.n_topics)
             self.count[m] += 1
             self.out.add(
+                k,
                 self.thresholds[k],
                 self.name,
                 topic,
@@ -304,5 +308,5 @@ def vector_blocks(
 def block_hours(blocks: DataFrame) -> DataFrame:
     """One row per hour of each block."""
     return blocks.select(
-        "threshold", "sender", "topic_idx", "block_no", F.posexplode("hour_idxs").alias("pos", "hour_idx")
+        *BLOCK_KEY, F.posexplode("hour_idxs").alias("pos", "hour_idx")
     )

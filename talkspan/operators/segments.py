@@ -11,11 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkspan.functions import text as tx
-from talkspan.operators.blocks import block_hours
+from talkspan.operators.blocks import BLOCK_KEY, block_hours
 from talkspan.operators.hours import CELL, _in_order, _slice
 
-BLOCK_KEY = ("threshold", "sender", "topic_idx", "block_no")
-
 
 def line_slices(messages: DataFrame, null_text: str | None = None) -> DataFrame:
     """Transcript lines per cell in slices: `sender, hour_idx, slice, lines, n_lines`."""
@@ -77,7 +75,7 @@ def named(blocks: DataFrame, names) -> DataFrame:
 def segments(blocks: DataFrame, names) -> DataFrame:
     """Typed segments without transcript."""
     return named(bounds(blocks), names).select(
-        *BLOCK_KEY, "topic", "start_ts", "end_ts", "duration_s", "n_hours", "n_msgs", "p", "hour_idxs"
+        *BLOCK_KEY, "threshold", "topic", "start_ts", "end_ts", "duration_s", "n_hours", "n_msgs", "p", "hour_idxs"
     )
 
 
