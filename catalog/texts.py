@@ -11,6 +11,7 @@ from talkspan import params as pm
 from talkspan.functions import text as tx
 from talkspan.functions import vectors as vx
 from talkspan.operators import blocks as bk
+from talkspan.operators import cells as ce
 from talkspan.operators import embeddings as em
 from talkspan.operators import hours as hr
 from talkspan.operators import keyword_blocks as kb
@@ -383,6 +384,15 @@ def vec_topk_topics(spark, sf):
     return found.withColumn("sim", b.rounded(F.col("sim")))
 
 
+@query("vec_topk_cells", NEAREST)
+def vec_topk_cells(spark, sf):
+    vecs = sm.vectors(spark, sf).select("vec_id", "vec")
+    centres = ce.fit_centres(vecs, 16)
+    assigned = ce.assign(vecs, centres)
+    found = ce.nearest(assigned, ce.measure(assigned, centres), b.label_space(spark, sf), 5, "vec_id")
+    return found.withColumn("sim", b.rounded(F.col("sim")))
+
+
 # ---- keyword modes over whole documents
 
 
