@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkspan.llm import repeats
+from talkspan.llm import bpe, decontaminate, repeats, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -70,3 +70,74 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+SQL_HITS = r"""
+WITH lower_docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+lower_items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+grams AS (
+  SELECT DISTINCT item_id, array_to_string(list_slice(ws, i, i + 9), ' ') AS key, least(len(ws), 10) AS width
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM lower_items WHERE len(ws) > 0)),
+widths AS (SELECT DISTINCT width FROM grams),
+pos AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM lower_docs),
+win AS (
+  SELECT doc_id, i, width, array_to_string(list_slice(ws, i, i + width - 1), ' ') AS key
+  FROM pos, widths WHERE i + width - 1 <= len(ws)),
+hits AS (SELECT w.doc_id, w.i, w.width, g.item_id FROM win w JOIN grams g ON w.key = g.key),
+hit_words AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + width)) AS p FROM hits) GROUP BY 1),
+items AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS all_items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
+       sha256(coalesce(all_items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM lower_docs d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN items t USING (doc_id)
+"""
+
+
+@query("op1_benchmark_hits", SQL_HITS)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return hits.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op4_guess_cost_secrets")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.with_findings(docs, keep=["doc_id"])
+    n = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *(n(k).alias(f"n_{k}") for k in secrets.KINDS),
+        F.sha2(secrets.span_text(F.col("findings"), secrets.BASE_KINDS), 256).alias("base_sha256"),
+        secrets.span_text(F.col("findings")).alias("spans"),
+    )
+
+
+def vocabulary() -> str:
+    """Where the public tokenizers are installed on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def ids_text(ids):
+    return F.array_join(ids.cast("array<string>"), ",")
+
+
+@query("op5_segment_tree_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.with_ids(docs, vocabulary(), keep=["doc_id"])
+    both = bpe.with_text(ids, vocabulary())
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
