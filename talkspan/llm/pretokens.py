@@ -132,7 +132,7 @@ class Cutter:
         self.special = {} if encode_special else {
             t["content"]: t["id"] for t in sorted(made["added_tokens"], key=lambda t: -len(t["content"]))
         }
-        self._classes = CharacterClasses(Tokenizer.from_file(path).pre_tokenizer)
+        self.classes = CharacterClasses(Tokenizer.from_file(path).pre_tokenizer)
 
     def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, int]]:
         """Bytes of the texts, starts and ends of the pre-tokens in them, how many each text has, and the ids of the
@@ -153,7 +153,7 @@ class Cutter:
             first[np.searchsorted(at, [a, b])] = True
         # the closing newlines leave, and the character behind one begins a text
         codes, at, first = codes[keep], at[keep], first[keep]
-        begin = borders(codes, first, self._classes.of(codes)) if len(codes) else np.zeros(0, bool)
+        begin = borders(codes, first, self.classes.of(codes)) if len(codes) else np.zeros(0, bool)
         for a, (b, _) in marks.items():
             begin[np.searchsorted(at, a) + 1 : np.searchsorted(at, b)] = False
         starts = at[begin]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkspan.llm import bpe, decontaminate, repeats, secrets
+from talkspan.llm import bpe, captures, decontaminate, repeats, secrets, shards, store, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -141,3 +141,49 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text(F.col("ids")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op2_orc_token_ids")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.fresh_path(spark, "token-ids")
+    token_files.write(table(spark, sf_dir, "documents"), path, vocabulary())
+    return token_files.places(token_files.read(spark, path))
+
+
+N_SHARDS = 8
+
+
+@query("op9_hypergeometric_shards")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    placed = shards.shuffled(docs, N_SHARDS)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+SQL_CAPTURES = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+b32 AS (
+  SELECT page_id, n, list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(h, 1 + 5 * (k // 4), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS INTEGER) + 1, 1)),
+    'string_agg', '') AS digest FROM d),
+firsts AS (SELECT digest, min(page_id) AS first_page FROM b32 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first_page < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_page < page_id THEN first_page END AS refers_to
+FROM b32 JOIN firsts USING (digest)
+"""
+
+
+@query("op3_warc_transactions", SQL_CAPTURES)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.fresh_path(spark, "archives")
+    captures.write(table(spark, sf_dir, "pages"), path)
+    records = store.written(captures.read(spark, path, payloads=False), "records")
+    return captures.resolved(captures.flat(captures.transactions(records)))
