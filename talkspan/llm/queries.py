@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkspan.llm import bpe, captures, decontaminate, repeats, secrets, shards, store, token_files
+from talkspan.llm import (
+    bpe,
+    captures,
+    chat,
+    decontaminate,
+    repeats,
+    secrets,
+    shards,
+    store,
+    token_files,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -187,3 +197,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures.write(table(spark, sf_dir, "pages"), path)
     records = store.written(captures.read(spark, path, payloads=False), "records")
     return captures.resolved(captures.flat(captures.transactions(records)))
+
+
+@query("op10_role_repair")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = chat.repaired(table(spark, sf_dir, "conversations"))
+    return fixed.select("conv_id", "turn", "role", "new_role", "action", "inserted", "price", "fragment")
