@@ -12,6 +12,7 @@ from talkspan.llm import (
     captures,
     chat,
     decontaminate,
+    neardup,
     repeats,
     secrets,
     shards,
@@ -203,3 +204,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = chat.repaired(table(spark, sf_dir, "conversations"))
     return fixed.select("conv_id", "turn", "role", "new_role", "action", "inserted", "price", "fragment")
+
+
+@query("op6_prob_min_hash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.with_class(table(spark, sf_dir, "documents").select("doc_id", "text"))
