@@ -404,9 +404,11 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("keeper")) & (F.col("node") == F.col("keeper_node"))
     gone = found.where(~same | (F.col("n_same") > 1)).select("doc_id", "node")
     twins = found.where(same & (F.col("n_same") > 1)).select("doc_id", "node")
-    rows = with_nodes(docs, text)
-    match = lambda other: rows["doc_id"].eqNullSafe(other["doc_id"]) & (rows["node"] == other["node"])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")
+    rows = with_nodes(docs.select(whole, F.col(text).alias("text")), "text")
+    match = lambda other: F.col("row.doc_id").eqNullSafe(other["doc_id"]) & (rows["node"] == other["node"])
     out = rows.join(gone, match(gone), "left_anti")
     if not twins.isEmpty():  # rows that are repeated whole
-        out = out.unionByName(rows.join(twins, match(twins), "left_semi").dropDuplicates(["doc_id", "node"]))
-    return out.select(*docs.columns)
+        one_each = rows.join(twins, match(twins), "left_semi").withColumn("own_id", F.col("row.doc_id"))
+        out = out.unionByName(one_each.dropDuplicates(["own_id", "node"]).drop("own_id"))
+    return out.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -14,6 +14,7 @@ from talkspan.llm import (
     decontaminate,
     neardup,
     repeats,
+    rollups,
     secrets,
     shards,
     store,
@@ -209,3 +210,47 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_prob_min_hash")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.with_class(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL_TOTALS = r"""
+WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+           FROM documents),
+kept AS (SELECT * FROM d WHERE doc_id = first),
+lines AS (SELECT doc_id, string_split(t, chr(10)) AS l FROM kept),
+once AS (SELECT doc_id, array_to_string(list_distinct(l), chr(10)) AS t FROM lines),
+counts AS (
+  SELECT source, lang, 'words-1' AS version, len(regexp_extract_all(o.t, '[^\x20\x09-\x0D]+')) AS n
+  FROM kept JOIN once o USING (doc_id)
+  UNION ALL
+  SELECT source, lang, 'words-2', len(regexp_extract_all(t, '[0-9]+|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F0-9]+')) FROM kept)
+SELECT source, lang, version, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM counts GROUP BY ALL
+"""
+
+
+@query("op7_delta_rollups", SQL_TOTALS)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizer versions come in, copies of texts leave, and counts are revised to texts without repeated lines;
+    the batch of deletes is delivered twice."""
+    text = F.coalesce("text", F.lit(""))
+    lines = F.split(text, "\n", -1)
+    words = lambda t: F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    counted = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", F.sha2(text, 256).alias("text_hash"), words(text).alias("words_1"),
+        F.regexp_count(text, F.lit(r"[0-9]+|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F0-9]+")).cast("long").alias("words_2"),
+        F.when(F.size(F.array_distinct(lines)) < F.size(lines), words(F.array_join(F.array_distinct(lines), "\n")))
+        .alias("once"),
+    )
+    counted = store.written(counted, "counts")
+    firsts = counted.groupBy("text_hash").agg(F.min("doc_id").alias("first"))
+    copies = counted.join(firsts, "text_hash").where(F.col("doc_id") != F.col("first"))
+    copies = copies.withColumn("version", F.explode(F.array(F.lit("words-1"), F.lit("words-2"))))
+    deletes = copies.select("doc_id", "version", "source", "lang", F.lit(0).alias("n_tokens"), F.lit(rollups.DELETE).alias("op"))
+    revised = counted.where(F.col("once").isNotNull())
+    rollup = rollups.Rollup(spark, store.fresh_path(spark, "rollup"))
+    rollup.apply(1, rollups.count_events(counted, "words-1", rollups.INSERT, "words_1"))
+    rollup.apply(2, rollups.count_events(counted, "words-2", rollups.INSERT, "words_2"))
+    rollup.apply(3, deletes)
+    rollup.apply(4, rollups.count_events(revised, "words-1", rollups.REVISE, "once"))
+    rollup.apply(3, deletes)
+    rollup.compact()
+    return rollup.totals()
