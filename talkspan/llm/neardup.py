@@ -8,15 +8,16 @@ arrivals only. Two texts agree in a register with the probability Jaccard simila
 
 1. Texts with equal words are one node (its 128-bit hash); everything further is about nodes.
 2. Six registers are a band. Nodes with equal bands meet in a bucket. Buckets of up to `SMALL` nodes give their pairs;
-   larger ones give each node's pair with the bucket's leader and are divided by three further registers, again and again,
-   until they are small. So pairs grow with the rows, not with the square of a group, and no group is cut off.
+   larger ones give each node's pairs with the bucket's leaders, the nodes that meet the most others (the centre of a
+   group of copies is one), and are divided by three further registers, again and again, until they are small. So pairs
+   grow with the rows, not with the square of a group, and no group is cut off.
 3. A one-bit sketch of the registers drops pairs that are clearly below the threshold.
 4. Pairs are verified on the whole shingle sets: first each node's best pair, then all pairs that still lie between
    different components. A pair is a link if its probability Jaccard or its plain Jaccard similarity is at least 0.8.
 5. Components of links are classes; the class id is the smallest document id in it.
 
 A pair at similarity 0.8 shares no band with a probability of 3e-6, higher pairs less; in groups so large that buckets are
-divided, a text needs to meet any of its linked texts. No links, nodes or components pass the driver; what is broadcast is a
+divided, a text needs to meet one of its linked texts as a leader or in a small bucket. No links, nodes or components pass the driver; what is broadcast is a
 Bloom filter of fixed size that spares the shuffle of shingle sets that no pair asks for.
 
 Defined results: a text without words is a node with all texts of equal bytes (null and empty are equal) and has no links;
@@ -43,7 +44,7 @@ THRESHOLD = 0.8
 PER_PIECE, BANDS = 3, 42
 PIECES = 2 * BANDS
 REGISTERS = PIECES * PER_PIECE
-SMALL = 16
+SMALL, LEADERS = 16, 4
 #: Pairs go on if the sketch estimates this much: five standard deviations below the threshold.
 LEAST_ESTIMATE = 0.6
 FILTER_BITS = 24
@@ -193,25 +194,36 @@ def _paired(a, b):
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """`a, b`: pairs of nodes that share a bucket, or a leader with each node of a large one."""
+    """`a, b`: pairs of nodes that share a small bucket, or a leader with each node of a large one.
+
+    A node's weight is the number of nodes it meets over all bands: the centre of a group of copies meets the most. The
+    leaders of a large bucket are its heaviest nodes, one of each of `LEADERS` classes.
+    """
     piece = lambda i: F.get("pieces", F.pmod(i, F.lit(PIECES)))
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, piece(2 * b), piece(2 * b + 1))
     )
     rows = nodes.where(F.size("pieces") > 0).select("node", F.posexplode(keys).alias("band", "key"))
-    found, level = [], 0
+    found, level, weight = [], 0, None
     while True:
-        leader = F.min(F.struct(F.xxhash64("node", "key").alias("draw"), "node"))["node"]
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), leader.alias("leader")).where(F.col("n") > 1)
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
         met = store.written(rows.join(sizes, "key"), "near-buckets")
         few = met.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("own"))
         few = few.select("own", F.posexplode("own").alias("i", "a"))
-        few = few.select("a", F.explode(F.slice("own", F.col("i") + 2, F.lit(SMALL))).alias("b"))
-        many = met.where((F.col("n") > SMALL) & (F.col("node") != F.col("leader")))
-        found += [few.distinct(), many.select(*_paired(F.col("node"), F.col("leader"))).distinct()]
+        found.append(few.select("a", F.explode(F.slice("own", F.col("i") + 2, F.lit(SMALL))).alias("b")).distinct())
         crowded = met.where(F.col("n") > SMALL)
+        if crowded.isEmpty():
+            break
+        if weight is None:
+            weight = store.written(crowded.groupBy("node").agg(F.sum("n").alias("weight")), "near-weights")
+        own = crowded.join(weight, "node").select("key", "node", F.struct("weight", "node").alias("rank"))
+        of_class = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(LEADERS)).alias("of_class")
+        leaders = own.groupBy("key", of_class).agg(F.max("rank").alias("rank"))
+        leaders = leaders.select("key", F.col("rank.node").alias("leader"))
+        led = own.join(leaders, "key").where(F.col("node") != F.col("leader"))
+        found.append(led.select(*_paired(F.col("node"), F.col("leader"))).distinct())
         used = 2 + (level if level <= 6 else 6 + 2 ** (level - 6))
-        if used >= PIECES or crowded.isEmpty():  # at last the nodes of a bucket agree in all registers
+        if used >= PIECES:  # the nodes of a bucket agree in all registers
             break
         more = 1 if level < 6 else 2 ** (level - 6)
         again = [piece(2 * F.col("band") + used + k) for k in range(min(more, PIECES - used))]
