@@ -105,26 +105,29 @@ class GuessModel:
 def guess_cost(value: str, ranks: dict[str, float]) -> tuple[float, list[tuple[str, int, int]]]:
     """Decades of guesses of the cheapest segmentation, and its spans as (kind, start, end).
 
-    States after a character: `any` (a span may end here), a copy of the character some places before, a sequence up or
-    down, a keyboard walk. Each step extends its span by one character at a small price; entering a state from `any`
+    States after a character: `any` (a span may end here), brute force, a copy of the character some places before, a
+    sequence up or down, a keyboard walk. Each step extends its span by one character at a small price; entering a state from `any`
     pays for a new span. Words and dates are spans of bounded length taken as a whole. Ties go to the state named first.
     """
     low = value.lower() if len(value.lower()) == len(value) else value
     plain = low.translate(LOOKALIKES)
     longest = max(map(len, ranks), default=0)
-    steps = [("repeat", p) for p in _PERIODS] + [("sequence", 1), ("sequence", -1), ("walk", 0)]
-    best, back = [0.0], [("", 0, 0)]
+    steps = [("brute", 0), *(("repeat", p) for p in _PERIODS), ("sequence", 1), ("sequence", -1), ("walk", 0)]
+    best, back = [0.0], [("", 0)]
     state = [(math.inf, 0)] * len(steps)  # price, and where the span began
     for k, c in enumerate(value):
         entered = []
         for (kind, by), (price, start) in zip(steps, state):
-            if kind == "repeat":
+            enter = _ENTER
+            if kind == "brute":
+                goes, step, enter = True, _brute(c), _SEGMENT
+            elif kind == "repeat":
                 goes, step = k >= by and low[k] == low[k - by], _COPY
             elif kind == "sequence":
                 goes, step = k >= 1 and ord(low[k]) - ord(low[k - 1]) == by and c.isalnum(), _SEQUENCE
             else:
                 goes, step = k >= 1 and (low[k - 1], low[k]) in _NEAR, _WALK
-            fresh = best[k] + _ENTER
+            fresh = best[k] + enter
             if not goes:
                 entered.append((math.inf, 0))
             elif price <= fresh:
@@ -132,8 +135,7 @@ def guess_cost(value: str, ranks: dict[str, float]) -> tuple[float, list[tuple[s
             else:
                 entered.append((fresh + step, k))
         state = entered
-        brute = back[k][0] == "brute"
-        options = [(best[k] + _brute(c) + (0 if brute else _SEGMENT), "brute", back[k][1] if brute else k)]
+        options = [(price, kind, start) for (kind, _), (price, start) in zip(steps, state)]
         for j in range(max(0, k + 1 - longest), k - 1):
             price = ranks.get(low[j : k + 1])
             if price is None and plain[j : k + 1] in ranks:
@@ -146,13 +148,12 @@ def guess_cost(value: str, ranks: dict[str, float]) -> tuple[float, list[tuple[s
                 j = k + 1 - length
                 if j >= 0 and value[j].isdigit() and _DATE.fullmatch(value, j, k + 1):
                     options.append((best[j] + (_YEAR if length == 4 else _FULL_DATE) + _SEGMENT, "date", j))
-        options += [(price, kind, start) for (kind, _), (price, start) in zip(steps, state)]
         price, kind, start = min(options, key=lambda x: x[0])
         best.append(price)
-        back.append((kind, start, k + 1))
+        back.append((kind, start))
     spans, at = [], len(value)
     while at:
-        kind, start, _ = back[at]
+        kind, start = back[at]
         spans.append((kind, start, at))
         at = start
     return best[-1], spans[::-1]
