@@ -49,13 +49,18 @@ def strip_transcript(text: Column) -> Column:
     return F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, TRANSCRIPT_PREFIX, "")), " ")
 
 
+def plain_time(ts: Column, first: int = 1, length: int = 19) -> Column:
+    """`2024-01-31 09:05:00` or a part of it. Read off the zone-less value, so the session's zone plays no part."""
+    return F.substring(ts.cast("timestamp_ntz").cast("string"), first, length)
+
+
 def transcript_line(sender: Column, chatroom: Column, ts: Column, text: Column) -> Column:
     return F.concat(
         sender,
         F.lit(" :: "),
         F.coalesce(chatroom, F.lit("")),
         F.lit(" ["),
-        F.date_format(ts, "yyyy-MM-dd HH:mm:ss"),
+        plain_time(ts),
         F.lit("]: "),
         F.coalesce(text, F.lit("")),
     )

@@ -267,9 +267,10 @@ def greedy_blocks(
                 p = list_matrix(batch.column(own_p), n_topics)
             seed = np.tile(np.floor(p * PLACES + 0.5), (1, n_sets)) >= units
             if gate > 0:
-                sims = batch.column(gate_sims).flatten().fill_null(1.0)
-                sims = np.floor(sims.to_numpy(zero_copy_only=False).reshape(-1, n_topics) * PLACES + 0.5)
+                sims = np.floor(list_matrix(batch.column(gate_sims), n_topics, missing=1.0) * PLACES + 0.5)
                 open_gate = sims >= _units(gate)
+                if "vec" in evidence.columns:  # an hour without a vector is not known, and passes
+                    open_gate |= np.asarray(batch.column("vec").is_null())[:, None]
                 seed &= np.tile(open_gate, (1, n_sets))
             names = batch.column("sender").to_pylist()
             hour_idx = batch.column("hour_idx").to_pylist()

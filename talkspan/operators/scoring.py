@@ -23,11 +23,18 @@ from talkspan.operators.topics import TopicSpace
 NATIVE_NUMBERS = 1_000
 
 
-def list_matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Arrow list column of equal-length vectors as a (rows, dim) matrix, without copying rows."""
+def list_matrix(column: pa.Array, dim: int, missing: float = 0.0) -> np.ndarray:
+    """Arrow list column of equal-length vectors as a (rows, dim) matrix. A null list, or a null in a list, is filled
+    with `missing`, so every row keeps its place."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    given = column.drop_null().flatten().fill_null(missing)
+    rows = given.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    if column.null_count == 0:
+        return rows
+    out = np.full((len(column), dim), float(missing))
+    out[column.is_valid().to_numpy(zero_copy_only=False)] = rows
+    return out
 
 
 def cosine_rows(vecs: np.ndarray, unit_topics: np.ndarray) -> np.ndarray:
@@ -88,19 +95,17 @@ def softmax_long(scores: DataFrame, *keys: str, score: str = "score") -> DataFra
 
 
 def most_likely(p: Column) -> Column:
-    """Index of the highest probability, the lowest index on ties."""
-    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+    """Index of the highest probability, the lowest index on ties. Nine places are compared, as everywhere."""
+    return vx.let(
+        F.transform(p, lambda x: F.floor(x * F.lit(1e9) + F.lit(0.5))),
+        lambda units: (F.array_position(units, F.array_max(units)) - 1).cast("int"),
+    )
 
 
 def topic_name(index: Column, names) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), index + 1)
 
 
-def lift(p: Column, n_topics: int) -> Column:
-    """Probability relative to a text without evidence."""
-    return p * F.lit(float(n_topics))
-
-
 def top_topics(df: DataFrame, space: TopicSpace, k: int, *keys: str) -> DataFrame:
     """Exact k nearest topics of each vector: `keys, rank, topic_idx, sim`, ties by topic order."""
     ranked = F.transform(

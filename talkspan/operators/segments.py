@@ -57,14 +57,11 @@ def captured(blocks: DataFrame, hours: DataFrame) -> DataFrame:
 
 
 def bounds(blocks: DataFrame) -> DataFrame:
-    """Adds `duration_s`; first and last message times count in whole seconds."""
-    start = F.date_trunc("second", F.col("start_ts").cast("timestamp"))
-    end = F.date_trunc("second", F.col("end_ts").cast("timestamp"))
-    return (
-        blocks.withColumn("start_ts", start.cast("timestamp_ntz"))
-        .withColumn("end_ts", end.cast("timestamp_ntz"))
-        .withColumn("duration_s", (F.unix_timestamp(end) - F.unix_timestamp(start)).cast("long"))
-    )
+    """Adds `duration_s`; first and last message times count in whole seconds. All of it on zone-less times: a session
+    zone with a clock change would add or drop an hour."""
+    whole = {c: tx.plain_time(F.col(c)).cast("timestamp_ntz") for c in ("start_ts", "end_ts")}
+    seconds = F.expr("CAST(CAST(end_ts - start_ts AS INTERVAL SECOND) AS BIGINT)")
+    return blocks.withColumns(whole).withColumn("duration_s", seconds)
 
 
 def named(blocks: DataFrame, names) -> DataFrame:
@@ -80,18 +77,30 @@ def segments(blocks: DataFrame, names) -> DataFrame:
 
 
 def with_transcripts(segs: DataFrame, messages: DataFrame, null_text: str | None = None) -> DataFrame:
-    """Adds `chat_summary` as one string per segment."""
-    return segs.join(transcripts(transcript_parts(segs, messages, null_text)), list(BLOCK_KEY), "left")
+    """Adds `chat_summary` as one string per segment. The segment's own columns travel through the same aggregate, so
+    the segments are worked out once."""
+    own = [c for c in segs.columns if c not in (*BLOCK_KEY, "hour_idxs")]
+    hours = segs.select(*BLOCK_KEY, F.struct(*own).alias("own"), F.posexplode("hour_idxs").alias("pos", "hour_idx"))
+    rows = hours.join(line_slices(messages, null_text), list(CELL), "left").groupBy(*BLOCK_KEY).agg(
+        F.any_value("own").alias("own"),
+        F.array_sort(F.collect_list(F.struct("pos", "slice", "hour_idx", "lines"))).alias("ordered"),
+    )
+    return rows.select(
+        *BLOCK_KEY,
+        "own.*",
+        F.array_distinct("ordered.hour_idx").alias("hour_idxs"),
+        F.array_join("ordered.lines", "\n").alias("chat_summary"),
+    ).select(*segs.columns, "chat_summary")
 
 
 def csv_form(segs: DataFrame) -> DataFrame:
     """The nine string columns of the result file."""
     return segs.select(
         F.col("sender").alias("User"),
-        F.date_format("start_ts", "yyyy-MM-dd").alias("Start Date"),
-        F.date_format("start_ts", "HH:mm:ss").alias("Start Time"),
-        F.date_format("end_ts", "yyyy-MM-dd").alias("End Date"),
-        F.date_format("end_ts", "HH:mm:ss").alias("End Time"),
+        tx.plain_time(F.col("start_ts"), 1, 10).alias("Start Date"),
+        tx.plain_time(F.col("start_ts"), 12, 8).alias("Start Time"),
+        tx.plain_time(F.col("end_ts"), 1, 10).alias("End Date"),
+        tx.plain_time(F.col("end_ts"), 12, 8).alias("End Time"),
         tx.duration_text(F.col("duration_s")).alias("Time Duration"),
         F.col("topic").alias("Topic"),
         F.col("p").cast("string").alias("Probability"),

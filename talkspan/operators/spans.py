@@ -1,8 +1,10 @@
 """Exhaustive search: every run of consecutive active hours of a sender is scored.
 
 The number of spans is quadratic in a sender's hours, so spans are scored where the hours are and
-only reduced results leave the task: one row per start hour, or sums per threshold. The hours of one
-sender are bounded by the calendar; only hour rows are shuffled.
+only reduced results leave the task: one row per start hour, or sums per threshold. The work is dealt
+by (sender, range of `START_HOURS` start hours): a range gets the hours from its first start on, so a
+sender with very many hours is worked on by many tasks, at the price of one more copy of an hour row
+for every `START_HOURS` hours before it.
 """
 
 from __future__ import annotations
@@ -17,38 +19,42 @@ from pyspark.sql import functions as F
 
 from talkspan.functions import vectors as vx
 from talkspan.operators.blocks import PLACES, _units
+from talkspan.operators.hours import with_ordinal
 from talkspan.operators.scoring import cosine_rows, list_matrix
 from talkspan.operators.topics import TopicSpace
 
+START_HOURS = 256
 START_SCHEMA = (
     "sender string, topic_idx int, start_ord int, n_spans int, n_passing int, best_p double, best_end int"
 )
 SWEEP_SCHEMA = "threshold double, n_segments bigint, n_msgs bigint, sum_p double"
 
 
-def _per_sender(
-    batches: Iterator[pa.RecordBatch], dim: int, handle: Callable[[str, np.ndarray, np.ndarray], pa.RecordBatch]
+def _per_range(
+    batches: Iterator[pa.RecordBatch], dim: int, handle: Callable[[str, int, np.ndarray, np.ndarray], pa.RecordBatch]
 ) -> Iterator[pa.RecordBatch]:
-    """Cuts sorted hour batches at sender borders and hands over (sender, vectors, messages)."""
-    name: str | None = None
+    """Cuts sorted hour batches at range borders and hands over (sender, range, vectors, messages)."""
+    name: tuple[str, int] | None = None
     vecs: list[np.ndarray] = []
     msgs: list[np.ndarray] = []
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        senders = np.asarray(batch.column("sender").to_pylist(), dtype=object)
+        senders = batch.column("sender").to_pylist()
+        ranges = batch.column("start_range").to_numpy(zero_copy_only=False)
+        keys = list(zip(senders, ranges.tolist()))
         m = list_matrix(batch.column("vec"), dim)
         n = batch.column("n_msgs").to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(senders[1:] != senders[:-1]) + 1).tolist(), len(senders)]
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
         for a, b in zip(cuts, cuts[1:]):
-            if senders[a] != name:
+            if keys[a] != name:
                 if name is not None:
-                    yield handle(name, np.concatenate(vecs), np.concatenate(msgs))
-                name, vecs, msgs = senders[a], [], []
+                    yield handle(*name, np.concatenate(vecs), np.concatenate(msgs))
+                name, vecs, msgs = keys[a], [], []
             vecs.append(m[a:b])
             msgs.append(n[a:b])
     if name is not None:
-        yield handle(name, np.concatenate(vecs), np.concatenate(msgs))
+        yield handle(*name, np.concatenate(vecs), np.concatenate(msgs))
 
 
 def _span_p(prefix: np.ndarray, start: int, rows: np.ndarray) -> np.ndarray:
@@ -69,11 +75,13 @@ def running(hours: DataFrame, dim: int) -> DataFrame:
 
 
 def _sorted_hours(hours: DataFrame) -> DataFrame:
-    return (
-        hours.select("sender", "hour_idx", "n_msgs", "vec")
-        .repartition("sender")
-        .sortWithinPartitions("sender", "hour_idx")
+    """Hours with every start range that needs them, sorted by range and hour."""
+    own = F.floor((F.col("ord") - 1) / F.lit(START_HOURS)).cast("int")
+    dealt = with_ordinal(hours.select("sender", "hour_idx", "n_msgs", "vec")).select(
+        "sender", "ord", "n_msgs", "vec", F.explode(F.sequence(F.lit(0), own)).alias("start_range")
     )
+    order = ("sender", "start_range", "ord")
+    return dealt.repartition("sender", "start_range").sortWithinPartitions(*order)
 
 
 def span_starts(hours: DataFrame, space: TopicSpace, threshold: float) -> DataFrame:
@@ -81,8 +89,8 @@ def span_starts(hours: DataFrame, space: TopicSpace, threshold: float) -> DataFr
     span ends (the shortest on ties)."""
     rows, dim, unit = space.rows, space.dim, _units(threshold)
 
-    def handle(name: str, vecs: np.ndarray, msgs: np.ndarray) -> pa.RecordBatch:
-        n, n_topics = len(vecs), len(rows)
+    def handle(name: str, start_range: int, vecs: np.ndarray, msgs: np.ndarray) -> pa.RecordBatch:
+        n, n_topics, skip = min(len(vecs), START_HOURS), len(rows), start_range * START_HOURS
         prefix = np.vstack([np.zeros((1, dim)), np.cumsum(vecs, axis=0)])
         passing = np.empty((n, n_topics), dtype=np.int32)
         best = np.empty((n, n_topics))
@@ -93,14 +101,14 @@ def span_starts(hours: DataFrame, space: TopicSpace, threshold: float) -> DataFr
             passing[i] = (rounded >= unit).sum(axis=0)
             at = rounded.argmax(axis=0)
             best[i] = p.max(axis=0)
-            end[i] = i + 1 + at
+            end[i] = skip + i + 1 + at
         starts = np.repeat(np.arange(1, n + 1, dtype=np.int32), n_topics)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([name] * (n * n_topics), pa.string()),
                 pa.array(np.tile(np.arange(n_topics, dtype=np.int32), n)),
-                pa.array(starts),
-                pa.array((n + 1 - starts).astype(np.int32)),
+                pa.array((skip + starts).astype(np.int32)),
+                pa.array((len(vecs) + 1 - starts).astype(np.int32)),
                 pa.array(passing.ravel()),
                 pa.array(best.ravel()),
                 pa.array(end.ravel()),
@@ -108,7 +116,7 @@ def span_starts(hours: DataFrame, space: TopicSpace, threshold: float) -> DataFr
             names=["sender", "topic_idx", "start_ord", "n_spans", "n_passing", "best_p", "best_end"],
         )
 
-    return _sorted_hours(hours).mapInArrow(lambda it: _per_sender(it, dim, handle), START_SCHEMA)
+    return _sorted_hours(hours).mapInArrow(lambda it: _per_range(it, dim, handle), START_SCHEMA)
 
 
 def sweep_spans(hours: DataFrame, space: TopicSpace, thresholds: Sequence[float]) -> DataFrame:
@@ -117,13 +125,13 @@ def sweep_spans(hours: DataFrame, space: TopicSpace, thresholds: Sequence[float]
     levels = [float(t) for t in thresholds]
     units = np.asarray([_units(t) for t in levels], dtype=np.float64)
 
-    def handle(name: str, vecs: np.ndarray, msgs: np.ndarray) -> pa.RecordBatch:
+    def handle(name: str, start_range: int, vecs: np.ndarray, msgs: np.ndarray) -> pa.RecordBatch:
         prefix = np.vstack([np.zeros((1, dim)), np.cumsum(vecs, axis=0)])
         sent = np.concatenate([[0], np.cumsum(msgs)])
         count = np.zeros(len(units), dtype=np.int64)
         messages = np.zeros(len(units), dtype=np.int64)
         total = np.zeros(len(units))
-        for i in range(len(vecs)):
+        for i in range(min(len(vecs), START_HOURS)):
             p = _span_p(prefix, i, rows)
             rounded = np.floor(p * PLACES + 0.5)
             length = sent[i + 1 :] - sent[i]
@@ -137,7 +145,7 @@ def sweep_spans(hours: DataFrame, space: TopicSpace, thresholds: Sequence[float]
             names=["threshold", "n_segments", "n_msgs", "sum_p"],
         )
 
-    partial = _sorted_hours(hours).mapInArrow(lambda it: _per_sender(it, dim, handle), SWEEP_SCHEMA)
+    partial = _sorted_hours(hours).mapInArrow(lambda it: _per_range(it, dim, handle), SWEEP_SCHEMA)
     return sweep_table(partial)
 
 

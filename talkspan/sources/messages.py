@@ -5,14 +5,19 @@ from __future__ import annotations
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 REQUIRED = ("Chatroom", "Sender", "Timestamp", "Text")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Chat export with a header and quoted, possibly multi-line text. All columns as strings."""
+def read_csv(spark: SparkSession, path: str, bad_times: str = "fail") -> DataFrame:
+    """Chat export with a header and quoted, possibly multi-line text. All columns as strings.
+
+    A file with line ends inside texts can only be read from its beginning, so each file is one task; write large
+    exports as several files, or hand a parquet or JSON table with a sequence column to `from_raw`.
+    """
     raw = (
         spark.read.option("header", True)
         .option("multiLine", True)
@@ -20,7 +25,26 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         .option("escape", '"')
         .csv(path)
     )
-    return from_raw(raw)
+    return from_raw(numbered(raw), bad_times, "row_id")
+
+
+def numbered(raw: DataFrame) -> DataFrame:
+    """`raw`, as read from files, with `row_id` in the order of file names, then of rows in the file.
+
+    Spark packs files into tasks by size, so the order of its own numbering is not that of the files. One small job
+    finds where each file (or split of one) begins.
+    """
+    rows = raw.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_at"),
+        F.monotonically_increasing_id().alias("_nth"),
+    )
+    parts = rows.groupBy("_file", "_at").agg(F.min("_nth").alias("_first"))  # one row per file or split
+    parts = parts.withColumn("_part", F.row_number().over(W.orderBy("_file", "_at")))
+    inside = F.col("_nth") - F.col("_first")
+    row_id = F.shiftleft(F.col("_part").cast("long"), 40) + inside
+    return rows.join(parts, ["_file", "_at"]).withColumn("row_id", row_id).drop("_file", "_at", "_nth", "_first", "_part")
 
 
 def require_columns(df: DataFrame, needed=REQUIRED) -> DataFrame:
@@ -47,23 +71,38 @@ def with_prompt(df: DataFrame, name: str = "prompt") -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.lit(""))
 
 
-def from_raw(raw: DataFrame) -> DataFrame:
+def from_raw(raw: DataFrame, bad_times: str = "fail", sequence: str | None = None) -> DataFrame:
     """A frame in export form (any reader) as `messages`.
 
-    File order is meaning, since texts are joined in it: `row_id` grows along partitions and rows.
+    Order is meaning, since texts are joined in it: `sequence` names a whole-number column that gives it, otherwise
+    `row_id` grows along partitions and rows. A time that can't be read is an error, or with `bad_times="keep"` a null
+    that `unreadable` reports; a missing time is a null either way.
     """
+    if bad_times not in ("fail", "keep"):
+        raise ValueError("bad_times is 'fail' or 'keep'")
     require_columns(raw)
     df = with_prompt(raw, "Prompt")
+    told = F.col("Timestamp").cast("string")
+    ts = parse_ts(told)
+    if bad_times == "fail":
+        complaint = F.raise_error(F.concat(F.lit("unreadable message time: "), told)).cast("timestamp_ntz")
+        ts = F.when(told.isNotNull() & ts.isNull(), complaint).otherwise(ts)
+    row_id = F.monotonically_increasing_id() if sequence is None else F.col(sequence).cast("long")
     return df.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        row_id.alias("row_id"),
         F.col("Chatroom").alias("chatroom"),
         F.col("Sender").alias("sender"),
-        parse_ts(F.col("Timestamp").cast("string")).alias("ts"),
+        ts.alias("ts"),
         F.col("Text").alias("text"),
         F.coalesce(F.col("Prompt"), F.lit("")).alias("prompt"),
     )
 
 
+def unreadable(messages: DataFrame) -> DataFrame:
+    """Messages without a time. No date range holds them, so a run that keeps bad times reports them here."""
+    return messages.where(F.col("ts").isNull())
+
+
 def between_dates(messages: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Both ends inclusive, either optional. Plain comparisons on `ts`, so they reach the scan."""
     if start is not None:
