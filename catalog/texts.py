@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import base as b
 from catalog.registry import query
-from catalog.sql import STOP, as_lists, cosine, fixed, greedy, hash_long, passes, softmax_rows, words
+from catalog.sql import STOP, as_lists, cosine, dot, fixed, greedy, hash_long, passes, softmax_rows, words
 from talkspan import params as pm
 from talkspan.functions import text as tx
 from talkspan.functions import vectors as vx
@@ -910,6 +910,72 @@ def prov_pandas(spark, sf):
     return em.embed_texts(texts, provider).select("text_hash", vec_text())
 
 
+def load_letter_model():
+    """Stands in for an embedding model: letter counts scaled to length one, so vectors of texts don't add up."""
+    import numpy as np
+
+    def encode(texts):
+        counts = np.asarray([[t.count(c) + t.count(c.upper()) for c in LETTERS] for t in texts], dtype=float)
+        return counts / np.maximum(np.sqrt((counts * counts).sum(axis=1, keepdims=True)), 1e-9)
+
+    return encode
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+MODEL_THRESHOLD = 0.066
+
+
+def letter_counts(text: str) -> str:
+    one = f"length({text}) - length(replace(replace({text}, c, ''), upper(c), ''))"
+    return f"list_transform(string_split('{','.join(LETTERS)}', ','), lambda c: {one})"
+
+
+def unit_millionths(vec: str) -> str:
+    return f"list_transform({vec}, lambda x: floor(x / sqrt({dot(vec, vec)}) * 1e6 + 0.5))"
+
+
+_WALK = greedy([MODEL_THRESHOLD])
+MODEL_BLOCKS = _WALK | {
+    "hours": """SELECT s.*, v.vec, row_number() OVER (PARTITION BY s.sender ORDER BY s.hour_idx) AS ord
+        FROM hour_stats s JOIN hour_sums v USING (sender, hour_idx) WHERE n_words > 0""",
+    "hour_sums": f"""SELECT sender, hour_idx, list(s ORDER BY i) AS vec FROM (
+        SELECT sender, hour_idx, i, sum(v)::BIGINT AS s FROM (
+            SELECT sender, hour_idx, unnest(counts) AS v, generate_subscripts(counts, 1) AS i
+            FROM (SELECT sender, hour_idx, {letter_counts('text')} AS counts FROM worded)) GROUP BY ALL)
+        GROUP BY sender, hour_idx""",
+    "model_topics": f"""SELECT topic_idx, name, {unit_millionths('counts')} AS vec
+        FROM (SELECT *, {letter_counts('name')} AS counts FROM default_topics)""",
+    "topic_rows": f"""SELECT list(list_transform(vec, lambda x: x / sqrt({dot('vec', 'vec')})) ORDER BY topic_idx) AS rows
+        FROM model_topics""",
+    "hour_sims": f"""SELECT h.sender, h.ord, h.hour_idx, h.n_msgs, t.topic_idx, {cosine('h.seen', 't.vec')} AS sim
+        FROM (SELECT *, {unit_millionths('vec')} AS seen FROM hours) h CROSS JOIN model_topics t""",
+    "walk": _WALK["walk"].replace(
+        "list_dot_product(r, joined::DOUBLE[])", "list_dot_product(r, seen::DOUBLE[])"
+    ).replace(
+        "sqrt(list_dot_product(joined::DOUBLE[], joined::DOUBLE[]))", "sqrt(list_dot_product(seen::DOUBLE[], seen::DOUBLE[]))"
+    ).replace(
+        "FROM (SELECT w.threshold, w.sender", f"FROM (SELECT *, {unit_millionths('joined')} AS seen FROM (SELECT w.threshold, w.sender"
+    ) + ")",
+}
+
+
+@query(
+    "find_blocks_model",
+    f"""SELECT sender, topic_idx::BIGINT AS topic_idx, block_no, start_ord, end_ord, n_msgs, {fixed('p')} AS p
+        FROM blocks""",
+    MODEL_BLOCKS,
+)
+def find_blocks_model(spark, sf):
+    """A whole run in direct mode with a model whose vectors don't add up: blocks are scored on their joined text."""
+    params = pm.RunParams(threshold=MODEL_THRESHOLD, use_keywords=False, lemmatize=False)
+    params = params.with_(start_date=sm.START, end_date=sm.END)
+    provider = em.make_provider("pandas", load=load_letter_model, dim=len(LETTERS))
+    found = jb.analyse(sm.messages(spark, sf), params, provider).blocks
+    return found.select(
+        "sender", "topic_idx", "block_no", "start_ord", "end_ord", "n_msgs", b.rounded(F.col("p")).alias("p")
+    )
+
+
 KEYWORD_THRESHOLD = 0.2
 
 
