@@ -135,17 +135,6 @@ def languages(spark, sf) -> DataFrame:
     return sums.select(F.col("lang").alias("topic_idx"), F.col("lang").alias("name"), "vec")
 
 
-def language_pairs(spark, sf) -> DataFrame:
-    """`sample_id, truth, pred`: nearest language of each document."""
-    space = tp.topic_space(languages(spark, sf), HASH_DIM)
-    scored = sc.with_direct_p(language_vectors(spark, sf), space)
-    return scored.select(
-        F.col("doc_id").alias("sample_id"),
-        F.col("lang").alias("truth"),
-        sc.topic_name(sc.most_likely(F.col("p")), space.names).alias("pred"),
-    )
-
-
 def label_pairs(spark, sf) -> DataFrame:
     """`sample_id, truth, pred`: nearest label of each vector."""
     space = label_space(spark, sf)

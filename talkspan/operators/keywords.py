@@ -112,16 +112,16 @@ def _relevance(dim: int) -> Column:
     )
 
 
-def extract(docs: DataFrame, key: Sequence[str], model: KeywordModel) -> DataFrame:
+def extract(docs: DataFrame, key: Sequence[str], model: KeywordModel, counted: DataFrame | None = None) -> DataFrame:
     """Ranked keywords `key, rank, keyword, relevance, freq, vec`.
 
     Candidates are ranked by cosine with the document (four places), then by word; a document keeps
     as many as it has cleaned words, and at most `top_n`.
     """
-    counted = bags(docs, key, model.stop_words)
+    counted = bags(docs, key, model.stop_words) if counted is None else counted
     with_vec = counted.join(lexicon(counted, model.extract), "word")
     doc_vec = _document_vectors(docs, with_vec, key, model.extract, "text")
-    n_words = docs.select(*key, F.size("words").alias("n_words"))
+    n_words = counted.groupBy(*key).agg(F.sum("n_word").alias("n_words"))
     candidates = (
         with_vec.where("candidate")
         .join(doc_vec, list(key))
@@ -139,10 +139,10 @@ def extract(docs: DataFrame, key: Sequence[str], model: KeywordModel) -> DataFra
 
 def weighted_keywords(docs: DataFrame, key: Sequence[str], model: KeywordModel) -> DataFrame:
     """Keywords with the relevance the mode asks for and `vec` in the comparing space."""
-    found = extract(docs, key, model)
+    counted = bags(docs, key, model.stop_words)
+    found = extract(docs, key, model, counted)
     if model.one_space and model.relevance == "extraction":
         return found
-    counted = bags(docs, key, model.stop_words)
     lex = lexicon(counted, model.compare)
     found = found.drop("vec").join(lex.withColumnRenamed("word", "keyword"), "keyword")
     if model.relevance == "extraction":
