@@ -258,5 +258,8 @@ def resolved(captures: DataFrame) -> DataFrame:
     """The result of `flat` with the page that holds the payload in `refers_to` instead of its record."""
     first = captures.where(F.col("record_type") == "response")
     first = first.groupBy(F.col("record_id").alias("refers_to")).agg(F.min("page_id").alias("first_page"))
-    out = captures.join(first, "refers_to", "left")
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("first_page").alias("refers_to"))
+    # a response refers to nothing; it looks for itself, so that responses don't meet under a null key
+    out = captures.withColumn("key", F.coalesce("refers_to", "record_id"))
+    out = out.join(first.withColumnRenamed("refers_to", "key"), "key", "left")
+    page = F.when(F.col("refers_to").isNotNull(), F.col("first_page")).alias("refers_to")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", page)
