@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from catalog import base as b
@@ -827,7 +828,9 @@ def text_run(spark, sf, **changes):
 @query("evaluate")
 def evaluate(spark, sf):
     run = text_run(spark, sf)
-    return jb.run_document(run, "sample", "2024-01-31T00:00:00", 1.0).select(
+    document = jb.run_document(run, "sample", "2024-01-31T00:00:00", 1.0)
+    run.release()  # the document is a finished row
+    return document.select(
         "run_name", "config.accuracy_fingerprint", "performance.total_messages", "quality.num_segments",
         "quality.avg_probability",
     )
@@ -982,8 +985,8 @@ KEYWORD_THRESHOLD = 0.2
 @query("find_blocks_keyword")
 def find_blocks_keyword(spark, sf):
     """Greedy blocks in the baseline keyword mode over the sample messages."""
-    hours = hr.hour_texts(b.worded(spark, sf)).persist()
+    hours = hr.hour_texts(b.worded(spark, sf)).persist(StorageLevel.DISK_ONLY)  # whole texts: not in the heap
     model = b.text_model(spark, pm.BASELINE)
-    scored = kb.score_hours(hours, model).persist()
+    scored = kb.score_hours(hours, model).persist(StorageLevel.DISK_ONLY)
     found = kb.keyword_blocks(hours, scored, model, KEYWORD_THRESHOLD)
     return found.select("sender", "topic_idx", "block_no", "start_ord", "end_ord", b.rounded(F.col("p")).alias("p"))

@@ -1,11 +1,12 @@
-"""Frames that are read more than once, worked out once."""
+"""Frames that are read more than once, and how much of a frame a Python worker gets at a time."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 16 << 20
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows of `df` without their history, kept in the folder named by spark.checkpoint.dir: every later reader gets
@@ -16,3 +17,10 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="talkspan-"))
     return df.checkpoint()
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches end by bytes too: rows that hold whole bags of words would fill memory by the ten thousand."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))

@@ -115,19 +115,19 @@ class TableProvider:
 class Word2VecProvider:
     """Text vector = sum of Word2Vec vectors of its cleaned words; fitted on a corpus of `words`.
 
-    Training runs on `partitions` parts of the corpus (by default one per core) and averages them.
+    Training runs on `partitions` parts of the corpus and averages them, so the vectors depend on that number: it is a
+    parameter and not the size of the cluster. The driver holds the vocabulary while training, `min_count` bounds it.
     """
 
     additive = True
 
     def __init__(
-        self, corpus: DataFrame, dim: int = 32, min_count: int = 1, seed: int = 7, partitions: int | None = None
+        self, corpus: DataFrame, dim: int = 32, min_count: int = 1, seed: int = 7, partitions: int = 8
     ) -> None:
         from pyspark.ml.feature import Word2Vec
 
         self.dim = dim
-        parts = partitions or corpus.sparkSession.sparkContext.defaultParallelism
-        trainer = Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, maxIter=1, numPartitions=parts)
+        trainer = Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, maxIter=1, numPartitions=partitions)
         self.model = trainer.setInputCol("words").setOutputCol("v").fit(corpus.select("words"))
 
     def lexicon(self, counts: DataFrame) -> DataFrame:

@@ -65,10 +65,6 @@ def message_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def messages_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages(spark, sf_dir).join(message_vectors(spark, sf_dir), "row_id")
-
-
 def label_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten topics, the centroids of the labels: `topic_idx, name, vec`."""
     return (
