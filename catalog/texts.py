@@ -388,8 +388,8 @@ def vec_topk_topics(spark, sf):
 @query("vec_topk_cells", NEAREST)
 def vec_topk_cells(spark, sf):
     vecs = sm.vectors(spark, sf).select("vec_id", "vec")
-    centres = ce.fit_centres(vecs, 16)
-    assigned = ce.assign(vecs, centres)
+    centres = ce.fit_centres(vecs, ce.n_cells_for(vecs.count()))
+    assigned = ce.written(ce.assign(vecs, centres), b.scratch(spark, "cells"))
     found = ce.nearest(assigned, ce.measure(assigned, centres), b.label_space(spark, sf), 5, "vec_id")
     return found.withColumn("sim", b.rounded(F.col("sim")))
 
