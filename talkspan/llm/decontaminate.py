@@ -9,8 +9,8 @@ first), one scan of the texts per part, so that what is broadcast is bounded wha
 scans follow each other within one stage, and each adds its hits to the row; nothing is shuffled.
 
 Defined results: null and empty texts have no words and no hits; items without words are not searched for; equal rows
-get equal results; items with the same `item_id` count once. Input columns that carry the name of a result column are
-replaced.
+get equal results; items with the same `item_id` count once, an item without one goes by the empty id. Input columns that
+carry the name of a result column are replaced.
 """
 
 from __future__ import annotations
@@ -54,7 +54,8 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - width + 1, F.lit(1)))
     at = items.select("item_id", "words", F.explode(starts).alias("i"))
     key = F.array_join(F.slice("words", F.col("i"), width), " ")
-    return at.select(F.col("item_id").cast("string").alias("item_id"), key.alias("key")).distinct()
+    item = F.coalesce(F.col("item_id").cast("string"), F.lit(""))
+    return at.select(item.alias("item_id"), key.alias("key")).distinct()
 
 
 class WindowSet:

@@ -118,6 +118,8 @@ def test_benchmark_without_items_or_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r["n_hit"] for r in dc.with_hits(docs(spark, ["a b c"]), none).collect()] == [0]
     assert dc.with_hits(docs(spark, []), none).count() == 0
+    nameless = spark.createDataFrame([(None, "b c"), (4, "b c")], "item_id long, text string")
+    assert dc.with_hits(docs(spark, ["a B, c"]), nameless).first()["items"] == ["", "4"]
 
 
 def plain_base(text):
