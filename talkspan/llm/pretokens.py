@@ -2,8 +2,8 @@
 
 Byte-level BPE never merges over the border of a pre-token, so a text is encoded by encoding its distinct pre-tokens.
 `cut` finds the borders of a block of texts from the classes of their characters (letter, number, white space, other);
-`Lexicon` keeps the ids of up to `limit` distinct pre-tokens in flat sorted arrays and is emptied when it would pass the
-limit, so its size never decides a result. Both depend on the vocabulary file's own settings: byte-level pre-tokenizing
+`Lexicon` keeps the ids of up to `limit` distinct pre-tokens in flat sorted arrays and forgets the least used ones when it
+would pass the limit, so its size never decides a result. Both depend on the vocabulary file's own settings: byte-level pre-tokenizing
 without a prefix space, no normalizer; others are refused.
 """
 
@@ -187,29 +187,44 @@ class Lexicon:
         self.keys = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int32)
+        self.used = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
     def look_up(self, data, starts, ends) -> tuple[np.ndarray, np.ndarray]:
         """Place in `ids` and number of ids for each span."""
         spans = ar.span_hashes(_VALUES, data, starts, ends)
-        keys, sample, back = np.unique(spans, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, keys)
-        place = np.minimum(place, max(len(self.keys) - 1, 0))
-        known = self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        keys, sample, back, times = np.unique(spans, return_index=True, return_inverse=True, return_counts=True)
+        known = self._known(keys)
         if not known.all():
             if len(self.keys) + (~known).sum() > self._limit:
-                self._clear()
-                known = np.zeros(len(keys), bool)
+                self._forget()
+                known = self._known(keys)
             self._learn(keys[~known], [data[starts[i] : ends[i]].tobytes() for i in sample[~known]])
-            place = np.searchsorted(self.keys, keys)
+        place = np.searchsorted(self.keys, keys)
+        self.used[place] += times
         return self.at[place][back], self.size[place][back]
 
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), bool)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[place] == keys
+
+    def _forget(self) -> None:
+        """Keeps the most used quarter of the limit and halves its counts, so that later texts count for more."""
+        stay = np.sort(np.argsort(-self.used, kind="stable")[: self._limit // 4])
+        self.ids = gathered(self.ids, self.at[stay], self.size[stay])
+        self.size = self.size[stay]
+        self.at = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.keys, self.used = self.keys[stay], self.used[stay] // 2
+
     def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         ids, at, sizes = self._encode(words)
         spot = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, spot, keys)
         self.at = np.insert(self.at, spot, at + len(self.ids))
         self.size = np.insert(self.size, spot, sizes)
+        self.used = np.insert(self.used, spot, 0)
         self.ids = np.concatenate([self.ids, ids])
 
 
