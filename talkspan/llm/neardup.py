@@ -9,9 +9,9 @@ arrivals only. Two texts agree in a register with the probability Jaccard simila
 1. Texts with equal words are one node (its 128-bit hash); everything further is about nodes.
 2. Six registers are a band. Nodes with equal bands meet in a bucket. Buckets of up to `SMALL` nodes give their pairs;
    larger ones give each node's pairs with the bucket's leaders, the nodes that meet the most others (the centre of a
-   group of copies is one), and are divided by three further registers, again and again, until they are small. So pairs
+   group of copies is one), and are divided by three and then more further registers, again and again, until they are small. So pairs
    grow with the rows, not with the square of a group, and no group is cut off.
-3. A one-bit sketch of the registers drops pairs that are clearly below the threshold.
+3. A two-bit sketch of the registers drops pairs that are clearly below the threshold.
 4. Pairs are verified on the whole shingle sets: first each node's best pair, then all pairs that still lie between
    different components. A pair is a link if its probability Jaccard or its plain Jaccard similarity is at least 0.8.
 5. Components of links are classes; the class id is the smallest document id in it.
@@ -27,8 +27,6 @@ carry the name of a result column are replaced.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,9 +42,9 @@ THRESHOLD = 0.8
 PER_PIECE, BANDS = 3, 42
 PIECES = 2 * BANDS
 REGISTERS = PIECES * PER_PIECE
-SMALL, LEADERS = 16, 4
-#: Pairs go on if the sketch estimates this much: five standard deviations below the threshold.
-LEAST_ESTIMATE = 0.6
+SMALL, FIRST_LEADERS, LEADERS = 16, 2, 1
+#: Pairs go on if the sketch estimates this much: four standard deviations below the threshold.
+LEAST_ESTIMATE = 0.68
 FILTER_BITS = 24
 _LANES = 4
 
@@ -143,11 +141,12 @@ def prob_min_hash(texts: np.ndarray, hashes: np.ndarray, weight: np.ndarray, n:
 
 
 def sketches(winner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One bit of each register, as four 64-bit numbers, and a 32-bit hash of each piece of registers."""
+    """Two bits of each register, as twice four 64-bit numbers, and a 32-bit hash of each piece of registers."""
     mixed = ar.mixed(winner)
-    bits = np.zeros((len(winner), 64 * _LANES), np.uint8)
-    bits[:, : winner.shape[1]] = mixed & np.uint64(1)
-    lanes = np.packbits(bits, axis=1).view("<i8")
+    bits = np.zeros((len(winner), 2, 64 * _LANES), np.uint8)
+    for k in range(2):
+        bits[:, k, : winner.shape[1]] = (mixed >> np.uint64(k)) & np.uint64(1)
+    lanes = np.packbits(bits.reshape(len(winner), -1), axis=1).view("<i8")
     pieces = np.zeros((len(winner), PIECES), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(PER_PIECE):
@@ -171,7 +170,7 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
         some = np.bincount(texts, minlength=n) > 0
         return {
             "node": nodes,
-            "sketch": ar.list_array(pa.array(lanes[some].ravel()), some * _LANES),
+            "sketch": ar.list_array(pa.array(lanes[some].ravel()), some * 2 * _LANES),
             "pieces": ar.list_array(pa.array(pieces[some].ravel()), some * PIECES),
         }
 
@@ -193,53 +192,71 @@ def _paired(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """`a, b`: pairs of nodes that share a small bucket, or a leader with each node of a large one.
+def estimate(a, b):
+    """Similarity by two sketches: unequal shingles agree in two bits by chance once in four times."""
+    differ = sum(
+        F.bit_count(
+            F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+            .bitwiseOR(F.get(a, F.lit(k + _LANES)).bitwiseXOR(F.get(b, F.lit(k + _LANES))))
+        )
+        for k in range(_LANES)
+    )
+    return 1 - differ / F.lit(0.75 * REGISTERS)
+
+
+def candidates(nodes: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
+    """`a, b, estimate`: pairs of nodes that share a small bucket, or a leader with each node of a large one, where the
+    sketches agree well enough.
 
     A node's weight is the number of nodes it meets over all bands: the centre of a group of copies meets the most. The
-    leaders of a large bucket are its heaviest nodes, one of each of `LEADERS` classes.
+    leaders of a large bucket are its heaviest nodes, `FIRST_LEADERS` of a whole band and `LEADERS` of a divided one.
     """
     piece = lambda i: F.get("pieces", F.pmod(i, F.lit(PIECES)))
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, piece(2 * b), piece(2 * b + 1))
     )
     rows = nodes.where(F.size("pieces") > 0).select("node", F.posexplode(keys).alias("band", "key"))
-    found, level, weight = [], 0, None
+    spark, found = nodes.sparkSession, store.fresh_path(nodes.sparkSession, "near-pairs")
+    used, level = 2, 0
     while True:
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-        met = store.written(rows.join(sizes, "key"), "near-buckets")
-        few = met.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("own"))
-        few = few.select("own", F.posexplode("own").alias("i", "a"))
-        found.append(few.select("a", F.explode(F.slice("own", F.col("i") + 2, F.lit(SMALL))).alias("b")).distinct())
-        crowded = met.where(F.col("n") > SMALL)
+        met = rows.join(sizes, "key")
+        if level == 0:  # what the nodes that meet any other carry from here on
+            met = store.written(met, "near-buckets")
+            weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
+            met = met.join(nodes.join(weight, "node"), "node")
+        met = store.written(met, "near-buckets")
+        one = F.struct("node", "sketch")
+        few = met.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(one)).alias("own"))
+        few = few.select("own", F.posexplode("own").alias("i", "first"))
+        others = F.transform(
+            F.slice("own", F.col("i") + 2, F.lit(SMALL)),
+            lambda x: F.struct(x["node"].alias("b"), estimate(F.col("first.sketch"), x["sketch"]).alias("estimate")),
+        )
+        near = F.explode(F.filter(others, lambda x: x["estimate"] >= least)).alias("x")
+        few = few.select(F.col("first.node").alias("a"), near)
+        few.select("a", "x.b", "x.estimate").write.mode("append").parquet(found)
+        crowded = met.where(F.col("n") > SMALL).drop("n")
         if crowded.isEmpty():
             break
-        if weight is None:
-            weight = store.written(crowded.groupBy("node").agg(F.sum("n").alias("weight")), "near-weights")
-        own = crowded.join(weight, "node").select("key", "node", F.struct("weight", "node").alias("rank"))
-        of_class = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(LEADERS)).alias("of_class")
-        leaders = own.groupBy("key", of_class).agg(F.max("rank").alias("rank"))
-        leaders = leaders.select("key", F.col("rank.node").alias("leader"))
-        led = own.join(leaders, "key").where(F.col("node") != F.col("leader"))
-        found.append(led.select(*_paired(F.col("node"), F.col("leader"))).distinct())
-        used = 2 + (level if level <= 6 else 6 + 2 ** (level - 6))
+        n_leaders = LEADERS if level else FIRST_LEADERS
+        of_class = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(n_leaders)).alias("of_class")
+        leaders = crowded.groupBy("key", of_class).agg(F.max(F.struct("weight", "node", "sketch")).alias("rank"))
+        leaders = leaders.select(
+            F.col("key").alias("of_key"), F.col("rank.node").alias("leader"), F.col("rank.sketch").alias("led")
+        )
+        near = estimate(F.col("sketch"), F.col("led"))
+        mine = (F.col("key") == F.col("of_key")) & (F.col("node") != F.col("leader")) & (near >= least)
+        led = crowded.select("key", "node", "sketch").join(leaders, mine)
+        led = led.select(*_paired(F.col("node"), F.col("leader")), near.alias("estimate"))
+        led.write.mode("append").parquet(found)
         if used >= PIECES:  # the nodes of a bucket agree in all registers
             break
-        more = 1 if level < 6 else 2 ** (level - 6)
-        again = [piece(2 * F.col("band") + used + k) for k in range(min(more, PIECES - used))]
-        rows = crowded.select("node", "band", "key").join(nodes.select("node", "pieces"), "node")
-        rows = rows.select("node", "band", F.xxhash64("key", *again).alias("key"))
-        level += 1
-    return reduce(DataFrame.unionByName, found).distinct()
-
-
-def likely(pairs: DataFrame, nodes: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
-    """`a, b, estimate` of the pairs whose sketches agree well enough."""
-    for side in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
-    differ = sum(F.bit_count(F.get("sketch_a", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k)))) for k in range(_LANES))
-    estimate = 1 - 2 * differ / F.lit(float(REGISTERS))
-    return pairs.select("a", "b", estimate.alias("estimate")).where(F.col("estimate") >= least)
+        more = min(1 if level < 3 else 2 ** (level - 2), PIECES - used)
+        again = [piece(2 * F.col("band") + used + k) for k in range(more)]
+        rows = crowded.withColumn("key", F.xxhash64("key", *again))
+        used, level = used + more, level + 1
+    return spark.read.schema("a binary, b binary, estimate double").parquet(found).distinct()
 
 
 def _spots(node):
@@ -251,9 +268,9 @@ def bloom(keys: DataFrame) -> np.ndarray:
     """A Bloom filter of 2^FILTER_BITS bits over nodes, put together by Spark; 2^18 numbers at most reach the driver."""
     at = keys.select(F.explode(F.array(*_spots(F.col("node")))).alias("spot"))
     word = F.shiftright("spot", 6).alias("word")
-    rows = at.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits")).collect()
+    rows = at.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[[r["word"] for r in rows]] = [r["bits"] for r in rows]
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return out
 
 
@@ -372,7 +389,7 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def node_links(docs: DataFrame, nodes: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Links that hold all components together: each node's best pair first, then all pairs between components."""
-    pairs = store.written(likely(candidates(nodes), nodes), "near-pairs")
+    pairs = store.written(candidates(nodes), "near-pairs")
     both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = store.written(shingle_sets(docs, store.written(both, "near-wanted"), text), "near-sets")
     ends = [pairs.select(F.col(x).alias("node"), F.struct(F.col("estimate"), "a", "b").alias("pair")) for x in ("a", "b")]
