@@ -27,14 +27,14 @@ def chat_csv(tmp_path):
 
 
 def test_read_csv(spark, chat_csv):
-    rows = ms.read_csv(spark, chat_csv).orderBy("row_id").collect()
+    rows = ms.read_csv(spark, chat_csv, bad_times="keep").orderBy("row_id").collect()
     assert rows[0].text == 'Hello, "world"\nsecond line' and rows[0].prompt == ""
     assert rows[1].ts == dt.datetime(2018, 5, 2, 23, 59, 59)
     assert rows[2].text is None and rows[3].ts is None
 
 
 def test_between_dates_is_inclusive(spark, chat_csv):
-    df = ms.read_csv(spark, chat_csv)
+    df = ms.read_csv(spark, chat_csv, bad_times="keep")
     assert ms.between_dates(df, "2018-05-01", "2018-05-02").count() == 2
     assert ms.between_dates(df, "2018-05-02").count() == 2
     assert ms.between_dates(df, None, "2018-05-01").count() == 1
