@@ -14,10 +14,13 @@ arrivals only. Two texts agree in a register with the probability Jaccard simila
 3. A two-bit sketch of the registers drops pairs that are clearly below the threshold.
 4. Pairs are verified on the whole shingle sets: first each node's best pair, then all pairs that still lie between
    different components. A pair is a link if its probability Jaccard or its plain Jaccard similarity is at least 0.8.
+   What a large bucket still holds of different components is compared whole, block by block (`crowd_links`): a group
+   around a template has no centre that could lead it.
 5. Components of links are classes; the class id is the smallest document id in it.
 
 A pair at similarity 0.8 shares no band with a probability of 3e-6, higher pairs less; in groups so large that buckets are
-divided, a text needs to meet one of its linked texts as a leader or in a small bucket. No links, nodes or components pass the driver; what is broadcast is a
+divided, leaders and small buckets find most links and the comparison of blocks the others; its work grows with the square
+of such a group, less its largest component, its rows with the square divided by `CROWD_NODES`. No links, nodes or components pass the driver; what is broadcast is a
 Bloom filter of fixed size that spares the shuffle of shingle sets that no pair asks for.
 
 Defined results: a text without words is a node with all texts of equal bytes (null and empty are equal) and has no links;
@@ -46,6 +49,8 @@ SMALL, FIRST_LEADERS, LEADERS = 16, 2, 1
 #: Pairs go on if the sketch estimates this much: four standard deviations below the threshold.
 LEAST_ESTIMATE = 0.68
 FILTER_BITS = 24
+#: Nodes and bytes of shingle sets of a block of a crowd, about; shingles that are multiplied out at a time.
+CROWD_NODES, CROWD_BYTES, CROWD_COLUMNS = 500, 8 << 20, 4096
 _LANES = 4
 
 
@@ -204,9 +209,9 @@ def estimate(a, b):
     return 1 - differ / F.lit(0.75 * REGISTERS)
 
 
-def candidates(nodes: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
+def candidates(nodes: DataFrame, least: float = LEAST_ESTIMATE) -> tuple[DataFrame, DataFrame]:
     """`a, b, estimate`: pairs of nodes that share a small bucket, or a leader with each node of a large one, where the
-    sketches agree well enough.
+    sketches agree well enough; and `key, node` of the large buckets of whole bands.
 
     A node's weight is the number of nodes it meets over all bands: the centre of a group of copies meets the most. The
     leaders of a large bucket are its heaviest nodes, `FIRST_LEADERS` of a whole band and `LEADERS` of a divided one.
@@ -237,6 +242,8 @@ def candidates(nodes: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
         few = few.select(F.col("first.node").alias("a"), near)
         few.select("a", "x.b", "x.estimate").write.mode("append").parquet(found)
         crowded = met.where(F.col("n") > SMALL).drop("n")
+        if level == 0:
+            crowds = crowded.select("key", "node")
         if crowded.isEmpty():
             break
         n_leaders = LEADERS if level else FIRST_LEADERS
@@ -256,7 +263,7 @@ def candidates(nodes: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
         again = [piece(2 * F.col("band") + used + k) for k in range(more)]
         rows = crowded.withColumn("key", F.xxhash64("key", *again))
         used, level = used + more, level + 1
-    return spark.read.schema("a binary, b binary, estimate double").parquet(found).distinct()
+    return spark.read.schema("a binary, b binary, estimate double").parquet(found).distinct(), crowds
 
 
 def _spots(node):
@@ -387,17 +394,128 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where(F.col("of_a") != F.col("of_b")).drop("of_a", "of_b")
 
 
+def _block_links(own: pa.Table, threshold: float) -> list[tuple[bytes, bytes, float]]:
+    """Links between the nodes of two blocks (or within one) that join different components, no more than join them."""
+    column = lambda c: own.column(c).to_pylist()
+    node, component, block = column("node"), column("component"), np.array(column("block"))
+    sets = [(np.frombuffer(h, "<u8"), np.frombuffer(t, "<u4")) for h, t in zip(column("hashes"), column("times"))]
+    left = np.flatnonzero(block == block.min())
+    right = np.flatnonzero(block == block.max())
+    if block.min() != own.column("first")[0].as_py() or block.max() != own.column("second")[0].as_py():
+        return []  # the other block is empty
+    if len(set(component)) < 2:
+        return []
+    size = np.array([len(h) for h, _ in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, shingle, found = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True, return_counts=True)
+    number = np.cumsum(found > 1) - 1  # shingles of one node only meet nothing
+    weight = np.concatenate([weights(t) / weights(t).sum() for _, t in sets]).astype(np.float32)
+    shared = np.flatnonzero(found[shingle] > 1)
+    shared = shared[np.argsort(number[shingle[shared]], kind="stable")]
+    at, owner, weight = number[shingle[shared]], owner[shared], weight[shared]
+    repeats = np.array([bool((t > 1).any()) for _, t in sets])
+    both = np.zeros((len(left), len(right)), np.float32)
+    mass = np.zeros((2, *both.shape), np.float32)
+    for begin in range(0, int(at[-1]) + 1 if len(at) else 0, CROWD_COLUMNS):
+        a, b = np.searchsorted(at, (begin, begin + CROWD_COLUMNS))
+        there = np.zeros((len(sets), min(CROWD_COLUMNS, int(at[b - 1]) - begin + 1)), np.float32)
+        there[owner[a:b], at[a:b] - begin] = 1
+        both += there[left] @ there[right].T
+        if repeats.any():
+            weighed = np.zeros_like(there)
+            weighed[owner[a:b], at[a:b] - begin] = weight[a:b]
+            mass[0] += weighed[left] @ there[right].T
+            mass[1] += there[left] @ weighed[right].T
+    union = size[left][:, None] + size[right] - both
+    plain = both / np.maximum(union, 1)
+    sure = plain >= threshold - 1e-6
+    # without repeated shingles both similarities are equal; the mass of the shared shingles bounds the other one
+    maybe = ~sure & (repeats[left][:, None] | repeats[right]) & (mass.min(axis=0) >= threshold - 1e-4)
+    up = {c: c for c in component}
+
+    def root(c):
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    out = []
+    for some in (sure, maybe):
+        for i, j in zip(*np.nonzero(some)):
+            i, j = left[i], right[j]
+            a, b = root(component[i]), root(component[j])
+            if a == b:
+                continue
+            similarity = max(jaccards(sets[i], sets[j]))
+            if similarity >= threshold - 1e-9:
+                up[max(a, b)] = min(a, b)
+                out.append((min(node[i], node[j]), max(node[i], node[j]), similarity))
+    return out
+
+
+def mixed_crowds(crowds: DataFrame, labels: DataFrame) -> DataFrame:
+    """`key, node, component, one` of the large buckets with nodes of more than one component; `one` is a node of each."""
+    own = crowds.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ends = own.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("one"))
+    return own.join(ends.where("low != high").drop("low", "high"), "key")
+
+
+def crowd_links(mixed: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """`a, b, similarity`: exact links between the components that large buckets hold.
+
+    Buckets with common nodes are a crowd, whose nodes are dealt to blocks. All blocks are compared with each other, but
+    those of the crowd's largest component only with the others.
+    """
+    groups = components(mixed.select(F.col("one").alias("a"), F.col("node").alias("b")))
+    groups = groups.select("node", F.col("component").alias("crowd"))
+    rows = mixed.select("node", "component").distinct().join(groups, "node", "left")
+    sizes = sets.select("node", F.octet_length("hashes").alias("bytes"))
+    rows = rows.withColumn("crowd", F.coalesce("crowd", "node")).join(sizes, "node")
+    rows = store.written(rows, "near-crowds")
+    parts = rows.groupBy("crowd", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    main = F.max(F.struct("n", "component", "bytes"))
+    whole = parts.groupBy("crowd").agg(main.alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, size: F.greatest(
+        F.ceil(n / F.lit(CROWD_NODES)), F.ceil(size / F.lit(CROWD_BYTES)), F.lit(1)).cast("int")
+    whole = whole.where(F.col("n") > F.col("main.n")).select(
+        "crowd", F.col("main.component").alias("largest"), blocks(F.col("main.n"), F.col("main.bytes")).alias("n_main"),
+        blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("n_other"))
+    rows = rows.join(whole, "crowd")
+    is_main, dealt = F.col("component") == F.col("largest"), F.xxhash64("node", F.lit(7))
+    block = F.when(is_main, F.col("n_other") + F.pmod(dealt, F.col("n_main"))).otherwise(F.pmod(dealt, F.col("n_other")))
+    rows = rows.withColumn("block", block.cast("int"))
+    partners = F.when(is_main, F.col("n_other")).otherwise(F.col("n_other") + F.col("n_main"))
+    rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0), (partners - 1).cast("int"))))
+    rows = rows.select("crowd", F.least("block", "partner").alias("first"), F.greatest("block", "partner").alias("second"),
+                       "node", "component", "block").join(sets, "node")
+
+    def compare(own: pa.Table) -> pa.Table:
+        links = _block_links(own, threshold)
+        columns = list(zip(*links)) or [(), (), ()]
+        return pa.table({"a": pa.array(columns[0], pa.binary()), "b": pa.array(columns[1], pa.binary()),
+                         "similarity": pa.array(columns[2], pa.float64())})
+
+    return rows.groupBy("crowd", "first", "second").applyInArrow(compare, "a binary, b binary, similarity double")
+
+
 def node_links(docs: DataFrame, nodes: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Links that hold all components together: each node's best pair first, then all pairs between components."""
-    pairs = store.written(candidates(nodes), "near-pairs")
-    both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    """Links that hold all components together: each node's best pair first, then all pairs between components, then what
+    crowds still hold."""
+    pairs, crowds = candidates(nodes)
+    pairs = store.written(pairs, "near-pairs")
+    both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    both = both.unionByName(crowds.select("node")).distinct()
     sets = store.written(shingle_sets(docs, store.written(both, "near-wanted"), text), "near-sets")
     ends = [pairs.select(F.col(x).alias("node"), F.struct(F.col("estimate"), "a", "b").alias("pair")) for x in ("a", "b")]
     best = ends[0].unionByName(ends[1]).groupBy("node").agg(F.max("pair").alias("pair"))
     best = best.select("pair.a", "pair.b").distinct()
     first = store.written(verified(best, sets, threshold), "near-links")
     rest = _labelled(pairs.join(best, ["a", "b"], "left_anti"), components(first))
-    return first.unionByName(store.written(verified(rest.select("a", "b"), sets, threshold), "near-links"))
+    links = first.unionByName(store.written(verified(rest.select("a", "b"), sets, threshold), "near-links"))
+    mixed = store.written(mixed_crowds(crowds, components(links)), "near-crowds")
+    if mixed.isEmpty():
+        return links
+    return links.unionByName(store.written(crowd_links(mixed, sets, threshold), "near-links"))
 
 
 def near_classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

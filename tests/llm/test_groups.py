@@ -93,6 +93,23 @@ def test_near_duplicates_without_ids_or_rows(spark):
     assert nd.with_class(docs(spark, [])).count() == 0 and nd.deduplicated(docs(spark, [])).count() == 0
 
 
+def test_template_group_without_a_centre_equals_all_pairs(spark):
+    rng = random.Random(31)
+    template = prose(rng, 100, 5000)
+    texts, want = [], []
+    for k in range(1500):  # two texts of one tail, the second with its last words changed; unequal tails meet at 0.7
+        tail = prose(rng, 21, 50_000).split()
+        texts += [" ".join([template, *tail]), " ".join([template, *tail[:11], *prose(rng, 10, 50_000).split()])]
+        want += [2 * k, 2 * k]
+    sets = [shingle_set(t) for t in texts[:60]]
+    for i in range(60):
+        for j in range(i):
+            alike = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            assert (0.8 <= alike < 0.9) if i // 2 == j // 2 else (0.62 < alike < 0.8)
+    got = {r["doc_id"]: r["class_id"] for r in nd.with_class(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_probability_jaccard_of_sets_and_registers():
     rng = np.random.default_rng(1)
     for _ in range(40):
