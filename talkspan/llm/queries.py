@@ -167,13 +167,12 @@ N_SHARDS = 8
 
 @query("op9_hypergeometric_shards")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
-    )
-    placed = shards.shuffled(docs, N_SHARDS)
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long"),
+    docs, path = table(spark, sf_dir, "documents"), store.fresh_path(spark, "shards")
+    shards.write(docs, path, N_SHARDS)
+    text = F.coalesce("row.text", F.lit(""))
+    return shards.read(docs, path).select(
+        "row.doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", F.col("slot").cast("long"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 

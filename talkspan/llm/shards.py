@@ -9,6 +9,9 @@ Only the block sizes and the matrix pass the driver: blocks x shards numbers, ho
 moved twice as (key, random) with the columns asked for, once by block and once by cell of (shard, slot range), so no task
 holds a shard. Row numbers and random keys are written to the shared folder once, so lost executors change no draw.
 
+`write` deals whole rows of files into shards: the permutation moves row places only, and the rows, however long, meet
+their shard and slot in one exchange by file and row, behind which every task writes its rows of each shard by slot.
+
 Defined results: every row is placed, whatever its columns hold; repeated rows are placed one by one; an empty table
 gives no rows. Shard sizes follow from the number of rows: the first `rows mod shards` shards have one row more.
 """
@@ -18,6 +21,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkspan.llm import store
 
@@ -46,6 +50,23 @@ def _draw(rng, left: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(np.searchsorted(np.cumsum(left), places, "right"), minlength=len(left))
 
 
+def write(rows: DataFrame, path: str, n_shards: int, seed: int = 7) -> None:
+    """Writes `row` (all columns of `rows`, a table as it is read from Parquet files) and `slot` below `path`, one folder
+    for each `shard`. Each file is in the order of slots."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("nth")]
+    placed = store.written(shuffled(rows.select(*place), n_shards, seed), "shard-places")
+    whole = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), *place)
+    out = whole.join(placed, ["file", "nth"]).select("row", "shard", "slot")
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def read(rows: DataFrame, path: str) -> DataFrame:
+    """The shards of `rows` below `path`: `row`, `slot` and `shard`."""
+    schema = T.StructType([
+        T.StructField("row", rows.schema), T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
 def shuffled(rows: DataFrame, n_shards: int, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """`rows` with `shard` (0 to n_shards - 1) and `slot`, gapless from 0 within each shard."""
     spark = rows.sparkSession

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -12,6 +13,7 @@ from helpers import EDGE, docs, prose
 from talkspan.llm import captures as cp
 from talkspan.llm import chat
 from talkspan.llm import neardup as nd
+from talkspan.llm import queries
 from talkspan.llm import rollups as ru
 from talkspan.llm import shards as sh
 from talkspan.llm import store
@@ -222,6 +224,27 @@ def test_shards_have_exact_sizes(spark, n, shards):
     assert n == 0 or all(r["block"] == "mine" for r in out)
 
 
+def test_shards_hold_whole_documents(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    texts = [*EDGE, "same", "same", *(prose(rng, 30) for _ in range(40))]
+    table = docs(spark, texts, "row shard slot file")
+    table.unionByName(table.where("doc_id < 9")).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(store, "shared_folder", lambda _: str(tmp_path / "shared"))
+    out = queries.QUERIES["op9_hypergeometric_shards"](spark, str(tmp_path)).collect()
+    (path,) = (tmp_path / "shared").glob("shards-*")
+    held = {(r["shard"], r["slot"]): r["row"] for r in sh.read(spark.read.parquet(str(tmp_path / "documents.parquet")), str(path)).collect()}
+    assert len(held) == len(out) == len(texts) + 9
+    assert Counter(r["text"] for r in held.values()) == Counter([*texts, *texts[:9]])
+    for r in out:
+        row = held[r["shard"], r["slot"]]
+        data = (row["text"] or "").encode()
+        assert row["shard"] == "mine" and row["text"] == texts[row["doc_id"]]
+        assert (r["doc_id"], r["size"], r["text_crc32"]) == (row["doc_id"], len(data) + 1, zlib.crc32(data))
+    for j in range(queries.N_SHARDS):
+        own = sorted(slot for shard, slot in held if shard == j)
+        assert own == list(range(len(own))) and len(own) in (len(held) // 8, -(-len(held) // 8))
+
+
 def test_repeated_rows_are_placed_one_by_one(spark):
     rows = spark.createDataFrame([(None, None)] * 50, "doc_id long, text string")
     assert len({(r["shard"], r["slot"]) for r in sh.shuffled(rows, 4).collect()}) == 50
