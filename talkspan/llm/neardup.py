@@ -4,7 +4,9 @@ Texts are lower-cased (A-Z), cut into words of digits, letters and characters ou
 words (a shorter text is one shingle). A shingle that occurs c times weighs 1 + ln c. Each shingle sends a Poisson process
 of arrivals at the rate of its weight; every arrival falls on one of `REGISTERS` registers, and a register keeps the shingle
 of its earliest arrival. A text is done when no shingle can arrive before the latest register, so most shingles send a few
-arrivals only. Two texts agree in a register with the probability Jaccard similarity of their shingle weights.
+arrivals only. Two texts agree in a register with the probability Jaccard similarity of their shingle weights. A text with
+repeated shingles has a second, plain form, in which all weights are 1; forms of other texts agree with it by the plain
+Jaccard similarity. Both forms lie in the same buckets, and the larger estimate of a pair counts.
 
 1. Texts with equal words are one node (its 128-bit hash); everything further is about nodes.
 2. Six registers are a band. Nodes with equal bands meet in a bucket. Buckets of up to `SMALL` nodes give their pairs;
@@ -151,7 +153,7 @@ def sketches(winner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits = np.zeros((len(winner), 2, 64 * _LANES), np.uint8)
     for k in range(2):
         bits[:, k, : winner.shape[1]] = (mixed >> np.uint64(k)) & np.uint64(1)
-    lanes = np.packbits(bits.reshape(len(winner), -1), axis=1).view("<i8")
+    lanes = np.packbits(bits.reshape(len(winner), 2 * 64 * _LANES), axis=1).view("<i8")
     pieces = np.zeros((len(winner), PIECES), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(PER_PIECE):
@@ -160,24 +162,34 @@ def sketches(winner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _NODE = T.StructField("node", T.BinaryType())
-_SIGNED = [_NODE, T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("pieces", T.ArrayType(T.IntegerType()))]
+_SIGNED = [_NODE, *(
+    T.StructField(prefix + name, T.ArrayType(kind))
+    for prefix in ("", "plain_") for name, kind in (("sketch", T.LongType()), ("pieces", T.IntegerType()))
+)]
 _SET = [_NODE, T.StructField("hashes", T.BinaryType()), T.StructField("times", T.BinaryType())]
 
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`doc_id, node, sketch, pieces` of all documents; the latter two are null for texts without words."""
+    """`doc_id, node, sketch, pieces, plain_sketch, plain_pieces` of all documents; the sketches and pieces are empty for
+    texts without words, those of the plain form also for texts without repeated shingles."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
         block = ar.block_of(ar.texts_of(batch, text))
         texts, hashes, times, nodes = shingles(block)
         n = block.n
-        lanes, pieces = sketches(prob_min_hash(texts, hashes, weights(times), n))
         some = np.bincount(texts, minlength=n) > 0
-        return {
-            "node": nodes,
-            "sketch": ar.list_array(pa.array(lanes[some].ravel()), some * 2 * _LANES),
-            "pieces": ar.list_array(pa.array(pieces[some].ravel()), some * PIECES),
-        }
+        again = np.bincount(texts, times > 1, minlength=n) > 0
+        own = again[texts]
+        number = np.cumsum(again) - 1
+        out = {"node": nodes}
+        for prefix, there, winner in (
+            ("", some, prob_min_hash(texts, hashes, weights(times), n)[some]),
+            ("plain_", again, prob_min_hash(number[texts[own]], hashes[own], np.ones(int(own.sum())), int(again.sum()))),
+        ):
+            lanes, pieces = sketches(winner)
+            out[prefix + "sketch"] = ar.list_array(pa.array(lanes.ravel()), there * 2 * _LANES)
+            out[prefix + "pieces"] = ar.list_array(pa.array(pieces.ravel()), there * PIECES)
+        return out
 
     return ar.arrow_map(docs, kernel, _SIGNED, ["doc_id"], text)
 
@@ -193,6 +205,14 @@ def with_nodes(docs: DataFrame, text: str = "text") -> DataFrame:
     return ar.arrow_map(docs, kernel, [_NODE], None, text)
 
 
+def forms(nodes: DataFrame) -> DataFrame:
+    """`node, plain, sketch, pieces`: one row for each form of a node with words."""
+    form = lambda prefix, plain: F.struct(
+        F.lit(plain).alias("plain"), F.col(prefix + "sketch").alias("sketch"), F.col(prefix + "pieces").alias("pieces"))
+    rows = nodes.select("node", F.explode(F.array(form("", False), form("plain_", True))).alias("x"))
+    return rows.select("node", "x.*").where(F.size("pieces") > 0)
+
+
 def _paired(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
@@ -211,7 +231,7 @@ def estimate(a, b):
 
 def candidates(nodes: DataFrame, least: float = LEAST_ESTIMATE) -> tuple[DataFrame, DataFrame]:
     """`a, b, estimate`: pairs of nodes that share a small bucket, or a leader with each node of a large one, where the
-    sketches agree well enough; and `key, node` of the large buckets of whole bands.
+    sketches agree well enough; and `key, node` of the large buckets of whole bands. `nodes` has a row for each form.
 
     A node's weight is the number of nodes it meets over all bands: the centre of a group of copies meets the most. The
     leaders of a large bucket are its heaviest nodes, `FIRST_LEADERS` of a whole band and `LEADERS` of a divided one.
@@ -220,7 +240,7 @@ def candidates(nodes: DataFrame, least: float = LEAST_ESTIMATE) -> tuple[DataFra
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, piece(2 * b), piece(2 * b + 1))
     )
-    rows = nodes.where(F.size("pieces") > 0).select("node", F.posexplode(keys).alias("band", "key"))
+    rows = nodes.select("node", "plain", F.posexplode(keys).alias("band", "key"))
     spark, found = nodes.sparkSession, store.fresh_path(nodes.sparkSession, "near-pairs")
     used, level = 2, 0
     while True:
@@ -229,7 +249,7 @@ def candidates(nodes: DataFrame, least: float = LEAST_ESTIMATE) -> tuple[DataFra
         if level == 0:  # what the nodes that meet any other carry from here on
             met = store.written(met, "near-buckets")
             weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
-            met = met.join(nodes.join(weight, "node"), "node")
+            met = met.join(nodes.join(weight, "node"), ["node", "plain"])
         met = store.written(met, "near-buckets")
         one = F.struct("node", "sketch")
         few = met.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(one)).alias("own"))
@@ -238,12 +258,12 @@ def candidates(nodes: DataFrame, least: float = LEAST_ESTIMATE) -> tuple[DataFra
             F.slice("own", F.col("i") + 2, F.lit(SMALL)),
             lambda x: F.struct(x["node"].alias("b"), estimate(F.col("first.sketch"), x["sketch"]).alias("estimate")),
         )
-        near = F.explode(F.filter(others, lambda x: x["estimate"] >= least)).alias("x")
-        few = few.select(F.col("first.node").alias("a"), near)
+        apart = lambda x: (x["estimate"] >= least) & (x["b"] != F.col("first.node"))
+        few = few.select(F.col("first.node").alias("a"), F.explode(F.filter(others, apart)).alias("x"))
         few.select("a", "x.b", "x.estimate").write.mode("append").parquet(found)
         crowded = met.where(F.col("n") > SMALL).drop("n")
         if level == 0:
-            crowds = crowded.select("key", "node")
+            crowds = crowded.select("key", "node").distinct()
         if crowded.isEmpty():
             break
         n_leaders = LEADERS if level else FIRST_LEADERS
@@ -263,7 +283,8 @@ def candidates(nodes: DataFrame, least: float = LEAST_ESTIMATE) -> tuple[DataFra
         again = [piece(2 * F.col("band") + used + k) for k in range(more)]
         rows = crowded.withColumn("key", F.xxhash64("key", *again))
         used, level = used + more, level + 1
-    return spark.read.schema("a binary, b binary, estimate double").parquet(found).distinct(), crowds
+    pairs = spark.read.schema("a binary, b binary, estimate double").parquet(found)
+    return pairs.groupBy("a", "b").agg(F.max("estimate").alias("estimate")), crowds
 
 
 def _spots(node):
@@ -523,8 +544,9 @@ def near_classes(docs: DataFrame, text: str = "text", threshold: float = THRESHO
     the document of the class that stays (the smallest id, then node), and how many rows the pair has."""
     signed = store.written(signatures(docs, text), "near-signatures")
     rows = signed.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n_same"))
-    nodes = signed.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("pieces").alias("pieces"))
-    nodes = store.written(nodes, "near-nodes")
+    names = [f.name for f in _SIGNED if f.name != "node"]
+    nodes = signed.groupBy("node").agg(*[F.first(c).alias(c) for c in names])
+    nodes = store.written(forms(nodes), "near-nodes")
     labels = components(node_links(docs, nodes, text, threshold))
     own = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     own = store.written(own, "near-rows")

@@ -112,6 +112,28 @@ def test_template_group_without_a_centre_equals_all_pairs(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_equal_shingles_of_other_counts_are_links(spark):
+    rng = random.Random(12)
+    texts, want = [], []
+    for k in range(60):  # 26 words in a ring, once around or a part of it many times: plain at least 0.8, weighted below
+        ring = prose(rng, 26, 10**6).split()
+        part = prose(rng, 8, 10**6).split()
+        texts += [" ".join(ring + part), " ".join(ring + part * 40)]
+        want += [2 * k, 2 * k]
+    found = []
+    for a, b in zip(texts[::2], texts[1::2]):
+        counts = []
+        for t in (a, b):
+            words = lower_words(t)
+            counts.append(Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4)))
+        key = {s: n for n, s in enumerate(sorted({*counts[0], *counts[1]}))}
+        sets = [(np.array(sorted(key[s] for s in c), np.uint64), np.array([c[s] for s in sorted(c)])) for c in counts]
+        found.append(nd.jaccards(*sets))
+    assert all(plain >= 0.8 > 0.7 > weighted for plain, weighted in found)
+    got = {r["doc_id"]: r["class_id"] for r in nd.with_class(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_probability_jaccard_of_sets_and_registers():
     rng = np.random.default_rng(1)
     for _ in range(40):
