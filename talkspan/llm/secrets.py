@@ -175,14 +175,16 @@ def findings(text: str, model: GuessModel, ranks: dict[str, float]) -> list[dict
             if len(m[2]) >= LEAST_ASSIGN:
                 decades, parts = guess_cost(m[2], ranks)
                 add("assign", m.start(), m.end(), m.start(2), decades, parts)
-                taken.append((m.start(), m.end()))
+                taken.append((m.start(2), m.end()))
         nearest = 0
         for m in _CONTEXT.finditer(text):
             value = m[1].rstrip(".:!?")
             start, end = m.start(1), m.start(1) + len(value)
-            while nearest < len(taken) and taken[nearest][1] <= start:
+            if end < m.end(1) and m[0][-len(m[1]) - 1] in "\"'" and text.startswith(m[0][-len(m[1]) - 1], m.end(1)):
+                value, end = m[1], m.end(1)  # what closes a quoted value belongs to it
+            while nearest < len(taken) and taken[nearest][1] < end:
                 nearest += 1
-            if nearest < len(taken) and taken[nearest][0] < end:
+            if nearest < len(taken) and taken[nearest][0] <= start:  # a base value that reaches its end
                 continue
             if len(value) >= model.least_length and any(not c.isalpha() for c in value):
                 decades, parts = guess_cost(value, ranks)

@@ -153,6 +153,22 @@ def test_secrets_keep_the_base_and_add_costly_values(spark):
     assert [SECRETS[3][f["start"] : f["end"]] for f in last] == ["xK9#mQ2$vL", "Zr7!kPw9@uYt"]
 
 
+def test_values_that_go_on_behind_a_base_value_are_taken_out():
+    model = sc.GuessModel()
+    for text, value in [
+        ('password="Abcdefgh1234!s3cr3tTail" and more', "Abcdefgh1234!s3cr3tTail"),
+        ("token: abcd1234EFGH$x9Q&zz.", "abcd1234EFGH$x9Q&zz"),
+        ("password='kX9vTq27LmWz!'", "kX9vTq27LmWz!"),
+        ("pwd=Xk9!password=abcdefgh1234", "Xk9!password=abcdefgh1234"),
+    ]:
+        found = sc.findings(text, model, model.ranks())
+        assert [f["kind"] for f in found if f["kind"] != "hex"].count("assign") == 1
+        assert [text[f["start"] : f["end"]] for f in found if f["kind"] == "guess"] == [value]
+        assert sc.redact(text, found, "*") == text.replace(value, "*")
+    (only,) = sc.findings("password=abcdefgh1234Zq.", model, model.ranks())
+    assert only["kind"] == "assign"
+
+
 def test_secrets_are_taken_out(spark):
     rows = sc.redacted(sc.with_findings(docs(spark, EDGE + SECRETS))).collect()
     for r in rows:
