@@ -47,7 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the values of secrets taken out of their texts."""
-    found = secrets.redacted(secrets.with_findings(_packed(docs)))
+    found = secrets.redacted(secrets.with_findings(_packed(docs), secrets.corpus_model(docs)))
     n_chars = F.when(F.size("findings") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
     return _unpacked(found, docs, n_chars=n_chars)
 

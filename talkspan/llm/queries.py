@@ -124,7 +124,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_guess_cost_secrets")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets.with_findings(docs, keep=["doc_id"])
+    found = secrets.with_findings(docs, secrets.corpus_model(docs), keep=["doc_id"])
     n = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
     return found.select(
         "doc_id", *(n(k).alias(f"n_{k}") for k in secrets.KINDS),

@@ -4,7 +4,10 @@ The base patterns are assignments to credential names, access key ids and long h
 in a wider credential context (`pwd:`, `passphrase =`, `auth_key=` ...) is priced: dynamic programming finds the cheapest
 segmentation into common words, dates, repeats, keyboard walks, sequences and brute-force characters, in decades of
 guesses. A value whose cheapest segmentation still costs `least_decades` is a finding of kind `guess`; placeholders such
-as `changeme123` stay. The cost of assigned values is reported too, base findings stay whatever they cost.
+as `changeme123` stay. Values made of letters only are priced too; for those the words of the corpus count as common
+(`corpus_model`: the `CORPUS_WORDS` words of 4 to 32 letters that stand in the most documents, two at least, outside of
+credential contexts). So a rarer word in a context, or a chain of words that costs the limit, is a finding, and a password
+that two documents also use as a word elsewhere is none. Values shorter than `least_length` are not priced. The cost of assigned values is reported too, base findings stay whatever they cost.
 
 The automaton has one state per kind of span, so the work grows with the length of a value (times the longest word), and
 texts are scanned whole. Positions are code points, ends are exclusive.
@@ -56,6 +59,7 @@ COMMON_WORDS = (
     "money freedom whatever michael jordan daniel charlie thomas george robert ashley jessica andrew hunter "
     "killer pepper ginger cookie summer flower purple orange silver golden tiger eagle wolf cheese banana apple"
 ).split()
+CORPUS_WORDS = 20_000
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 
@@ -92,14 +96,31 @@ def _brute(c: str) -> float:
 @dataclass(frozen=True)
 class GuessModel:
     """`words`: frequent parts, most frequent first; `least_decades`: from how many decades of guesses a value counts;
-    `least_length`: shorter values are not priced."""
+    `least_length`: shorter values are not priced; `prose`: further words for values of letters only."""
 
     words: tuple[str, ...] = tuple(dict.fromkeys(COMMON_WORDS))
     least_decades: float = 8.0
     least_length: int = 8
+    prose: tuple[str, ...] = ()
 
     def ranks(self) -> dict[str, float]:
-        return {w: math.log10(i + 2) for i, w in enumerate(self.words)}
+        return _ranks(self.words)
+
+    def prose_ranks(self) -> dict[str, float]:
+        return _ranks(tuple(dict.fromkeys(self.words + self.prose)))
+
+
+def _ranks(words: tuple[str, ...]) -> dict[str, float]:
+    return {w: math.log10(i + 2) for i, w in enumerate(words)}
+
+
+def corpus_model(docs: DataFrame, text: str = "text") -> GuessModel:
+    """The model whose words for values of letters only are those of `docs`; `CORPUS_WORDS` words at most reach the driver."""
+    outside = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "(?i)" + _CONTEXT.pattern, " ")
+    words = F.regexp_extract_all(F.lower(outside), F.lit(r"(?<!\p{L})\p{L}{4,32}(?!\p{L})"), F.lit(0))
+    rows = docs.select(F.explode(F.array_distinct(words)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    found = rows.where("n > 1").orderBy(F.desc("n"), "word").limit(CORPUS_WORDS).collect()
+    return GuessModel(prose=tuple(r["word"] for r in found))
 
 
 def guess_cost(value: str, ranks: dict[str, float]) -> tuple[float, list[tuple[str, int, int]]]:
@@ -159,8 +180,8 @@ def guess_cost(value: str, ranks: dict[str, float]) -> tuple[float, list[tuple[s
     return best[-1], spans[::-1]
 
 
-def findings(text: str, model: GuessModel, ranks: dict[str, float]) -> list[dict]:
-    """All findings of one text by start, then kind."""
+def findings(text: str, model: GuessModel, ranks: dict[str, float], prose: dict[str, float] | None = None) -> list[dict]:
+    """All findings of one text by start, then kind; `prose` has the ranks for values of letters only."""
     out = []
 
     def add(kind, start, end, value_start, decades=None, parts=None):
@@ -186,8 +207,8 @@ def findings(text: str, model: GuessModel, ranks: dict[str, float]) -> list[dict
                 nearest += 1
             if nearest < len(taken) and taken[nearest][0] <= start:  # a base value that reaches its end
                 continue
-            if len(value) >= model.least_length and any(not c.isalpha() for c in value):
-                decades, parts = guess_cost(value, ranks)
+            if len(value) >= model.least_length:
+                decades, parts = guess_cost(value, prose if prose and value.isalpha() else ranks)
                 if decades >= model.least_decades:
                     add("guess", start, end, start, decades, parts)
     if "AKIA" in text:
@@ -215,12 +236,12 @@ def with_findings(docs: DataFrame, model: GuessModel = GuessModel(), text: str =
     """`docs` with an array of findings: kind, span, where the value begins, decades of guesses, cheapest spans."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    ranks = model.ranks()
+    ranks, prose = model.ranks(), model.prose_ranks()
     field = T.StructField(column, T.ArrayType(FINDING))
 
     def kernel(batch: pa.RecordBatch) -> dict:
         texts = ar.texts_of(batch, text)
-        found = [findings(t, model, ranks) for t in texts.to_pylist()]
+        found = [findings(t, model, ranks, prose) for t in texts.to_pylist()]
         return {column: pa.array(found, to_arrow_type(field.dataType))}
 
     return ar.arrow_map(docs, kernel, [field], keep, text)

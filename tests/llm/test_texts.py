@@ -169,6 +169,19 @@ def test_values_that_go_on_behind_a_base_value_are_taken_out():
     assert only["kind"] == "assign"
 
 
+def test_values_of_letters_are_priced(spark):
+    texts = ["pwd=kqxvzjwmbtrhpdgs, the same", "passphrase: XkQzVwMbTrHp", "auth: straightforward", "pass: unabhängigkeit",
+             "straightforward prose, Unabhängigkeit", "more straightforward prose, UNABHÄNGIGKEIT", None,
+             "pwd=kqxvzjwmbtrhpdgs", "pwd=kqxvzjwmbtrhpdgs"]
+    table = docs(spark, texts)
+    model = sc.corpus_model(table)
+    assert "straightforward" in model.prose and "unabhängigkeit" in model.prose and "kqxvzjwmbtrhpdgs" not in model.prose
+    found = {r["doc_id"]: [texts[r["doc_id"]][f["start"] : f["end"]] for f in r["findings"] if f["kind"] == "guess"]
+             for r in sc.with_findings(table, model).collect()}
+    secret = ["kqxvzjwmbtrhpdgs"]
+    assert found == {0: secret, 1: ["XkQzVwMbTrHp"], 7: secret, 8: secret} | {k: [] for k in (2, 3, 4, 5, 6)}
+
+
 def test_secrets_are_taken_out(spark):
     rows = sc.redacted(sc.with_findings(docs(spark, EDGE + SECRETS))).collect()
     for r in rows:
