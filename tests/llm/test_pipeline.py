@@ -5,7 +5,7 @@ import random
 import pytest
 from helpers import EDGE, docs, prose
 from test_groups import edited, plain_classes
-from test_texts import SECRETS, plain_base, plain_hits, plain_quality
+from test_text_operators import SECRETS, plain_base, plain_hits, plain_quality
 
 import corpus_pipeline as pl
 from talkspan.llm import repeats, store
