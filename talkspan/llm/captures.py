@@ -11,12 +11,17 @@ per capture, and `resolved` joins revisits to the record they refer to.
 
 Defined results: a null or empty payload is an empty block; pages with equal payloads keep the smallest page id as
 response (a null page id counts as larger than any other; rows that repeat a page id and its payload are each archived,
-under one identifier, and are both responses or both revisits); several requests or metadata records of one capture give that with the smallest record id, and their number; requests
-and metadata without a capture are in `orphans`. Other input columns are not archived.
+under one identifier, and are both responses or both revisits); several requests or metadata records of one capture give that
+with the smallest record id and their number, the others are in `further`; a record may name several captures and stands
+beside each; requests and metadata without a capture are in `orphans`. Bytes behind the end of a record (records of another
+version of the format too) and uncompressed archives of more than one split are errors. Other input columns are not
+archived.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import re
 
 import pyarrow as pa
@@ -111,7 +116,7 @@ def write(pages: DataFrame, path: str, **options) -> None:
 RECORD = T.StructType([
     T.StructField("record_id", T.StringType()),
     T.StructField("type", T.StringType()),
-    T.StructField("concurrent_to", T.StringType()),
+    T.StructField("concurrent_to", T.ArrayType(T.StringType())),
     T.StructField("refers_to", T.StringType()),
     T.StructField("uri", T.StringType()),
     T.StructField("date", T.StringType()),
@@ -119,35 +124,38 @@ RECORD = T.StructType([
     T.StructField("head", T.StringType()),
     T.StructField("body", T.BinaryType()),
     T.StructField("body_bytes", T.LongType()),
+    T.StructField("body_digest", T.StringType()),
 ])
 _NAMES = {
-    "warc-record-id": "record_id", "warc-type": "type", "warc-concurrent-to": "concurrent_to",
+    "warc-record-id": "record_id", "warc-type": "type",
     "warc-refers-to": "refers_to", "warc-target-uri": "uri", "warc-date": "date", "warc-payload-digest": "digest",
 }
 _LENGTH = re.compile(rb"^content-length:[ \t]*(\d+)", re.IGNORECASE | re.MULTILINE)
 
 
-def _fields(head: bytes) -> dict[str, str]:
+def _fields(head: bytes) -> dict[str, list[str]]:
     out = {}
     for line in head.decode("utf-8", "replace").split(_END):
         name, colon, value = line.partition(":")
         if colon:
-            out.setdefault(name.strip().lower(), value.strip())
+            out.setdefault(name.strip().lower(), []).append(value.strip())
     return out
 
 
 def parse_record(head: bytes, block: bytes, payloads: bool = True) -> dict:
     """One record: its fields, and for HTTP content the head and the body apart (null without `payloads`)."""
     named = _fields(head)
-    out = dict.fromkeys((f.name for f in RECORD), None) | {_NAMES[k]: v for k, v in named.items() if k in _NAMES}
+    out = dict.fromkeys((f.name for f in RECORD), None) | {_NAMES[k]: v[0] for k, v in named.items() if k in _NAMES}
+    out["concurrent_to"] = named.get("warc-concurrent-to", [])
     if out["digest"]:
         out["digest"] = out["digest"].rpartition(":")[2]
-    if named.get("content-type", "").lower().startswith("application/http"):
+    if named.get("content-type", [""])[0].lower().startswith("application/http"):
         top, gap, body = block.partition(_GAP.encode())
         out["head"], out["body"] = top.decode("utf-8", "replace"), body if payloads else None
     else:
         body = out["body"] = block
     out["body_bytes"] = len(body)
+    out["body_digest"] = base64.b32encode(hashlib.sha1(body).digest()).decode()
     return out
 
 
@@ -174,6 +182,8 @@ def _whole_records(pieces):
             have += len(version) + len(piece)
         if have >= need:
             raw = version.join(held)
+            if raw[need:].strip(b"\r\n"):  # another version's records, or a Content-Length that is too small
+                raise ValueError("bytes behind the end of a record")
             yield head, raw[len(head) + len(gap) : need]
             held = None
     if held:
@@ -183,7 +193,8 @@ def _whole_records(pieces):
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of all archives below `path`; without `payloads` only the sizes of HTTP bodies are kept."""
     pieces = spark.read.option("lineSep", VERSION + _END).text(path)
-    pieces = pieces.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"))
+    pieces = pieces.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"),
+                           F.col("_metadata.file_block_start").alias("block_start"))
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -193,7 +204,9 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         def stream():
             last = None
             for batch in batches:
-                for piece, file in zip(batch.column(0), batch.column(1)):
+                for piece, file, block_start in zip(*batch.columns):
+                    if block_start.as_py():
+                        raise ValueError("archives that are not compressed must fit into one split")
                     name = file.as_py()
                     if name != last:
                         last = name
@@ -218,10 +231,19 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
 def _beside(rows: DataFrame, kind: str) -> DataFrame:
     """The smallest record of a kind for each capture, and how many there are."""
-    own = rows.where((F.col("type") == kind) & F.col("concurrent_to").isNotNull())
     fields = F.struct("record_id", "date", "head", "body").alias(kind)
-    least = F.min_by(fields, "record_id").alias(kind)
-    return own.groupBy(F.col("concurrent_to").alias("record_id")).agg(least, F.count(F.lit(1)).alias(f"n_{kind}"))
+    own = rows.where(F.col("type") == kind).select(fields, F.explode("concurrent_to").alias("capture"))
+    least = F.min_by(kind, F.col(kind)["record_id"]).alias(kind)
+    return own.groupBy(F.col("capture").alias("record_id")).agg(least, F.count(F.lit(1)).alias(f"n_{kind}"))
+
+
+def further(rows: DataFrame) -> DataFrame:
+    """The request and metadata records that stand beside a capture as `transactions` has it: `capture_id` and all but the
+    smallest record of each kind."""
+    own = rows.where(F.col("type").isin("request", "metadata"))
+    own = own.select(F.explode("concurrent_to").alias("capture_id"), *[f.name for f in RECORD if f.name != "concurrent_to"])
+    least = own.groupBy("capture_id", "type").agg(F.min("record_id").alias("first"))
+    return own.join(least, ["capture_id", "type"]).where(F.col("record_id") > F.col("first")).drop("first")
 
 
 def transactions(rows: DataFrame) -> DataFrame:
@@ -229,7 +251,7 @@ def transactions(rows: DataFrame) -> DataFrame:
     captures = rows.where(F.col("type").isin("response", "revisit"))
     captures = captures.select(
         "record_id", "uri", F.col("type").alias("capture_type"), "digest", "refers_to",
-        F.struct("date", "head", "body", "body_bytes").alias("response"),
+        F.struct("date", "head", "body", "body_bytes", "body_digest").alias("response"),
     )
     for kind in ("request", "metadata"):
         captures = captures.join(_beside(rows, kind), "record_id", "left")
@@ -238,19 +260,23 @@ def transactions(rows: DataFrame) -> DataFrame:
 
 def orphans(rows: DataFrame) -> DataFrame:
     """Requests and metadata records whose capture is not there."""
-    captures = rows.where(F.col("type").isin("response", "revisit")).select(F.col("record_id").alias("concurrent_to"))
-    return rows.where(F.col("type").isin("request", "metadata")).join(captures, "concurrent_to", "left_anti")
+    captures = rows.where(F.col("type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"))
+    own = rows.where(F.col("type").isin("request", "metadata"))
+    named = own.select("record_id", F.explode("concurrent_to").alias("capture_id"))
+    return own.join(named.join(captures, "capture_id", "left_semi"), "record_id", "left_anti")
 
 
 def flat(captures: DataFrame) -> DataFrame:
-    """`record_id, page_id, payload_bytes, payload_digest, record_type, refers_to` of captures. A revisit has the size
-    that its HTTP head names."""
+    """`record_id, page_id, payload_bytes, payload_digest, record_type, refers_to` of captures. Size and digest of a
+    response are those of the body that was read; a revisit has the size that its HTTP head names and the digest of its
+    header."""
     said = F.regexp_extract(F.col("metadata.body").cast("string"), r"(?m)^page-id: *(-?\d+)", 1)
     length = F.regexp_extract("response.head", r"(?im)^content-length: *(\d+)", 1).cast("long")
     return captures.select(
         "record_id", F.when(said != "", said.cast("long")).alias("page_id"),
         F.when(F.col("capture_type") == "response", F.col("response.body_bytes")).otherwise(length).alias("payload_bytes"),
-        F.col("digest").alias("payload_digest"), F.col("capture_type").alias("record_type"), "refers_to",
+        F.when(F.col("capture_type") == "response", F.col("response.body_digest")).otherwise(F.col("digest"))
+        .alias("payload_digest"), F.col("capture_type").alias("record_type"), "refers_to",
     )
 
 
