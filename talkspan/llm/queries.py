@@ -11,6 +11,7 @@ from talkspan.llm import (
     bpe,
     captures,
     chat,
+    collocations,
     decontaminate,
     neardup,
     repeats,
@@ -253,3 +254,42 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.apply(3, deletes)
     rollup.compact()
     return rollup.totals()
+
+
+SQL_PHRASES = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) s(k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase),
+total AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 100),
+inner_parts AS (
+  SELECT lang, array_to_string(list_slice(ws, 1, k - 1), ' ') AS phrase, f FROM cand WHERE k > 2
+  UNION ALL SELECT lang, array_to_string(list_slice(ws, 2, k), ' '), f FROM cand WHERE k > 2),
+held AS (SELECT lang, phrase, max(f) AS longer FROM inner_parts GROUP BY lang, phrase),
+kept AS (
+  SELECT c.* FROM cand c LEFT JOIN held h ON c.lang = h.lang AND c.phrase = h.phrase
+  WHERE h.longer IS NULL OR 100 * h.longer < 100 * c.f),
+cuts AS (
+  SELECT *, array_to_string(list_slice(ws, 1, j), ' ') AS first_part, array_to_string(list_slice(ws, j + 1, k), ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM kept)),
+rates AS (
+  SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, CAST(t.n AS BIGINT) AS n, j,
+         CAST((CAST(1000 AS HUGEINT) * c.f * t.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first_part
+  JOIN f y ON y.lang = c.lang AND y.phrase = c.rest JOIN total t ON t.lang = c.lang),
+lowest AS (SELECT * FROM rates QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest QUALIFY rank <= 2000
+"""
+
+
+@query("op11_collocations", SQL_PHRASES)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.best(collocations.mined(table(spark, sf_dir, "documents")))
+    return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
