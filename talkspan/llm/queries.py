@@ -20,6 +20,7 @@ from talkspan.llm import (
     shards,
     store,
     token_files,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -293,3 +294,16 @@ FROM lowest QUALIFY rank <= 2000
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = collocations.best(collocations.mined(table(spark, sf_dir, "documents")))
     return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whitening.whiten(whitening.steps(table(spark, sf_dir, "embeddings")), ["vec_id"])
+    model = made.model
+    shares = [] if model is None else [float(e / model.trace) for e in model.values]
+    explained = F.array(*map(F.lit, shares)) if shares else F.array().cast("array<double>")
+    rows = made.rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(0 if model is None else model.centre.n).cast("long").alias("n"),
+        "deviation", "whitened", F.get(explained, F.col("at")).alias("explained"), F.lit(made.error).alias("identity_error"),
+    )
