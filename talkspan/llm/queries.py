@@ -14,6 +14,7 @@ from talkspan.llm import (
     collocations,
     decontaminate,
     neardup,
+    packing,
     repeats,
     rollups,
     secrets,
@@ -307,3 +308,11 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", (F.col("at") + 1).alias("component"), F.lit(0 if model is None else model.centre.n).cast("long").alias("n"),
         "deviation", "whitened", F.get(explained, F.col("at")).alias("explained"), F.lit(made.error).alias("identity_error"),
     )
+
+
+@query("op13_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.fresh_path(spark, "packed")
+    packing.write(table(spark, sf_dir, "documents"), path, vocabulary())
+    return packing.measured(packing.read(spark, path)).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
