@@ -2,7 +2,7 @@
 
 The token ids of documents, each with its end id, stand behind each other in ascending (`doc_id`, input position) order.
 A sequence is a window of that stream of at most `size` ids; where windows meet is a cut. A window is padded to `size`
-unless its length is a power of two. A cut costs nothing behind a document, `sentence` behind a sentence and `hard` elsewhere,
+unless its length is a power of two (of those only `least` and more are sought, else there would be many short windows). A cut costs nothing behind a document, `sentence` behind a sentence and `hard` elsewhere,
 in ids of padding; each window costs `window`. Cuts may stand behind documents and sentences, and in stretches of more than
 `stride` ids without either every `stride` ids. The cheapest windows are found from left to right: of the cuts that lie at most
 `size` ids back, a monotone queue holds those that can still be the best, so each cut enters and leaves it once; windows of
@@ -60,6 +60,7 @@ class Prices:
     hard: int = 16
     window: int = 1
     stride: int = 32
+    least: int = 64
 
     def padding(self, length: int) -> int:
         return 0 if length & (length - 1) == 0 else self.size - length
@@ -84,39 +85,44 @@ class Windows:
         self.at = [0]  # the cut that is final last, then the open ones
         self.cost = [0]
         self.back = [0]
-        self._queue: list[tuple[int, int]] = [(0, 0)]  # (cost + place, cut), falling from the end to the head
-        self._head = 0
+        self._keys, self._cuts, self._head = [0], [0], 0  # the queue: cost + place, rising from the head, and the cut
 
     def extend(self, places: np.ndarray, prices: np.ndarray) -> None:
         """Adds cuts; consecutive places lie at most `size` apart."""
-        old = np.array(self.at[-self.prices.size - 1 :], np.int64)
-        shift = len(self.at) - len(old)
-        known = np.concatenate([old, places])
-        exact: dict[int, list[int]] = {}
-        length = 1
-        while length < self.prices.size:
+        n, size, window = len(self.at), self.prices.size, self.prices.window
+        shift = max(0, n - size - 1)
+        known = np.concatenate([np.array(self.at[shift:], np.int64), places])
+        exact: list = [()] * len(places)
+        length = self.prices.least
+        while length < size:
             spot = np.minimum(np.searchsorted(known, places - length), len(known) - 1)
-            for j in np.flatnonzero(known[spot] == places - length).tolist():
-                exact.setdefault(j, []).append(int(spot[j]) + shift)
+            found = np.flatnonzero(known[spot] == places - length)
+            for j, i in zip(found.tolist(), (spot[found] + shift).tolist()):
+                exact[j] = (*exact[j], i)
             length *= 2
-        size, window = self.prices.size, self.prices.window
-        at, cost, back, queue, head = self.at, self.cost, self.back, self._queue, self._head
-        for j, (place, price) in enumerate(zip(places.tolist(), prices.tolist())):
-            while at[queue[head][1]] < place - size:
+        places = places.tolist()
+        at, cost, back, keys, cuts, head = self.at, self.cost, self.back, self._keys, self._cuts, self._head
+        at.extend(places)
+        for place, price, others in zip(places, prices.tolist(), exact):
+            far = place - size
+            while at[cuts[head]] < far:
                 head += 1
-            best, source = queue[head]
-            best += size - place
-            for i in exact.get(j, ()):
+            best, source = keys[head] - far, cuts[head]
+            for i in others:
                 if cost[i] < best:
                     best, source = cost[i], i
             best += price + window
-            key = best + place
-            while len(queue) > head and queue[-1][0] >= key:
-                queue.pop()
-            queue.append((key, len(at)))
-            at.append(place)
             cost.append(best)
             back.append(source)
+            best += place
+            while keys and keys[-1] >= best:  # those before the head are smaller than those behind it
+                keys.pop()
+                cuts.pop()
+            if len(keys) < head:
+                head = len(keys)
+            keys.append(best)
+            cuts.append(n)
+            n += 1
         self._head = head
 
     def final(self, last: bool = False, force: bool = False) -> list[int]:
@@ -140,8 +146,8 @@ class Windows:
             i = self.back[i]
         if end:
             base = self.cost[end]
-            self._queue = [(k - base, i - end) for k, i in self._queue[self._head :] if i >= end]
-            self._head = 0
+            queue = [(k - base, i - end) for k, i in zip(self._keys[self._head :], self._cuts[self._head :]) if i >= end]
+            self._keys, self._cuts, self._head = [k for k, _ in queue], [i for _, i in queue], 0
             self.at, self.cost = self.at[end:], [c - base for c in self.cost[end:]]
             self.back = [0] + [max(0, i - end) for i in self.back[end + 1 :]]
         return ends[::-1]
