@@ -27,14 +27,6 @@ _NONE = np.int64(1) << 62
 _TREE_CELLS = 1 << 21
 
 
-def byte_letters() -> dict[int, str]:
-    """The printable character that stands for each byte in byte-level vocabularies: printable bytes stand for
-    themselves, the others in turn for the characters from U+0100 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
-
-
 class Merges:
     """Merge ranks of a vocabulary file as sorted arrays."""
 
@@ -42,7 +34,7 @@ class Merges:
         made = pt.check_settings(path)
         vocab, merges = made["model"]["vocab"], made["model"]["merges"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
-        letters = byte_letters()
+        letters = pt.byte_letters()
         self.byte_ids = np.array([vocab[letters[b]] for b in range(256)], np.int64)
         self._n = max([*vocab.values(), *(t["id"] for t in made["added_tokens"])]) + 1
         keys = np.array([vocab[a] * self._n + vocab[b] for a, b in pairs], np.int64)
@@ -154,7 +146,10 @@ class Codec:
     def __init__(self, path: str):
         self.merges = Merges(path)
         self.cutter = pt.Cutter(path)
-        self.lexicon = pt.Lexicon(lambda words: merge_all(words, self.merges))
+        self.lexicon = pt.Lexicon(self._encode)
+
+    def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        return merge_all([data[a:b].tobytes() for a, b in zip(starts, ends)], self.merges)
 
     @classmethod
     def of(cls, path: str) -> Codec:

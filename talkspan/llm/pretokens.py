@@ -1,8 +1,8 @@
 """Texts cut into pre-tokens by array steps, and a bounded memory of the ids of pre-tokens seen.
 
 Byte-level BPE never merges over the border of a pre-token, so a text is encoded by encoding its distinct pre-tokens.
-`cut` finds the borders of a block of texts from the classes of their characters (letter, number, white space, other);
-`Lexicon` keeps the ids of up to `limit` distinct pre-tokens in flat sorted arrays and forgets the least used ones when it
+`cut` finds the borders of a block of texts from the classes of their characters (letter, number, white space, other), byte
+by byte; `Lexicon` keeps the ids of up to `limit` distinct pre-tokens in flat arrays and forgets the least used ones when it
 would pass the limit, so its size never decides a result. Both depend on the vocabulary file's own settings: byte-level pre-tokenizing
 without a prefix space, no normalizer; others are refused.
 """
@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 from talkspan.llm import arrays as ar
 
-LETTER, NUMBER, SPACE, OTHER, UNKNOWN = range(5)
+LETTER, NUMBER, SPACE, OTHER, UNKNOWN, CLOSE, MARK = range(7)
 _VALUES = ar.value_table(256)
 
 
@@ -39,6 +40,14 @@ def check_settings(path: str) -> dict:
     return made
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: printable bytes stand for
+    themselves, the others in turn for the characters from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
 class CharacterClasses:
     """Classes of code points as the tokenizers library sees them: each is asked for once, when it first occurs."""
 
@@ -47,6 +56,7 @@ class CharacterClasses:
         self._table = np.full(0x110000, UNKNOWN, np.uint8)
         for c in range(0x80):
             self._table[c] = self._ask(c)
+        self.ascii = self._table[:256].copy()  # by byte; those of longer characters are set by `byte_classes`
 
     def _ask(self, code: int) -> int:
         if code == 0x20:
@@ -67,61 +77,72 @@ class CharacterClasses:
         return found
 
 
-def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of UTF-8 bytes, and the byte position of each."""
-    lead = np.flatnonzero((data & 0xC0) != 0x80)
-    if len(lead) == len(data):
-        return data.astype(np.uint32), lead
-    first = data[lead].astype(np.uint32)
-    size = 1 + (first >= 0xC0) + (first >= 0xE0) + (first >= 0xF0)
-    codes = np.where(size == 1, first, first & (0x7F >> size).astype(np.uint32))
-    for k in (1, 2, 3):
-        more = np.flatnonzero(size > k)
-        codes[more] = (codes[more] << 6) | (data[lead[more] + k] & 0x3F)
-    return codes, lead
+def byte_classes(data: np.ndarray, classes: CharacterClasses) -> np.ndarray:
+    """The class of the character that each byte of UTF-8 text belongs to."""
+    found = classes.ascii[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+        codes = (data[lead] & (0x7F >> size)).astype(np.int64)
+        for k in (1, 2, 3):
+            more = np.flatnonzero(size > k)
+            codes[more] = (codes[more] << 6) | (data[lead[more] + k] & 0x3F)
+        own = classes.of(codes)
+        found[lead] = own
+        for k in (1, 2, 3):
+            more = size > k
+            found[lead[more] + k] = own[more]
+    return found
 
 
-def borders(codes: np.ndarray, first: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Flags of the characters that begin a pre-token. `first` flags the characters that begin a text.
+def borders(data: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Flags of the bytes that begin a pre-token; bytes of class `CLOSE` end a text, those of class `MARK` a part of it.
 
     The rules, in words: runs of letters, numbers or other characters each take a blank before them; of white space
     before another character all but the last one stay together, and that one joins what follows if it is a blank and
     else stands alone; an apostrophe that stands alone takes s, t, m, d, re, ve or ll from the letters behind it.
     """
-    n = len(codes)
-    begin = first.copy()
-    begin[1:] |= classes[1:] != classes[:-1]
-    last = np.ones(n, bool)
-    last[:-1] = first[1:]
-    space = classes == SPACE
-    solid_next = np.zeros(n, bool)
-    solid_next[:-1] = ~space[1:] & ~last[:-1]
-    closing = space & solid_next
-    begin |= closing
-    joins = closing & (codes == 0x20)
-    after = np.flatnonzero(joins) + 1
-    begin[after] = False
-    # contractions
-    lone = np.flatnonzero((codes == 0x27) & begin & ~last)
+    n = len(data)
+    begin = np.ones(n, bool)
+    np.not_equal(classes[1:], classes[:-1], out=begin[1:])
+    last = np.flatnonzero((classes[:-1] == SPACE) & begin[1:])  # the last byte of a run of white space
+    last = last[classes[last + 1] < CLOSE]
+    blank = data[last] == 0x20
+    begin[last[blank]] = True
+    begin[last[blank] + 1] = False
+    other = last[~blank]
+    while len(inner := np.flatnonzero((data[other] & 0xC0) == 0x80)):
+        other[inner] -= 1
+    begin[other] = True
+    lone = np.flatnonzero((data == 0x27) & begin)
+    lone = lone[lone + 1 < n]
     lone = lone[classes[lone + 1] == LETTER]
     if len(lone):
-        end = np.concatenate([codes, np.zeros(3, codes.dtype)])
-        one = np.isin(end[lone + 1], [ord(c) for c in "stmd"])
-        pair_end = lone + 2
-        inside = np.zeros(len(lone), bool)
-        ok = pair_end < n
-        inside[ok] = ~first[pair_end[ok]]
+        ahead = np.concatenate([data, np.zeros(3, data.dtype)])
+        one = np.isin(ahead[lone + 1], [ord(c) for c in "stmd"])
         pairs = [(ord(a), ord(b)) for a, b in ("re", "ve", "ll")]
-        two = inside & np.logical_or.reduce([(end[lone + 1] == a) & (end[lone + 2] == b) for a, b in pairs])
+        two = np.logical_or.reduce([(ahead[lone + 1] == a) & (ahead[lone + 2] == b) for a, b in pairs])
         for hit, width in ((one, 1), (two, 2)):
             at = lone[hit]
             begin[at + 1] = False
             rest = at + 1 + width
-            rest = rest[rest < n]
-            begin[rest] = True
+            # a blank that joins what follows begins by itself; what follows it does not
+            begin[rest[rest < n]] = True
     return begin
 
 
+@dataclass
+class Cut:
+    """Pre-tokens of a block of texts: the bytes, starts and ends, how many each text has, and the ids of the pre-tokens
+    that are special strings by their number."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    per_text: np.ndarray
+    marks: dict[int, int]
+
+
 class Cutter:
     """Cuts blocks of texts into pre-tokens; special strings of the vocabulary stand alone."""
 
@@ -134,37 +155,27 @@ class Cutter:
         }
         self.classes = CharacterClasses(Tokenizer.from_file(path).pre_tokenizer)
 
-    def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, int]]:
-        """Bytes of the texts, starts and ends of the pre-tokens in them, how many each text has, and the ids of the
-        pre-tokens that are special strings by their number."""
+    def cut(self, texts: pa.Array) -> Cut:
         block = ar.block_of(texts)
         data, n = block.data, block.n
-        codes, at = code_points(data)
-        first_at = np.searchsorted(at, block.starts[:-1])
-        closing = np.searchsorted(at, block.starts[1:]) - 1  # the newline that closes each text
-        keep = np.ones(len(codes), bool)
-        keep[closing] = False
-        first = np.zeros(len(codes), bool)
-        first[first_at] = True
+        classes = byte_classes(data, self.classes)
+        classes[block.starts[1:] - 1] = CLOSE  # the newline behind each text
         marks: dict[int, tuple[int, int]] = {}  # byte position: its end, its id
         for content, number in self.special.items():
             self._find_special(data, content.encode(), number, marks)
         for a, (b, _) in marks.items():
-            first[np.searchsorted(at, [a, b])] = True
-        # the closing newlines leave, and the character behind one begins a text
-        codes, at, first = codes[keep], at[keep], first[keep]
-        begin = borders(codes, first, self.classes.of(codes)) if len(codes) else np.zeros(0, bool)
-        for a, (b, _) in marks.items():
-            begin[np.searchsorted(at, a) + 1 : np.searchsorted(at, b)] = False
-        starts = at[begin]
-        owner = block.owner(starts)
-        ends = np.empty_like(starts)
-        ends[:-1] = starts[1:]
-        if len(ends):
-            ends[-1] = len(data)
-        ends = np.minimum(ends, block.starts[owner + 1] - 1)
-        numbers = {int(np.searchsorted(starts, a)): v for a, (_, v) in marks.items()}
-        return data, starts, ends, np.bincount(owner, minlength=n), numbers
+            classes[a:b] = MARK
+        begin = borders(data, classes) if len(data) else np.zeros(0, bool)
+        begin[list(marks)] = True
+        points = np.flatnonzero(begin)
+        ends = np.append(points[1:], len(data))
+        kinds = classes[points]
+        inside = kinds != CLOSE
+        starts, ends, kinds = points[inside], ends[inside], kinds[inside]
+        before = np.concatenate([[0], np.cumsum(inside)])
+        per_text = np.diff(before[np.searchsorted(points, block.starts)])
+        numbers = {int(i): marks[int(starts[i])][1] for i in np.flatnonzero(kinds == MARK)}
+        return Cut(data, starts, ends, per_text, numbers)
 
     @staticmethod
     def _find_special(data, content, number, marks):
@@ -175,82 +186,149 @@ class Cutter:
             p = raw.find(content, p + len(content))
 
 
+_WORD_BYTES, _LONG = 8, 64
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(_WORD_BYTES + 1)], np.uint64)
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span, never 0: eight bytes at a time, and for spans of over 64 bytes the hash of `arrays`."""
+    padded = np.concatenate([data, np.zeros(_WORD_BYTES, np.uint8)])
+    words = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    sizes = ends - starts
+    with np.errstate(over="ignore"):
+        keys = ar.mixed((words[starts] & _MASKS[np.minimum(sizes, _WORD_BYTES)]) ^ ar.mixed(sizes.astype(np.uint64)))
+        at = _WORD_BYTES
+        more = np.flatnonzero((sizes > at) & (sizes <= _LONG))
+        while len(more):
+            piece = words[starts[more] + at] & _MASKS[np.minimum(sizes[more] - at, _WORD_BYTES)]
+            keys[more] = ar.mixed(keys[more] * np.uint64(0xD6E8FEB86659FD93) + piece)
+            at += _WORD_BYTES
+            more = more[sizes[more] > at]
+    long = np.flatnonzero(sizes > _LONG)
+    if len(long):
+        keys[long] = ar.span_hashes(_VALUES, data, starts[long], ends[long])
+    keys[keys == 0] = 1
+    return keys
+
+
 class Lexicon:
-    """Ids of distinct pre-tokens by a 64-bit hash of their bytes, in sorted flat arrays."""
+    """Ids of distinct pre-tokens by a 64-bit hash of their bytes, in an open-addressed table of flat arrays.
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]],
-                 limit: int = 1 << 20):
-        self._encode, self._limit = encode, limit
-        self._clear()
+    `encode` takes the bytes of a block, starts and ends of pre-tokens; it gives ids in one array, where those of each
+    pre-token begin, and how many it has.
+    """
 
-    def _clear(self):
+    def __init__(self, encode: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]], limit: int = 1 << 20):
+        self._encode, self._limit = encode, limit
         self.keys = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int32)
         self.used = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
+        self._n = 0  # entries; the arrays above have room for more
+        self._n_ids = 0
+        self._place(1 << 12)
 
-    def look_up(self, data, starts, ends) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, cut: Cut) -> tuple[np.ndarray, np.ndarray]:
         """Place in `ids` and number of ids for each span."""
-        spans = ar.span_hashes(_VALUES, data, starts, ends)
-        keys, sample, back, times = np.unique(spans, return_index=True, return_inverse=True, return_counts=True)
-        known = self._known(keys)
-        if not known.all():
-            if len(self.keys) + (~known).sum() > self._limit:
+        keys = span_keys(cut.data, cut.starts, cut.ends)
+        entry = self._find(keys)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            _, first = np.unique(keys[missing], return_index=True)
+            if self._n + len(first) > self._limit and self._n:
                 self._forget()
-                known = self._known(keys)
-            self._learn(keys[~known], [data[starts[i] : ends[i]].tobytes() for i in sample[~known]])
-        place = np.searchsorted(self.keys, keys)
-        self.used[place] += times
-        return self.at[place][back], self.size[place][back]
-
-    def _known(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), bool)
-        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.keys[place] == keys
+                entry = self._find(keys)
+                missing = np.flatnonzero(entry < 0)
+                _, first = np.unique(keys[missing], return_index=True)
+            new = missing[first]
+            self._learn(keys[new], *self._encode(cut.data, cut.starts[new], cut.ends[new]))
+            entry[missing] = self._find(keys[missing])
+        np.add.at(self.used, entry, 1)
+        return self.at[entry], self.size[entry]
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, -1 where there is none."""
+        mask = np.uint64(len(self._slots) - 1)
+        slot = (keys & mask).astype(np.int64)
+        entry = self._slots[slot]
+        open_ = np.flatnonzero((entry >= 0) & (self.keys[entry] != keys)) if self._n else np.zeros(0, np.int64)
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & int(mask)
+            entry[open_] = self._slots[slot[open_]]
+            open_ = open_[(entry[open_] >= 0) & (self.keys[entry[open_]] != keys[open_])]
+        return entry
+
+    def _place(self, n_slots: int) -> None:
+        """Builds the table of slots anew."""
+        self._slots = np.full(n_slots, -1, np.int32)
+        self._add_slots(np.arange(self._n))
+
+    def _add_slots(self, entries: np.ndarray) -> None:
+        mask = len(self._slots) - 1
+        slot = (self.keys[entries] & np.uint64(mask)).astype(np.int64)
+        while len(entries):
+            free = self._slots[slot] < 0
+            self._slots[slot[free]] = entries[free]
+            lost = self._slots[slot] != entries
+            entries, slot = entries[lost], (slot[lost] + 1) & mask
 
     def _forget(self) -> None:
-        """Keeps the most used quarter of the limit and halves its counts, so that later texts count for more."""
-        stay = np.sort(np.argsort(-self.used, kind="stable")[: self._limit // 4])
-        self.ids = gathered(self.ids, self.at[stay], self.size[stay])
-        self.size = self.size[stay]
-        self.at = np.cumsum(self.size, dtype=np.int64) - self.size
-        self.keys, self.used = self.keys[stay], self.used[stay] // 2
-
-    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        ids, at, sizes = self._encode(words)
-        spot = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, spot, keys)
-        self.at = np.insert(self.at, spot, at + len(self.ids))
-        self.size = np.insert(self.size, spot, sizes)
-        self.used = np.insert(self.used, spot, 0)
-        self.ids = np.concatenate([self.ids, ids])
+        """Keeps the most used half of the limit and halves its counts, so that later texts count for more."""
+        stay = np.sort(np.argsort(-self.used[: self._n], kind="stable")[: self._limit // 2])
+        at, size = self.at[stay], self.size[stay]
+        self.ids = gathered(self.ids, at, size)
+        self.size, self.keys, self.used = size, self.keys[stay], self.used[stay] // 2
+        self.at = np.cumsum(size, dtype=np.int64) - size
+        self._n, self._n_ids = len(stay), len(self.ids)
+        self._place(len(self._slots))
+
+    def _learn(self, keys: np.ndarray, ids: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> None:
+        n, n_ids = self._n + len(keys), self._n_ids + len(ids)
+        for name in ("keys", "at", "size", "used"):
+            setattr(self, name, _with_room(getattr(self, name), self._n, n))
+        self.ids = _with_room(self.ids, self._n_ids, n_ids)
+        new = slice(self._n, n)
+        self.keys[new], self.at[new], self.size[new], self.used[new] = keys, at + self._n_ids, sizes, 0
+        self.ids[self._n_ids : n_ids] = ids
+        entries = np.arange(self._n, n)
+        self._n, self._n_ids = n, n_ids
+        if 2 * n > len(self._slots):
+            self._place(1 << (2 * n).bit_length())
+        else:
+            self._add_slots(entries)
+
+
+def _with_room(old: np.ndarray, used: int, wanted: int) -> np.ndarray:
+    """`old` with room for `wanted` values, of which `used` are kept."""
+    if wanted <= len(old):
+        return old
+    out = np.zeros(max(wanted, len(old) * 3 // 2, 1024), old.dtype)
+    out[:used] = old[:used]
+    return out
 
 
 def gathered(flat: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The pieces `flat[at:at + size]` behind each other."""
-    total = int(sizes.sum())
-    ends = np.cumsum(sizes)
-    steps = np.arange(total) - np.repeat(ends - sizes, sizes)
-    return flat[np.repeat(at, sizes) + steps]
+    ends = np.cumsum(sizes, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(at - (ends - sizes), sizes)]
 
 
 def encoded(texts: pa.Array, cutter: Cutter, lexicon: Lexicon) -> pa.ListArray:
     """The ids of each text."""
-    data, starts, ends, per_text, marks = cutter.cut(texts)
-    at, sizes = lexicon.look_up(data, starts, ends)
+    cut = cutter.cut(texts)
+    at, sizes = lexicon.look_up(cut)
     ids = gathered(lexicon.ids, at, sizes)
-    if marks:
+    if cut.marks:
         sizes = sizes.copy()
         spans = np.cumsum(sizes) - sizes
-        order = sorted(marks)
         keep = np.ones(len(ids), bool)
-        for k in order:
+        for k in sorted(cut.marks):
             keep[spans[k] + 1 : spans[k] + sizes[k]] = False
-            ids[spans[k]] = marks[k]
+            ids[spans[k]] = cut.marks[k]
             sizes[k] = 1
         ids = ids[keep]
     token_ends = np.concatenate([[0], np.cumsum(sizes)])
-    text_ends = token_ends[np.concatenate([[0], np.cumsum(per_text)])]
+    text_ends = token_ends[np.concatenate([[0], np.cumsum(cut.per_text)])]
     return ar.list_array(pa.array(ids, pa.int32()), np.diff(text_ends))

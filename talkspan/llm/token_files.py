@@ -5,8 +5,8 @@ before those of file k + 1. Every row carries the number of its file and how man
 the totals of the files read back, that gives the place of a document among all ids. Readers take any stripes in
 parallel, and a search for document ids skips stripes and row groups by their statistics and Bloom filters.
 
-Texts are encoded by the tokenizers library. It is given each distinct pre-token once per worker (many in one call, a
-newline between them); ids of texts are put together from those. Special strings in a text are recognized.
+Texts are encoded by the tokenizers library. Its model is given each distinct pre-token once per worker; ids of texts are
+put together from those. Special strings in a text are recognized.
 
 Defined results: null and empty texts have only the end id; a null `doc_id` comes first; rows with equal `doc_id` follow
 each other in input order. Other input columns are not written.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,6 @@ SCHEMA = T.StructType([
     T.StructField("ids_before", T.LongType()),
     T.StructField("ids", T.ArrayType(T.IntegerType())),
 ])
-_AT_ONCE = 500
 
 
 class LibraryCodec:
@@ -58,8 +58,7 @@ class LibraryCodec:
         self.cutter = pt.Cutter(path)
         self.lexicon = pt.Lexicon(self._encode)
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True  # the cutter has taken special strings out
-        self._gap = self._library.encode("\n", add_special_tokens=False).ids[0]
+        self._letters = np.array([ord(c) for _, c in sorted(pt.byte_letters().items())], "<u4")
 
     @classmethod
     def of(cls, path: str) -> LibraryCodec:
@@ -67,33 +66,16 @@ class LibraryCodec:
             cls._known[path] = cls(path)
         return cls._known[path]
 
-    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pre-tokens that don't end in white space stay whole between newlines; the few others are encoded on their
-        own."""
-        texts = [w.decode() for w in words]
-        plain = self.cutter.classes.of(np.array([ord(t[-1]) for t in texts], np.int64)) != pt.SPACE
-        joined = [i for i, p in enumerate(plain) if p]
-        sizes = np.zeros(len(words), np.int32)
-        at = np.zeros(len(words), np.int64)
-        parts, total = [], 0
-        groups = [joined[k : k + _AT_ONCE] for k in range(0, len(joined), _AT_ONCE)]
-        lines = ["\n".join(texts[i] for i in g) for g in groups]
-        for group, made in zip(groups, self._library.encode_batch_fast(lines, add_special_tokens=False)):
-            ids = np.array(made.ids, np.int32)
-            ends = np.append(np.flatnonzero(ids == self._gap), len(ids))
-            if len(ends) != len(group):
-                raise RuntimeError("the library did not keep the pre-tokens of a line apart")
-            starts = np.concatenate([[0], ends[:-1] + 1])
-            sizes[group] = ends - starts
-            at[group] = total + starts
-            total += len(ids)
-            parts.append(ids)
-        for i in (i for i, p in enumerate(plain) if not p):
-            ids = np.array(self._library.encode(texts[i], add_special_tokens=False).ids, np.int32)
-            sizes[i], at[i] = len(ids), total
-            total += len(ids)
-            parts.append(ids)
-        return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), at, sizes
+    def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """The library's model on each pre-token, written in the letters that stand for its bytes."""
+        lengths = ends - starts
+        letters = self._letters[pt.gathered(data, starts, lengths)].tobytes().decode("utf-32-le")
+        edges = np.concatenate([[0], np.cumsum(lengths)]).tolist()
+        tokenize = self._library.model.tokenize
+        made = [[t.id for t in tokenize(letters[a:b])] for a, b in zip(edges, edges[1:])]
+        sizes = np.fromiter(map(len, made), np.int32, len(made))
+        ids = np.fromiter(chain.from_iterable(made), np.int32, int(sizes.sum()))
+        return ids, np.cumsum(sizes, dtype=np.int64) - sizes, sizes
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         return pt.encoded(texts, self.cutter, self.lexicon)
@@ -105,11 +87,15 @@ def with_end(ids: pa.ListArray, end_id: int) -> pa.ListArray:
     return ar.list_array(pa.array(flat, pa.int32()), sizes + 1)
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, text: str = "text", end_id: int = END_ID) -> None:
-    """Writes the ids of all documents as ORC files in ascending `doc_id` order."""
+def ranged(docs: DataFrame, text: str = "text") -> DataFrame:
+    """`doc_id, text, position`, ranged and sorted by (`doc_id`, input position)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"),
                        F.monotonically_increasing_id().alias("position"))
-    ranged = rows.repartitionByRange("doc_id", "position").sortWithinPartitions("doc_id", "position")
+    return rows.repartitionByRange("doc_id", "position").sortWithinPartitions("doc_id", "position")
+
+
+def write(docs: DataFrame, path: str, vocabulary: str, text: str = "text", end_id: int = END_ID) -> None:
+    """Writes the ids of all documents as ORC files in ascending `doc_id` order."""
     schema = SCHEMA
 
     def run(batches):
@@ -128,7 +114,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, text: str = "text", end_i
                 )
 
     ar.bounded_batches(docs.sparkSession)
-    ranged.mapInArrow(run, schema).write.options(**ORC).orc(path)
+    ranged(docs, text).mapInArrow(run, schema).write.options(**ORC).orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
