@@ -28,6 +28,8 @@ from talkspan.llm import store
 #: Rows of a block or cell that one task sorts, about.
 BLOCK_ROWS = 50_000
 LEAST_BLOCKS = 64
+#: Numpy draws from fewer places than this.
+NUMPY_PLACES = 1_000_000_000
 
 
 def communication_matrix(block_rows: list[int], shard_rows: list[int], seed: int) -> np.ndarray:
@@ -44,10 +46,27 @@ def communication_matrix(block_rows: list[int], shard_rows: list[int], seed: int
 def _draw(rng, left: np.ndarray, n: int) -> np.ndarray:
     """How `n` rows without replacement fall on the open places of the shards."""
     total = int(left.sum())
-    if total < 1_000_000_000:  # numpy's own draw ends here
+    if total < NUMPY_PLACES:
         return rng.multivariate_hypergeometric(left, n, method="marginals")
-    places = rng.choice(total, n, replace=False, shuffle=False)
-    return np.bincount(np.searchsorted(np.cumsum(left), places, "right"), minlength=len(left))
+    out = np.zeros(len(left), np.int64)
+    for j, good in enumerate(left.tolist()):
+        out[j] = _hypergeometric(rng, good, total - good, n)
+        total, n = total - good, n - int(out[j])
+    return out
+
+
+def _hypergeometric(rng, good: int, bad: int, n: int) -> int:
+    """How many of `n` places drawn without replacement are good, from the probabilities within 12 standard deviations
+    (and 50 places) of the mode; all others together have less than 1e-30."""
+    low, high = max(0, n - bad), min(n, good)
+    mode = (n + 1) * (good + 1) // (good + bad + 2)
+    reach = 50 + int(12 * (n * (good / max(good + bad, 1)) * (bad / max(good + bad, 1))) ** 0.5)
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    ratios = np.log(n - k) + np.log(good - k) - np.log(k + 1) - np.log(bad - n + k + 1)
+    logs = np.concatenate([[0.0], np.cumsum(ratios)])
+    chance = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(np.searchsorted(chance, rng.random() * chance[-1], "right"))
 
 
 def write(rows: DataFrame, path: str, n_shards: int, seed: int = 7) -> None:
@@ -56,7 +75,8 @@ def write(rows: DataFrame, path: str, n_shards: int, seed: int = 7) -> None:
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("nth")]
     placed = store.written(shuffled(rows.select(*place), n_shards, seed), "shard-places")
     whole = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), *place)
-    out = whole.join(placed, ["file", "nth"]).select("row", "shard", "slot")
+    # one plan at every size: places follow the rows of the table, so they are never broadcast
+    out = whole.join(placed.hint("merge"), ["file", "nth"]).select("row", "shard", "slot")
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
