@@ -7,33 +7,49 @@ then a commit row. Only committed names are read, a committed batch number is no
 leaves nothing that counts, so repeating a batch is always safe.
 
 Totals are the sums of the committed deltas, a few rows per batch and group. Events and ledger meet by document in one
-shuffle; a source with most of all documents only meets in sums, which are combined before they are moved.
+shuffle; a source with most of all documents only meets in sums, which are combined before they are moved. The ledger is
+dealt to `BUCKETS` folders by document, and a batch reads only the buckets, and in their files only the range of ids, that
+its own events name.
 
-Tables below `root`: `ledger` (batch, doc_id, version, source, lang, n_tokens, present), `deltas` (batch, source, lang,
-version, docs, tokens) and `commits` (batch, name, is_snapshot). `compact` folds what is committed into one
+What counts is the order of commits, not of batch numbers: a batch that comes late is applied to what is there by then, so
+ledger and totals always agree. Of several commits of one batch (two writers at once) the first counts.
+
+Tables below `root`: `ledger` (seq, doc_id, version, source, lang, n_tokens, present, by bucket), `deltas` (seq, source,
+lang, version, docs, tokens) and `commits` (seq, batch, name, is_snapshot). `compact` folds what is committed into one
 snapshot.
 
 Defined results: of several events of a batch on one key the one with the largest `seq` counts (then delete before revise
 before insert, then the larger count); a delete or revise of what is not there does nothing; an insert of what is there
 counts as revise; a null count is 0; null ids, versions, sources and languages are values of their own; groups without
-documents are left out. Batches are numbers and are applied one after the other. Other input columns are ignored.
+documents are left out. Batches have numbers and are applied one after the other, in any order. Other input columns are
+ignored; ids are whole numbers.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkspan.llm import store
+
 INSERT, DELETE, REVISE = "insert", "delete", "revise"
 _KEY = ["doc_id", "version"]
 _GROUP = ["source", "lang", "version"]
 
-_COMMIT = "batch long, name string, is_snapshot boolean"
-_LEDGER = "batch long, doc_id long, version string, source string, lang string, n_tokens long, present boolean"
-_DELTA = "batch long, source string, lang string, version string, docs long, tokens long"
+#: Folders of the ledger. Fixed: a document's bucket must not change.
+BUCKETS = 16
+
+_COMMIT = "seq long, batch long, name string, is_snapshot boolean"
+_LEDGER = "seq long, doc_id long, version string, source string, lang string, n_tokens long, present boolean, bucket int"
+_DELTA = "seq long, source string, lang string, version string, docs long, tokens long"
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
 
 
 class Rollup:
@@ -45,35 +61,48 @@ class Rollup:
     def _path(self, kind: str, name: str) -> str:
         return f"{self.root}/{kind}/{name}"
 
-    def commits(self) -> list[tuple[int, str]]:
-        """Batch number and name of what counts: the newest snapshot and the batches behind it. One row per batch."""
+    def commits(self) -> list[tuple[int, int, str, bool]]:
+        """Sequence, batch, name and kind of all commits, one row per batch or snapshot."""
         reader = self.spark.read.schema(_COMMIT).option("recursiveFileLookup", "true")
         try:
-            rows = reader.json(f"{self.root}/commits").collect()
+            rows = sorted(tuple(r) for r in reader.json(f"{self.root}/commits").collect())
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return []  # nothing is committed yet
-        snapshots = sorted((r["batch"], r["name"]) for r in rows if r["is_snapshot"])
-        base = snapshots[-1:]
-        since = base[0][0] if base else None
-        later = sorted({(r["batch"], r["name"]) for r in rows if not r["is_snapshot"] and (since is None or r["batch"] > since)})
-        return base + later
-
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        names = [self._path(kind, name) for _, name in self.commits()]
+        first = {}
+        for row in rows:
+            first.setdefault(row[2] if row[3] else row[1], row)
+        return sorted(first.values())
+
+    @staticmethod
+    def _counting(commits) -> list[str]:
+        """Names of the newest snapshot and the batches committed behind it."""
+        base = [c for c in commits if c[3]][-1:]
+        since = base[0][0] if base else -1
+        return [name for _, _, name, _ in base] + [name for seq, _, name, snap in commits if not snap and seq > since]
+
+    def _read(self, kind: str, schema: str, commits=None) -> DataFrame:
+        names = self._counting(self.commits() if commits is None else commits)
         if not names:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*names)
-
-    def _commit(self, batch: int, name: str, is_snapshot: bool) -> None:
-        row = self.spark.createDataFrame([(batch, name, is_snapshot)], _COMMIT).coalesce(1)
-        row.write.mode("errorifexists").json(f"{self.root}/commits/{'snapshot' if is_snapshot else 'batch'}-{batch}")
-
-    def state(self) -> DataFrame:
-        """The newest ledger row of each (document, version)."""
-        row = F.struct("batch", "source", "lang", "n_tokens", "present")
-        newest = self._read("ledger", _LEDGER).groupBy(*_KEY).agg(F.max_by(row, "batch").alias("was"))
+        parts = [self.spark.read.schema(schema).parquet(self._path(kind, name)) for name in names]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _commit(self, seq: int, batch: int, name: str, is_snapshot: bool) -> None:
+        row = self.spark.createDataFrame([(seq, batch, name, is_snapshot)], _COMMIT).coalesce(1)
+        row.write.mode("errorifexists").json(f"{self.root}/commits/{name}")
+
+    def state(self, events: DataFrame | None = None) -> DataFrame:
+        """The newest ledger row of each (document, version); only buckets and ids that `events` name, if given."""
+        rows = self._read("ledger", _LEDGER)
+        if events is not None:
+            named = events.agg(F.collect_set(_bucket()).alias("buckets"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
+                               F.max(F.col("doc_id").isNull()).alias("none")).first()
+            ids = F.lit(False) if named["low"] is None else F.col("doc_id").between(named["low"], named["high"])
+            rows = rows.where(F.col("bucket").isin(named["buckets"]) & (ids | F.col("doc_id").isNull() if named["none"] else ids))
+        row = F.struct("seq", "source", "lang", "n_tokens", "present")
+        newest = rows.groupBy(*_KEY).agg(F.max_by(row, "seq").alias("was"))
         return newest.select(*_KEY, "was.*")
 
     def totals(self) -> DataFrame:
@@ -84,26 +113,30 @@ class Rollup:
     def apply(self, batch: int, events: DataFrame) -> bool:
         """Applies a batch of `doc_id, version, source, lang, n_tokens, op` (and `seq`); False if it already counts."""
         done = self.commits()
-        if any(b == batch for b, _ in done) or (done and batch < done[0][0]):
+        if any(b == batch and not snap for _, b, _, snap in done):
             return False
+        seq = 1 + max((c[0] for c in done), default=0)
         name = f"batch-{batch}-{uuid.uuid4().hex}"
-        changes = _last_events(events).join(self._old(), self._same(), "left") if done else _last_events(events)
-        self._write(batch, name, _changed(changes, bool(done)))
-        self._commit(batch, name, False)
+        last = store.written(_last_events(events), "rollup-events")
+        changes = last.join(self._old(last), self._same(), "left") if done else last
+        self._write(seq, name, _changed(changes, bool(done)))
+        self._commit(seq, batch, name, False)
         return True
 
-    def _old(self) -> DataFrame:
-        state = self.state().where("present")
+    def _old(self, events: DataFrame) -> DataFrame:
+        state = self.state(events).where("present")
         return state.select(*(F.col(c).alias(f"old_{c}") for c in (*_KEY, "source", "lang", "n_tokens")), F.lit(True).alias("old"))
 
     @staticmethod
     def _same():
         return F.col("doc_id").eqNullSafe(F.col("old_doc_id")) & F.col("version").eqNullSafe(F.col("old_version"))
 
-    def _write(self, batch: int, name: str, changed: DataFrame) -> None:
-        ledger = changed.select(F.lit(batch).cast("long").alias("batch"), *_KEY, "source", "lang", "n_tokens", "present", "old",
-                                "old_source", "old_lang", "old_n_tokens")
-        ledger.write.parquet(self._path("ledger", name))  # once: the deltas are made of what is written
+    def _write(self, seq: int, name: str, changed: DataFrame) -> None:
+        ledger = changed.select(F.lit(seq).cast("long").alias("seq"), *_KEY, "source", "lang", "n_tokens", "present", "old",
+                                "old_source", "old_lang", "old_n_tokens", _bucket().alias("bucket"))
+        # once: the deltas are made of what is written
+        ledger.repartition("bucket").sortWithinPartitions("bucket", "doc_id").write.partitionBy("bucket").parquet(
+            self._path("ledger", name))
         kept = self.spark.read.schema(ledger.schema).parquet(self._path("ledger", name))
         signed = F.array(
             F.when(F.col("old"), F.struct(
@@ -113,19 +146,21 @@ class Rollup:
         )
         rows = kept.select("version", F.explode(F.filter(signed, lambda x: x.isNotNull())).alias("x")).select("version", "x.*")
         sums = rows.groupBy(*_GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.select(F.lit(batch).cast("long").alias("batch"), *_GROUP, "docs", "tokens").write.parquet(self._path("deltas", name))
+        sums.select(F.lit(seq).cast("long").alias("seq"), *_GROUP, "docs", "tokens").write.parquet(self._path("deltas", name))
 
     def compact(self) -> None:
-        """Folds ledger and deltas of all committed batches into one snapshot with the last batch's number."""
+        """Folds ledger and deltas of all that counts into one snapshot; which batches are applied stays known."""
         done = self.commits()
-        if len(done) < 2:
+        if len(self._counting(done)) < 2:
             return
-        last, name = done[-1][0], f"snapshot-{uuid.uuid4().hex}"
-        number = F.lit(last).cast("long").alias("batch")
+        seq, name = done[-1][0] + 1, f"snapshot-{uuid.uuid4().hex}"
+        number = F.lit(done[-1][0]).cast("long").alias("seq")
         state = self.state()
-        state.select(number, *(c for c in state.columns if c != "batch")).write.parquet(self._path("ledger", name))
+        ledger = state.select(number, *(c for c in state.columns if c != "seq"), _bucket().alias("bucket"))
+        ledger.repartition("bucket").sortWithinPartitions("bucket", "doc_id").write.partitionBy("bucket").parquet(
+            self._path("ledger", name))
         self.totals().select(number, *_GROUP, "docs", "tokens").write.parquet(self._path("deltas", name))
-        self._commit(last, name, True)
+        self._commit(seq, done[-1][1], name, True)
 
 
 def _last_events(events: DataFrame) -> DataFrame:

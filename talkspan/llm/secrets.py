@@ -5,9 +5,9 @@ in a wider credential context (`pwd:`, `passphrase =`, `auth_key=` ...) is price
 segmentation into common words, dates, repeats, keyboard walks, sequences and brute-force characters, in decades of
 guesses. A value whose cheapest segmentation still costs `least_decades` is a finding of kind `guess`; placeholders such
 as `changeme123` stay. Values made of letters only are priced too; for those the words of the corpus count as common
-(`corpus_model`: the `CORPUS_WORDS` words of 4 to 32 letters that stand in the most documents, two at least, outside of
-credential contexts). So a rarer word in a context, or a chain of words that costs the limit, is a finding, and a password
-that two documents also use as a word elsewhere is none. Values shorter than `least_length` are not priced. The cost of assigned values is reported too, base findings stay whatever they cost.
+(`corpus_model`: words of 4 to 32 letters that stand in one of `COMMON_IN` documents, two at least, outside of credential
+contexts; a share, so that a larger corpus of the same kind has the same words). So a rarer word in a context, or a chain of
+words that costs the limit, is a finding, and a password that as many documents use as a word elsewhere is none. Values shorter than `least_length` are not priced. The cost of assigned values is reported too, base findings stay whatever they cost.
 
 The automaton has one state per kind of span, so the work grows with the length of a value (times the longest word), and
 texts are scanned whole. Positions are code points, ends are exclusive.
@@ -41,9 +41,12 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{%d,}" % LEAST_HEX)
 _CONTEXT = re.compile(
-    r"""(?<![a-z])(?:pass(?:word|wd|phrase|code|key)?|pwd|passwd|secret|token|credentials?|bearer"""
-    r"""|(?:api|access|auth|private|secret|client|encryption|signing)[_-]?(?:key|secret|token)|auth)"""
-    r"""["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*["']?([^\s"'<>,;()\[\]{}]+)""",
+    # a name begins behind a character other than a letter, or as the upper-case part of a camel-case name
+    r"""(?:(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:pass(?:word|wd|phrase|code|key)?|pwd|passwd|secret|token"""
+    r"""|credentials?|bearer|(?:api|access|auth|private|secret|client|encryption|signing)[_-]?(?:key|secret|token)|auth)"""
+    r"""["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*["']?(?:(?:bearer|basic)[\x20\t]+)?"""
+    r"""|(?<![a-z])authorization["']?[\x20\t]*[:=][\x20\t]*["']?(?:bearer|basic|token)[\x20\t]+"""
+    r"""|(?<![a-z])bearer[\x20\t]+(?=[^\s"'<>,;()\[\]{}]*[0-9]))([^\s"'<>,;()\[\]{}]+)""",
     _ASCII_CASE,
 )
 #: A text without any of these has no credential context.
@@ -59,7 +62,8 @@ COMMON_WORDS = (
     "money freedom whatever michael jordan daniel charlie thomas george robert ashley jessica andrew hunter "
     "killer pepper ginger cookie summer flower purple orange silver golden tiger eagle wolf cheese banana apple"
 ).split()
-CORPUS_WORDS = 20_000
+#: A word is common where it stands in one of this many documents, and in two at least.
+COMMON_IN = 1000
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 
@@ -115,12 +119,15 @@ def _ranks(words: tuple[str, ...]) -> dict[str, float]:
 
 
 def corpus_model(docs: DataFrame, text: str = "text") -> GuessModel:
-    """The model whose words for values of letters only are those of `docs`; `CORPUS_WORDS` words at most reach the driver."""
+    """The model whose words for values of letters only are those of one in `COMMON_IN` documents; so many times the words
+    of a mean document at most reach the driver, whatever the number of documents."""
     outside = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "(?i)" + _CONTEXT.pattern, " ")
     words = F.regexp_extract_all(F.lower(outside), F.lit(r"(?<!\p{L})\p{L}{4,32}(?!\p{L})"), F.lit(0))
     rows = docs.select(F.explode(F.array_distinct(words)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    found = rows.where("n > 1").orderBy(F.desc("n"), "word").limit(CORPUS_WORDS).collect()
-    return GuessModel(prose=tuple(r["word"] for r in found))
+    least = max(2, -(-docs.count() // COMMON_IN))
+    found = rows.where(F.col("n") >= least).toArrow()
+    ranked = sorted(zip(found["n"].to_pylist(), found["word"].to_pylist()), key=lambda x: (-x[0], x[1]))
+    return GuessModel(prose=tuple(word for _, word in ranked))
 
 
 def guess_cost(value: str, ranks: dict[str, float]) -> tuple[float, list[tuple[str, int, int]]]:
