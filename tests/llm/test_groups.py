@@ -189,6 +189,25 @@ def test_small_payloads_stay_responses_and_repeated_pages_stay(spark):
     assert [(r["record_type"], r["refers_to"]) for r in got if r["page_id"] == 4] == [("revisit", 3)] * 2
 
 
+def test_nothing_of_an_archive_is_dropped(spark, tmp_path):
+    def record(kind, name, *more, block="x: y\r\n"):
+        lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", *more, f"Content-Length: {len(block)}", "", block]
+        return "\r\n".join(lines) + "\r\n\r\n"
+
+    both = ("WARC-Concurrent-To: <a>", "WARC-Concurrent-To: <b>")
+    whole = record("response", "a") + record("response", "b") + record("request", "r2", *both) + record("request", "r1", both[0])
+    whole += record("metadata", "m", "WARC-Concurrent-To: <gone>") + record("request", "r3")
+    (tmp_path / "one.warc").write_text(whole, newline="")
+    rows = cp.read(spark, str(tmp_path))
+    got = {r["record_id"]: (r["request"]["record_id"], r["n_request"]) for r in cp.transactions(rows).collect()}
+    assert got == {"<a>": ("<r1>", 2), "<b>": ("<r2>", 1)}
+    assert [(r["capture_id"], r["record_id"]) for r in cp.further(rows).collect()] == [("<a>", "<r2>")]
+    assert sorted(r["record_id"] for r in cp.orphans(rows).collect()) == ["<m>", "<r3>"]
+    (tmp_path / "old.warc").write_text((record("request", "x") + record("request", "y")).replace("WARC/1.1", "WARC/1.0"), newline="")
+    with pytest.raises(Exception, match="behind the end of a record"):
+        cp.read(spark, str(tmp_path / "old.warc")).count()
+
+
 def test_broken_and_empty_archives(spark):
     path = store.fresh_path(spark, "warc")
     cp.write(spark.createDataFrame([], "page_id long, url string, html string"), path)
@@ -230,10 +249,53 @@ def test_a_batch_that_broke_off_does_not_count(spark):
     rollup = ru.Rollup(spark, store.fresh_path(spark, "rollup"))
     rows = events(spark, [(1, "a", "s", "en", 10, "insert", 0)])
     rollup._write(1, "batch-1-lost", ru._changed(ru._last_events(rows), False))
+    spark.createDataFrame([], ru._COMMIT).write.parquet(f"{rollup.root}/commits/batch-1-broke-off/_temporary")
     assert rollup.totals().count() == 0 and rollup.apply(1, rows)
     assert [r["tokens"] for r in rollup.totals().collect()] == [10]
 
 
+def test_late_batches_keep_ledger_and_totals_together(spark):
+    rollup = ru.Rollup(spark, store.fresh_path(spark, "rollup"))
+    one = lambda n, op: events(spark, [(1, "a", "s", "en", n, op, 0)])
+    tokens = lambda: [r["tokens"] for r in rollup.totals().collect()]
+    assert rollup.apply(1, one(10, "insert")) and rollup.apply(3, one(30, "revise")) and rollup.apply(2, one(20, "revise"))
+    assert tokens() == [20] and rollup.state().first()["n_tokens"] == 20
+    assert not rollup.apply(2, one(21, "revise"))
+    rollup.compact()
+    assert not rollup.apply(3, one(5, "revise")) and rollup.apply(4, one(31, "revise")) and tokens() == [31]
+    # a number below all that is committed and folded is still a batch of its own
+    assert rollup.apply(0, one(32, "revise")) and tokens() == [32] and rollup.state().first()["n_tokens"] == 32
+
+
+def test_a_batch_reads_only_the_buckets_it_names(spark):
+    rollup = ru.Rollup(spark, store.fresh_path(spark, "rollup"))
+    rollup.apply(1, events(spark, [(i, "a", "s", "en", 1, "insert", 0) for i in range(200)]))
+    some = ru._last_events(events(spark, [(7, "a", "s", "en", 0, "delete", 0)]))
+    found = rollup.state(some)
+    assert [r["doc_id"] for r in found.collect()] == [7]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "GreaterThanOrEqual(doc_id,7)" in plan
+
+
+def test_rollup_columns_with_names_of_its_own(spark):
+    rollup = ru.Rollup(spark, store.fresh_path(spark, "rollup"))
+    rows = events(spark, [(1, "a", "s", "en", 10, "insert", 0)]).selectExpr("*", "'x' AS bucket", "'x' AS old", "'x' AS present")
+    assert rollup.apply(1, rows) and rollup.apply(2, rows)
+    assert [(r["docs"], r["tokens"]) for r in rollup.totals().collect()] == [(1, 10)]
+
+
+def test_draws_from_very_many_places():
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((3, 5, 4), (10**10, 3 * 10**10, 50_000), (10**12, 10**12, 7), (5, 10**11, 50_000), (0, 10**10, 9), (10**10, 0, 9)):
+        got = np.array([sh._hypergeometric(rng, good, bad, n) for _ in range(400)])
+        mean, p = n * good / (good + bad), good / (good + bad)
+        spread = (n * p * (1 - p) * (good + bad - n) / (good + bad - 1)) ** 0.5
+        assert got.min() >= max(0, n - bad) and got.max() <= min(n, good)
+        assert abs(got.mean() - mean) <= 5 * spread / 20 + 1e-9 and abs(got.std() - spread) <= 0.2 * spread + 0.05
+    rows = sh._draw(rng, np.array([10**9, 2 * 10**9, 5]), 1000)
+    assert rows.sum() == 1000 and (rows >= 0).all()
+
+
 @pytest.mark.parametrize("n,shards", [(0, 3), (1, 3), (1000, 7), (5, 8)])
 def test_shards_have_exact_sizes(spark, n, shards):
     rows = docs(spark, ["same"] * n, "shard slot block").repartition(4)

@@ -153,6 +153,30 @@ def test_secrets_keep_the_base_and_add_costly_values(spark):
     assert [SECRETS[3][f["start"] : f["end"]] for f in last] == ["xK9#mQ2$vL", "Zr7!kPw9@uYt"]
 
 
+def test_camel_case_names_and_headers_are_contexts():
+    model = sc.GuessModel()
+    for text, value in [
+        ("dbPassword=Ab!cd$efgh9Kq2", "Ab!cd$efgh9Kq2"),
+        ("Authorization: Bearer abcdEFGH1234ijklMNOP", "abcdEFGH1234ijklMNOP"),
+        ("'authorization': 'basic Zk9qLm2xVw7t'", "Zk9qLm2xVw7t"),
+        ("curl -H bearer Zk9qLm2xVw7t", "Zk9qLm2xVw7t"),
+        ("userPassword: kqxvzjwmbtrhp!x", "kqxvzjwmbtrhp!x"),
+        ("myAuthToken => q9#Zk!mW2x", "q9#Zk!mW2x"),
+    ]:
+        found = sc.findings(text, model, model.ranks())
+        assert value in [text[f["start"] : f["end"]] for f in found if f["kind"] == "guess"], text
+        assert value not in sc.redact(text, found, "*")
+    for text in ("the bearer certificates", "compassword=Ab!cd$efgh9Kq2 of a tokenizer", "bypass: Zk9qLm2xVw7t"):
+        assert not [f for f in sc.findings(text, model, model.ranks()) if f["kind"] == "guess"], text
+
+
+def test_words_of_the_corpus_are_a_share_of_documents(spark, monkeypatch):
+    monkeypatch.setattr(sc, "COMMON_IN", 10)
+    texts = ["common words stand here"] * 4 + ["seldom words"] * 2 + ["password=seldomseen"] * 9 + ["x"] * 15
+    for times in (1, 5):
+        assert sc.corpus_model(docs(spark, texts * times)).prose == ("words", "common", "here", "stand")
+
+
 def test_values_that_go_on_behind_a_base_value_are_taken_out():
     model = sc.GuessModel()
     for text, value in [
