@@ -629,3 +629,18 @@ def all_spans(spark, sf):
 def join_spans(spark, sf):
     found = sp.span_starts(b.vector_hours(spark, sf), b.label_space(spark, sf), b.THRESHOLD)
     return found.select("sender", "topic_idx", "start_ord", "best_end")
+
+
+SPAN_HOURS = 24
+
+
+@query(
+    "span_rows",
+    f"""SELECT sender, topic_idx::BIGINT AS topic_idx, start_ord, end_ord, {fixed('p')} AS p FROM span_p
+        WHERE end_ord - start_ord < {SPAN_HOURS} AND {passes('p', b.THRESHOLD)}""",
+    SPANS,
+)
+def span_rows(spark, sf):
+    """Spans of at most a day of active hours, as rows."""
+    found = sp.span_rows(b.vector_hours(spark, sf), b.label_space(spark, sf), b.THRESHOLD, SPAN_HOURS)
+    return found.select("sender", "topic_idx", "start_ord", "end_ord", b.rounded(F.col("p")).alias("p"))

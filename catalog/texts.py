@@ -17,6 +17,7 @@ from talkspan.operators import embeddings as em
 from talkspan.operators import hours as hr
 from talkspan.operators import keyword_blocks as kb
 from talkspan.operators import keywords as kw
+from talkspan.operators import neighbours as nb
 from talkspan.operators import lda as ld
 from talkspan.operators import metrics as mt
 from talkspan.operators import scoring as sc
@@ -394,6 +395,18 @@ def vec_topk_cells(spark, sf):
     return found.withColumn("sim", b.rounded(F.col("sim")))
 
 
+@query(
+    "vec_topk_self",
+    f"""SELECT vec_id, rank, neighbour, {fixed('sim', 9)} AS sim FROM (
+        SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY floor(sim * 1e9::DOUBLE + 0.5) DESC, neighbour) AS rank
+        FROM (SELECT e.vec_id, o.vec_id AS neighbour, {cosine('e.vec', 'o.vec')} AS sim
+            FROM emb e JOIN emb o ON o.vec_id <> e.vec_id)) WHERE rank <= 5""",
+)
+def vec_topk_self(spark, sf):
+    """The five nearest other vectors of every vector."""
+    return nb.nearest_of_each(sm.vectors(spark, sf).select("vec_id", "vec"), 5).rows
+
+
 # ---- keyword modes over whole documents
 
 

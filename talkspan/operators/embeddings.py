@@ -162,16 +162,32 @@ class PandasProvider:
         self.load = load
         self.batch_size = batch_size
 
+    def encoder(self) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+        """What a task needs to work vectors out by itself: `start()` loads the model and returns the function from texts
+        to fixed-point vectors, which calls the model in batches."""
+        load, size, dim = self.load, self.batch_size, self.dim
+
+        def start() -> Callable[[list[str]], np.ndarray]:
+            encode = load()
+
+            def run(texts: list[str]) -> np.ndarray:
+                parts = [np.asarray(encode(texts[i : i + size]), dtype=np.float64) for i in range(0, len(texts), size)]
+                vecs = np.concatenate(parts) if parts else np.zeros((0, dim))
+                return np.floor(vecs * vx.SCALE + 0.5).astype(np.int64)
+
+            return run
+
+        return start
+
     def vectors(self, texts: DataFrame) -> DataFrame:
-        load, size = self.load, self.batch_size
+        start, size = self.encoder(), self.batch_size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encode = load()
+            encode = start()
             for batch in batches:
                 for at in range(0, batch.num_rows, size):
                     part = batch.slice(at, size)
-                    vecs = np.asarray(encode(part.column("text").to_pylist()), dtype=np.float64)
-                    whole = np.floor(vecs * vx.SCALE + 0.5).astype(np.int64)
+                    whole = encode(part.column("text").to_pylist())
                     yield pa.RecordBatch.from_arrays(
                         [part.column("text_hash"), pa.array(list(whole), pa.list_(pa.int64()))],
                         names=["text_hash", "vec"],

@@ -119,6 +119,42 @@ def span_starts(hours: DataFrame, space: TopicSpace, threshold: float) -> DataFr
     return _sorted_hours(hours).mapInArrow(lambda it: _per_range(it, dim, handle), START_SCHEMA)
 
 
+def span_rows(hours: DataFrame, space: TopicSpace, threshold: float, max_hours: int) -> DataFrame:
+    """The spans of at most `max_hours` active hours that pass: `sender, topic_idx, start_ord, end_ord, p`.
+
+    A band: hours are dealt to bins of `max_hours` ordinals, and each hour also to the bin before its own, so a bin holds
+    every span that begins in it. An hour is copied once, and the work and the rows grow with hours x `max_hours`.
+    """
+    if max_hours < 1:
+        raise ValueError("a span has one hour at least")
+    rows, dim, unit = space.rows, space.dim, _units(threshold)
+    own = F.floor((F.col("ord") - 1) / F.lit(max_hours)).cast("int")
+    bins = F.filter(F.array(own, own - 1), lambda x: x >= 0)
+    dealt = with_ordinal(hours.select("sender", "hour_idx", "n_msgs", "vec")).select(
+        "sender", "ord", "n_msgs", "vec", F.explode(bins).alias("start_range")
+    )
+    dealt = dealt.repartition("sender", "start_range").sortWithinPartitions("sender", "start_range", "ord")
+
+    def handle(name: str, start_range: int, vecs: np.ndarray, msgs: np.ndarray) -> pa.RecordBatch:
+        n, skip = min(len(vecs), max_hours), start_range * max_hours
+        prefix = np.vstack([np.zeros((1, dim)), np.cumsum(vecs, axis=0)])
+        found = []
+        for more in range(min(max_hours, len(vecs))):  # all spans of one length together
+            starts = np.arange(min(n, len(vecs) - more))
+            p = vx.softmax_rows(cosine_rows(prefix[starts + more + 1] - prefix[starts], rows))
+            at, topic = np.nonzero(np.floor(p * PLACES + 0.5) >= unit)
+            found.append((topic, skip + at + 1, skip + at + 1 + more, p[at, topic]))
+        topic, first, last, p = (np.concatenate(x) for x in zip(*found))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([name] * len(p), pa.string()), pa.array(topic.astype(np.int32)), pa.array(first.astype(np.int32)),
+             pa.array(last.astype(np.int32)), pa.array(p)],
+            names=["sender", "topic_idx", "start_ord", "end_ord", "p"],
+        )
+
+    schema = "sender string, topic_idx int, start_ord int, end_ord int, p double"
+    return dealt.mapInArrow(lambda it: _per_range(it, dim, handle), schema)
+
+
 def sweep_spans(hours: DataFrame, space: TopicSpace, thresholds: Sequence[float]) -> DataFrame:
     """Per threshold over all spans and topics: segments, messages, mean length, mean probability."""
     rows, dim = space.rows, space.dim

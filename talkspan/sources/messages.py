@@ -5,46 +5,20 @@ from __future__ import annotations
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talkspan.sources import csv_records
+
 REQUIRED = ("Chatroom", "Sender", "Timestamp", "Text")
 
 
 def read_csv(spark: SparkSession, path: str, bad_times: str = "fail") -> DataFrame:
     """Chat export with a header and quoted, possibly multi-line text. All columns as strings.
 
-    A file with line ends inside texts can only be read from its beginning, so each file is one task; write large
-    exports as several files, or hand a parquet or JSON table with a sequence column to `from_raw`.
+    Files are read in splits (see `csv_records`), so a large export keeps as many tasks busy as it has splits.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
-    return from_raw(numbered(raw), bad_times, "row_id")
-
-
-def numbered(raw: DataFrame) -> DataFrame:
-    """`raw`, as read from files, with `row_id` in the order of file names, then of rows in the file.
-
-    Spark packs files into tasks by size, so the order of its own numbering is not that of the files. One small job
-    finds where each file (or split of one) begins.
-    """
-    rows = raw.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_at"),
-        F.monotonically_increasing_id().alias("_nth"),
-    )
-    parts = rows.groupBy("_file", "_at").agg(F.min("_nth").alias("_first"))  # one row per file or split
-    parts = parts.withColumn("_part", F.row_number().over(W.orderBy("_file", "_at")))
-    inside = F.col("_nth") - F.col("_first")
-    row_id = F.shiftleft(F.col("_part").cast("long"), 40) + inside
-    return rows.join(parts, ["_file", "_at"]).withColumn("row_id", row_id).drop("_file", "_at", "_nth", "_first", "_part")
+    return from_raw(csv_records.numbered(csv_records.read(spark, path)), bad_times, "row_id")
 
 
 def require_columns(df: DataFrame, needed=REQUIRED) -> DataFrame:
