@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,9 +170,9 @@ _SIGNED = [_NODE, *(
 _SET = [_NODE, T.StructField("hashes", T.BinaryType()), T.StructField("times", T.BinaryType())]
 
 
-def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`doc_id, node, sketch, pieces, plain_sketch, plain_pieces` of all documents; the sketches and pieces are empty for
-    texts without words, those of the plain form also for texts without repeated shingles."""
+def signatures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """`doc_id, node, sketch, pieces, plain_sketch, plain_pieces` of all documents, and their columns `keep`; the sketches
+    and pieces are empty for texts without words, those of the plain form also for texts without repeated shingles."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
         block = ar.block_of(ar.texts_of(batch, text))
@@ -191,18 +192,7 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
             out[prefix + "pieces"] = ar.list_array(pa.array(pieces.ravel()), there * PIECES)
         return out
 
-    return ar.arrow_map(docs, kernel, _SIGNED, ["doc_id"], text)
-
-
-def with_nodes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with `node`."""
-
-    def kernel(batch: pa.RecordBatch) -> dict:
-        block = ar.block_of(ar.texts_of(batch, text))
-        words, owner, _, _ = scan_words(block)
-        return {"node": _nodes(block, words, owner, np.bincount(owner, minlength=block.n))}
-
-    return ar.arrow_map(docs, kernel, [_NODE], None, text)
+    return ar.arrow_map(docs, kernel, _SIGNED, ["doc_id", *keep], text)
 
 
 def forms(nodes: DataFrame) -> DataFrame:
@@ -539,15 +529,20 @@ def node_links(docs: DataFrame, nodes: DataFrame, text: str = "text", threshold:
     return links.unionByName(store.written(crowd_links(mixed, sets, threshold), "near-links"))
 
 
+def _signed_and_labelled(docs: DataFrame, text: str, threshold: float, keep: tuple[str, ...] = ()):
+    """The written signatures of all documents, and the component of each node that has links."""
+    signed = store.written(signatures(docs, text, keep), "near-signatures")
+    names = [f.name for f in _SIGNED if f.name != "node"]
+    nodes = signed.groupBy("node").agg(*[F.first(c).alias(c) for c in names])
+    nodes = store.written(forms(nodes), "near-nodes")
+    return signed, components(node_links(docs, nodes, text, threshold))
+
+
 def near_classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """`doc_id, node, class_id, keeper, keeper_node, n_same`, one row for each different (`doc_id`, `node`): the class,
     the document of the class that stays (the smallest id, then node), and how many rows the pair has."""
-    signed = store.written(signatures(docs, text), "near-signatures")
+    signed, labels = _signed_and_labelled(docs, text, threshold)
     rows = signed.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n_same"))
-    names = [f.name for f in _SIGNED if f.name != "node"]
-    nodes = signed.groupBy("node").agg(*[F.first(c).alias(c) for c in names])
-    nodes = store.written(forms(nodes), "near-nodes")
-    labels = components(node_links(docs, nodes, text, threshold))
     own = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     own = store.written(own, "near-rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
@@ -567,17 +562,30 @@ def with_class(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with one row of each class, all columns as they were."""
-    found = store.written(near_classes(docs, text), "near-classes")
-    same = F.col("doc_id").eqNullSafe(F.col("keeper")) & (F.col("node") == F.col("keeper_node"))
-    gone = found.where(~same | (F.col("n_same") > 1)).select("doc_id", "node")
-    twins = found.where(same & (F.col("n_same") > 1)).select("doc_id", "node")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")
-    rows = with_nodes(docs.select(whole, F.col(text).alias("text")), "text")
-    match = lambda other: F.col("row.doc_id").eqNullSafe(other["doc_id"]) & (rows["node"] == other["node"])
-    out = rows.join(gone, match(gone), "left_anti")
-    if not twins.isEmpty():  # rows that are repeated whole
-        one_each = rows.join(twins, match(twins), "left_semi").withColumn("own_id", F.col("row.doc_id"))
-        out = out.unionByName(one_each.dropDuplicates(["own_id", "node"]).drop("own_id"))
-    return out.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+def _placed(docs: DataFrame) -> DataFrame:
+    """`docs` as a table whose rows have a place (file and row in it): as it is, or written where it isn't read from files."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return store.written(docs, "near-docs")
+    return docs
+
+
+def deduplicated(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """`docs` with one row of each class, all columns as they were.
+
+    Who stays is decided on ids, nodes and places of rows; whole rows then meet the places that stay in one exchange.
+    """
+    docs = _placed(docs)
+    place = [F.col("_metadata.file_path").alias("near_file"), F.col("_metadata.row_index").alias("near_nth")]
+    names = ["near_file", "near_nth"]
+    own = docs.select("doc_id", F.col(text).alias("text"), *place)
+    signed, labels = _signed_and_labelled(own, "text", threshold, tuple(names))
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", *names)).alias("first")
+    firsts = signed.groupBy("node").agg(order).join(labels, "node", "left")
+    firsts = firsts.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
+    stay = store.written(firsts.select("first.near_file", "first.near_nth"), "near-stay")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *place)
+    # one plan at every size: what stays grows with the table, so it is never broadcast
+    out = whole.join(stay.hint("merge"), names, "left_semi")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
