@@ -23,6 +23,7 @@ from talkspan.operators import metrics as mt
 from talkspan.operators import scoring as sc
 from talkspan.operators import topics as tp
 from talkspan.operators import vocab as vo
+from talkspan.operators.checkpoints import written
 from talkspan.plans import jobs as jb
 from talkspan.sources import labels as lb
 from talkspan.sources import messages as ms
@@ -998,8 +999,10 @@ KEYWORD_THRESHOLD = 0.2
 @query("find_blocks_keyword")
 def find_blocks_keyword(spark, sf):
     """Greedy blocks in the baseline keyword mode over the sample messages."""
-    hours = hr.hour_texts(b.worded(spark, sf)).persist(StorageLevel.DISK_ONLY)  # whole texts: not in the heap
+    hours = hr.hour_texts(b.worded(spark, sf)).where("n_words > 0").persist(StorageLevel.DISK_ONLY)  # not in the heap
     model = b.text_model(spark, pm.BASELINE)
-    scored = kb.score_hours(hours, model).persist(StorageLevel.DISK_ONLY)
-    found = kb.keyword_blocks(hours, scored, model, KEYWORD_THRESHOLD)
+    counted = kw.counts(hours, hr.CELL, model.stop_words)
+    cells = written(hours.drop("text", "words"), "cells")
+    hours.unpersist()
+    found = kb.keyword_blocks(cells, None, model, KEYWORD_THRESHOLD, counted=counted)
     return found.select("sender", "topic_idx", "block_no", "start_ord", "end_ord", b.rounded(F.col("p")).alias("p"))

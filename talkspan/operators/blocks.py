@@ -234,12 +234,18 @@ def greedy_blocks(
     gate: float = 0.0,
     gate_sims: str | None = None,
     own_p: str | None = None,
+    lead: DataFrame | None = None,
+    lots: int | None = None,
 ) -> DataFrame:
     """Blocks of every (threshold, sender, topic) as BLOCK_SCHEMA.
 
     `hours` are active cells with `sender, hour_idx, n_msgs, first_ts, last_ts` and the evidence
     columns. `own_p` names an array column with probabilities already known per hour; otherwise the
     evidence scores each hour. The gate compares `gate_sims` (array column).
+
+    `lead` are rows that a task reads before the hours they belong to: both have a column `lot` (0 to `lots` - 1, all
+    hours of a sender in one), and `evidence.read` takes the lead rows, told by `word_id`, out of the batches. Every
+    lot is a partition of its own.
     """
     if gate > 0 and gate_sims is None:
         raise ValueError("a gate needs the name of its similarity column")
@@ -251,10 +257,11 @@ def greedy_blocks(
         columns.append(own_p)
     units = np.repeat([_units(t) for t in thresholds], n_topics)
     n_sets = len(thresholds)
+    read = iter if lead is None else evidence.read
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walker: _Sender | None = None
-        for batch in batches:
+        for batch in read(batches):
             if batch.num_rows == 0:
                 continue
             out = _Output()
@@ -291,6 +298,11 @@ def greedy_blocks(
             walker.finish()
             yield walker.out.batch()
 
+    if lead is not None:
+        rows = hours.select("lot", *columns).unionByName(lead, allowMissingColumns=True)
+        rows = rows.repartitionById(lots, F.col("lot"))
+        first = F.col("word_id").asc_nulls_last()
+        return rows.sortWithinPartitions("lot", first, "sender", "hour_idx").mapInArrow(run, BLOCK_SCHEMA)
     rows = hours.select(*columns).repartition("sender")
     return rows.sortWithinPartitions("sender", "hour_idx").mapInArrow(run, BLOCK_SCHEMA)
 

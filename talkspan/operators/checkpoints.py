@@ -3,19 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_BYTES = 16 << 20
 
+
+def _folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Only a local session without that setting uses a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="talkspan-")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of `df` as a table in that folder: worked out once, now, and read by column as often as needed."""
+    path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of `df` without their history, kept in the folder named by spark.checkpoint.dir: every later reader gets
     them from there, whichever executors are lost. Only a local session without that setting uses a temporary folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="talkspan-"))
+        context.setCheckpointDir(_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -1,9 +1,9 @@
 """Keyword extraction and keyword-weighted topic scores.
 
 A document is any keyed row with `text` and cleaned `words`: a message, an hour cell, a labelled
-sample. All steps are keyed by document, so one partitioning by the key serves the counts, the
-document vectors, the ranking and the scores. Vocabulary tables join on the word; adaptive execution
-broadcasts them when they measure small and splits common words when they do not.
+sample. Texts are tokenised once: their word counts are a written table, which every later step (the
+lexicon, document vectors, ranking, scores) reads by column. Vocabulary tables join on the word; adaptive
+execution broadcasts them when they measure small and splits common words when they do not.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from talkspan import params
 from talkspan.functions import text as tx
 from talkspan.functions import vectors as vx
 from talkspan.functions.stopwords import DEFAULT_STOP_WORDS
+from talkspan.operators.checkpoints import written
 from talkspan.operators.embeddings import EmbeddingProvider, word_vectors
 from talkspan.operators.topics import TopicSpace
 
@@ -53,22 +54,50 @@ def keyword_model(
 def bags(docs: DataFrame, key: Sequence[str], stop_words=None) -> DataFrame:
     """`key, word, n_tok, n_word, candidate`: counts among the tokens of the text and among the
     cleaned words. One pass over the documents."""
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    from_text = F.transform(
-        tx.tokens(F.col("text")), lambda w: F.struct(w.alias("word"), one.alias("t"), none.alias("c"))
+    both = docs.select(*key, tx.tokens(F.col("text")).alias("tokens"), "words").select(
+        *key, F.size("tokens").alias("n_tokens"), F.posexplode(F.concat("tokens", "words")).alias("pos", "word")
     )
-    from_words = F.transform(
-        F.col("words"), lambda w: F.struct(w.alias("word"), none.alias("t"), one.alias("c"))
+    from_text = (F.col("pos") < F.col("n_tokens")).cast("bigint")
+    counted = (
+        both.select(*key, "word", from_text.alias("t"))
+        .groupBy(*key, "word")
+        .agg(F.sum("t").alias("n_tok"), F.sum(F.lit(1) - F.col("t")).alias("n_word"))
     )
+    return counted.withColumn("candidate", (F.col("n_tok") > 0) & allowed(stop_words))
+
+
+def allowed(stop_words=None) -> Column:
+    """May `word` become a keyword?"""
     stop = sorted(set(DEFAULT_STOP_WORDS if stop_words is None else stop_words))
-    counted = (
-        docs.select(*key, F.explode(F.concat(from_text, from_words)).alias("x"))
-        .select(*key, "x.word", "x.t", "x.c")
+    return ~F.col("word").isin(stop) if stop else F.lit(True)
+
+
+def counts(docs: DataFrame, key: Sequence[str], stop_words=None) -> DataFrame:
+    """`bags` as a written table: everything that reads it more than once starts here."""
+    return written(bags(docs, key, stop_words), "bags")
+
+
+def map_counts(counted: DataFrame, key: Sequence[str], mapping: DataFrame, to: str, stop_words=None) -> DataFrame:
+    """`bags` after the cleaned words were replaced by `mapping` (`word`, `to`) and stop words dropped again.
+
+    What moves is one row per document and word, and no list of words is taken apart or put together. Tokens stay.
+    """
+    none = F.lit(0).cast("bigint")
+    new = mapping.where(F.col("word") != F.col(to)).select("word", F.col(to).alias("_to"))
+    joined = counted.join(new, "word", "left")
+    keep = F.struct("word", "n_tok", F.when(F.col("_to").isNull(), F.col("n_word")).otherwise(none).alias("n_word"))
+    move = F.struct(F.col("_to").alias("word"), none.alias("n_tok"), "n_word")
+    moves = F.col("_to").isNotNull() & (F.col("n_word") > 0)
+    rows = joined.select(*key, F.explode(F.when(moves, F.array(keep, move)).otherwise(F.array(keep))).alias("x"))
+    stop = sorted({"", *(DEFAULT_STOP_WORDS if stop_words is None else stop_words)})
+    counted_word = F.when(F.col("x.word").isin(stop), none).otherwise(F.col("x.n_word"))
+    again = (
+        rows.select(*key, "x.word", "x.n_tok", counted_word.alias("n_word"))
         .groupBy(*key, "word")
-        .agg(F.sum("t").alias("n_tok"), F.sum("c").alias("n_word"))
+        .agg(F.sum("n_tok").alias("n_tok"), F.sum("n_word").alias("n_word"))
+        .where("n_tok > 0 OR n_word > 0")
     )
-    eligible = (F.col("n_tok") > 0) & ~F.col("word").isin(stop) if stop else F.col("n_tok") > 0
-    return counted.withColumn("candidate", eligible)
+    return again.withColumn("candidate", (F.col("n_tok") > 0) & allowed(stop_words))
 
 
 def word_freq(docs: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -89,13 +118,16 @@ def lexicon(counted: DataFrame, provider: EmbeddingProvider) -> DataFrame:
 def _document_vectors(
     docs: DataFrame, with_vec: DataFrame, key: Sequence[str], provider: EmbeddingProvider, source: str
 ) -> DataFrame:
-    """`key, doc_vec, doc_size`. Additive providers sum word vectors; the others embed the document text."""
+    """`key, doc_vec, doc_size`. Additive providers sum word vectors (and count `n_words` on the way); the others embed
+    the document text."""
     if provider.additive:
         weight = {
             "text": F.col("n_tok"),
             "words": F.when(F.length("word") > 1, F.col("n_word")).otherwise(F.lit(0)),
         }[source]
-        sums = with_vec.groupBy(*key).agg(vx.sum_vectors(F.col("vec"), provider.dim, weight).alias("doc_vec"))
+        sums = with_vec.groupBy(*key).agg(
+            vx.sum_vectors(F.col("vec"), provider.dim, weight).alias("doc_vec"), F.sum("n_word").alias("n_words")
+        )
         return sums.withColumn("doc_size", vx.norm(F.col("doc_vec")))
     body = F.col("text") if source == "text" else F.array_join("words", " ")
     keyed = docs.select(*key, body.alias("text")).withColumn("text_hash", tx.text_key(F.col("text")))
@@ -118,14 +150,14 @@ def extract(docs: DataFrame, key: Sequence[str], model: KeywordModel, counted: D
     Candidates are ranked by cosine with the document (four places), then by word; a document keeps
     as many as it has cleaned words, and at most `top_n`.
     """
-    counted = bags(docs, key, model.stop_words) if counted is None else counted
+    counted = counts(docs, key, model.stop_words) if counted is None else counted
     with_vec = counted.join(lexicon(counted, model.extract), "word")
     doc_vec = _document_vectors(docs, with_vec, key, model.extract, "text")
-    n_words = counted.groupBy(*key).agg(F.sum("n_word").alias("n_words"))
+    if not model.extract.additive:
+        doc_vec = doc_vec.join(counted.groupBy(*key).agg(F.sum("n_word").alias("n_words")), list(key))
     candidates = (
         with_vec.where("candidate")
         .join(doc_vec, list(key))
-        .join(n_words, list(key))
         .withColumn("relevance", vx.fixed(_relevance(model.extract.dim), 4))
     )
     order = W.partitionBy(*key).orderBy(F.desc("relevance"), "word")
@@ -137,9 +169,11 @@ def extract(docs: DataFrame, key: Sequence[str], model: KeywordModel, counted: D
     )
 
 
-def weighted_keywords(docs: DataFrame, key: Sequence[str], model: KeywordModel) -> DataFrame:
+def weighted_keywords(
+    docs: DataFrame, key: Sequence[str], model: KeywordModel, counted: DataFrame | None = None
+) -> DataFrame:
     """Keywords with the relevance the mode asks for and `vec` in the comparing space."""
-    counted = bags(docs, key, model.stop_words)
+    counted = counts(docs, key, model.stop_words) if counted is None else counted
     found = extract(docs, key, model, counted)
     if model.one_space and model.relevance == "extraction":
         return found
@@ -152,7 +186,7 @@ def weighted_keywords(docs: DataFrame, key: Sequence[str], model: KeywordModel)
     return (
         found.join(doc_vec, list(key))
         .withColumn("relevance", _relevance(model.compare.dim))
-        .drop("doc_vec", "doc_size", "size")
+        .drop("doc_vec", "doc_size", "size", "n_words")
     )
 
 
@@ -174,9 +208,10 @@ def topic_scores(found: DataFrame, key: Sequence[str], space: TopicSpace) -> Dat
     )
 
 
-def score(docs: DataFrame, key: Sequence[str], model: KeywordModel) -> DataFrame:
-    """`key, p`. Documents without keywords (or without weight) are uniform over the topics."""
-    scores = topic_scores(weighted_keywords(docs, key, model), key, model.topics)
+def score(docs: DataFrame, key: Sequence[str], model: KeywordModel, counted: DataFrame | None = None) -> DataFrame:
+    """`key, p`. Documents without keywords (or without weight) are uniform over the topics. `counted` are their word
+    counts, where they are known already."""
+    scores = topic_scores(weighted_keywords(docs, key, model, counted), key, model.topics)
     even = F.array_repeat(F.lit(1.0 / model.topics.size), model.topics.size)
     return (
         docs.select(*key)

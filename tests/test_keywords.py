@@ -16,6 +16,7 @@ from talkspan.operators import hours as hr
 from talkspan.operators import keyword_blocks as kb
 from talkspan.operators import keywords as kw
 from talkspan.operators import topics as tp
+from talkspan.operators.vocab import numbered
 from talkspan.plans import jobs
 from talkspan.sources import messages as ms
 
@@ -150,6 +151,42 @@ def test_scores_and_blocks_against_brute_force(spark, chat, mode):
                 expected[(u, k)] = blocks
                 longest = max(longest, *[len(b) for b, _ in blocks])
     assert got == expected and longest > 1
+    alone = kb.keyword_blocks(hours, None, model, t, lots=3)  # scored on the way, several lots of senders
+    assert {(r.sender, r.topic_idx, r.block_no, tuple(r.hour_idxs), round(r.p, 6)) for r in alone.collect()} == {
+        (r.sender, r.topic_idx, r.block_no, tuple(r.hour_idxs), round(r.p, 6)) for r in found
+    }
+
+
+def test_words_are_numbered_without_gaps_in_order(spark):
+    words = spark.createDataFrame([("b",), ("a",), ("é",), ("b",), ("",), ("zz",)], "word string").repartition(4)
+    got = sorted((r.word_id, r.word) for r in numbered(words).collect())
+    assert got == list(enumerate(["", "a", "b", "zz", "é"]))
+    assert numbered(words.where("word = '-'")).count() == 0
+
+
+def test_spelling_and_lemmas_on_counts_give_the_words_of_the_lists(spark, chat):
+    frame, _ = chat
+    dictionary = spark.createDataFrame([(w, 10) for w in VOCABULARY if len(w) > 2], "word string, n long")
+    typos = frame.withColumn("text", F.regexp_replace("text", "travel", "travle games"))
+    inside = ms.with_hours(typos, "2024-01-01", "2024-01-02")
+    params = pm.RunParams(topics=TOPICS, threshold=0.34, mode=pm.BASELINE, spell_check=True, stop_words=("the", "game"))
+    lists = hr.hour_texts(jobs.cleaned(inside, ["row_id"], params, dictionary)).where("n_words > 0").persist()
+    cells, counted = jobs.keyword_cells(inside, params, dictionary)
+    assert {(r.sender, r.hour_idx): r.n_words for r in cells.collect()} == {
+        (r.sender, r.hour_idx): r.n_words for r in lists.collect()
+    }
+    expected = {(r.sender, r.hour_idx, w): n for r in lists.collect() for w, n in Counter(r.words).items()}
+    got = {(r.sender, r.hour_idx, r.word): r.n_word for r in counted.where("n_word > 0").collect()}
+    assert got == expected and not {"game", "games", "travle"} & {w for _, _, w in got}
+    run = jobs.analyse(typos, params, em.HashProvider(16), dictionary=dictionary)
+    model = kw.keyword_model(
+        pm.BASELINE, em.HashProvider(16), em.HashProvider(16), model_for(spark, pm.BASELINE).topics,
+        top_n=params.top_keywords, stop_words=params.stop_words,
+    )
+    plain = kb.keyword_blocks(lists, kb.score_hours(lists, model), model, params.threshold)
+    columns = ("sender", "topic_idx", "block_no", "start_ord", "end_ord")
+    assert {tuple(r) for r in run.blocks.select(*columns).collect()} == {tuple(r) for r in plain.select(*columns).collect()}
+    run.release()
 
 
 def test_no_keywords_means_uniform(spark):
