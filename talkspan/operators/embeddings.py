@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from talkspan.functions import text as tx
 from talkspan.functions import vectors as vx
+from talkspan.operators.checkpoints import written
 
 VECTOR_TYPE = "array<bigint>"
 
@@ -198,6 +199,51 @@ class PandasProvider:
         )
 
 
+class StoredProvider:
+    """A provider behind a vector table: known texts and words are looked up, only the rest goes through `provider` and
+    is then added to the table under `model`, with `at` as its time.
+
+    `model` has to name everything the vectors depend on (for Word2Vec the fit too). Texts and words are kinds of their
+    own, since the vector of a one-letter text need not be that of a word. Each call is two small writes and a lookup,
+    at once and not lazily; `asked` and `found` count the distinct keys of all calls.
+    """
+
+    def __init__(self, provider: EmbeddingProvider, table, model: str, at: str) -> None:
+        self.provider, self.table, self.model, self.at = provider, table, model, at
+        self.dim, self.additive = provider.dim, provider.additive
+        self.asked = self.found = 0
+
+    def vectors(self, texts: DataFrame) -> DataFrame:
+        known = self._answered(texts.select("text_hash", "text"), self.provider.vectors, "text")
+        return known.select("text_hash", "vec")
+
+    def lexicon(self, counts: DataFrame) -> DataFrame:
+        """`word, vec` of the distinct words of a count table."""
+        words = counts.select("word").distinct()
+        keys = words.select(tx.text_key(F.col("word")).alias("text_hash"), F.col("word").alias("text"))
+
+        def work(missing: DataFrame) -> DataFrame:
+            named = missing.select(F.col("text").alias("word"))
+            if hasattr(self.provider, "lexicon"):
+                fresh = self.provider.lexicon(named)
+            else:
+                fresh = word_vectors(named, self.provider)
+            return fresh.select(tx.text_key(F.col("word")).alias("text_hash"), "vec")
+
+        return self._answered(keys, work, "word").select(F.col("text").alias("word"), "vec")
+
+    def _answered(self, keys: DataFrame, work: Callable[[DataFrame], DataFrame], kind: str) -> DataFrame:
+        keys = written(keys.dropDuplicates(["text_hash"]), "keys")
+        known = written(self.table.lookup(keys, self.model, kind).select("text_hash", "text", "vec"), "known")
+        missing = keys.join(known, "text_hash", "left_anti")
+        fresh = written(missing.join(work(missing), "text_hash").select("text_hash", "text", "vec"), "fresh")
+        self.asked += keys.count()
+        self.found += known.count()
+        if not fresh.isEmpty():
+            self.table.append(fresh, self.model, self.at, kind)
+        return known.unionByName(fresh)
+
+
 PROVIDERS: dict[str, Callable[..., EmbeddingProvider]] = {
     "hash": HashProvider,
     "table": TableProvider,

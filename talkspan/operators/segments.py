@@ -7,12 +7,13 @@ is the scalable one: numbered parts of at most one slice of one hour each, nothi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkspan.functions import text as tx
 from talkspan.operators.blocks import BLOCK_KEY, block_hours
 from talkspan.operators.hours import CELL, _in_order, _slice
+from talkspan.operators.metrics import lines_in
 
 
 def line_slices(messages: DataFrame, null_text: str | None = None) -> DataFrame:
@@ -45,15 +46,32 @@ def transcripts(parts: DataFrame) -> DataFrame:
     ).select(*BLOCK_KEY, F.array_join("ordered.lines", "\n").alias("chat_summary"))
 
 
-def captured(blocks: DataFrame, hours: DataFrame) -> DataFrame:
+def cell_lines(messages: DataFrame, null_text: str | None = None) -> DataFrame:
+    """`sender, hour_idx, n_msgs, n_lines`: messages of a cell, and the lines they take in a transcript."""
+    text = tx.message_text(F.col("text"), null_text)
+    line = tx.transcript_line(F.col("sender"), F.col("chatroom"), F.col("ts"), text)
+    return messages.groupBy(*CELL).agg(
+        F.count(F.lit(1)).alias("n_msgs"), F.sum(lines_in(line)).cast("long").alias("n_lines")
+    )
+
+
+def captured(blocks: DataFrame, hours: DataFrame, lines: str | None = None) -> DataFrame:
     """One row: messages counted once per block, and messages counted once however many blocks hold
-    their cell. Needs the cells' `n_msgs`."""
+    their cell. Needs the cells' `n_msgs`. `lines` names a column of lines to count once per block."""
     cells = block_hours(blocks).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_blocks"))
-    joined = cells.join(hours.select(*CELL, "n_msgs"), list(CELL))
-    return joined.agg(
-        F.coalesce(F.sum(F.col("n_msgs") * F.col("n_blocks")), F.lit(0)).alias("messages_captured"),
-        F.coalesce(F.sum("n_msgs"), F.lit(0)).alias("distinct_messages_captured"),
-    )
+    own = ["n_msgs"] if lines is None else ["n_msgs", lines]
+    joined = cells.join(hours.select(*CELL, *own), list(CELL))
+
+    def total(x: Column) -> Column:
+        return F.coalesce(F.sum(x), F.lit(0))
+
+    found = [
+        total(F.col("n_msgs") * F.col("n_blocks")).alias("messages_captured"),
+        total(F.col("n_msgs")).alias("distinct_messages_captured"),
+    ]
+    if lines is not None:
+        found.append(total(F.col(lines) * F.col("n_blocks")).alias("lines_captured"))
+    return joined.agg(*found)
 
 
 def bounds(blocks: DataFrame) -> DataFrame:
