@@ -434,8 +434,15 @@ def top_keywords(spark, sf):
 
 @query(
     "join_kw_topic",
-    f"""SELECT k.word AS keyword, t.topic_idx::BIGINT AS topic_idx, {fixed(cosine('x.vec', 't.vec'))} AS similarity
-        FROM (SELECT DISTINCT word FROM keywords) k JOIN wv x USING (word) CROSS JOIN tv t""",
+    f"""SELECT word AS keyword, topic_idx::BIGINT AS topic_idx,
+        {fixed('coalesce(CASE WHEN size > 0 THEN s / size END, 0.0)')} AS similarity
+        FROM (SELECT k.word, t.topic_idx, list_dot_product(k.v, t.v) AS s, k.size * t.size AS size
+            FROM kept_words k CROSS JOIN topic_vecs t)""",
+    {
+        "kept_words": f"""SELECT word, vec::DOUBLE[] AS v, sqrt({dot('vec', 'vec')}) AS size
+            FROM (SELECT DISTINCT word FROM keywords) JOIN wv USING (word)""",
+        "topic_vecs": f"SELECT topic_idx, vec::DOUBLE[] AS v, sqrt({dot('vec', 'vec')}) AS size FROM tv",
+    },
 )
 def join_kw_topic(spark, sf):
     model = b.text_model(spark, pm.BASELINE)
@@ -701,17 +708,20 @@ def sort_labels(spark, sf):
     return mt.sorted_labels(b.label_pairs(spark, sf)).select(F.array_join("labels", ",").alias("labels"))
 
 
-@query("eval_labelled", """SELECT truth, pred, count(*) AS n FROM lang_pairs GROUP BY ALL""")
-def eval_labelled(spark, sf):
+def labelled_languages(spark, sf, provider):
     """Whole documents as labelled transcripts; the truth is the language, the topics are languages."""
     line = tx.transcript_line(F.lit("user"), F.lit("room"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.lit(""))
     rows = sm.table(spark, sf, "documents").select(
         F.col("doc_id").alias("sample_id"), F.col("lang").alias("truth"), F.concat(line, F.col("text")).alias("chat_summary")
     )
-    provider = em.HashProvider(b.HASH_DIM)
     space = tp.topic_space(b.languages(spark, sf), b.HASH_DIM)
     params = pm.RunParams(topics=space.names, use_keywords=False, lemmatize=False)
-    return jb.labelled_accuracy(rows, params, model=None, provider=provider, space=space)["confusion"]
+    return jb.labelled_accuracy(rows, params, model=None, provider=provider, space=space)
+
+
+@query("eval_labelled", """SELECT truth, pred, count(*) AS n FROM lang_pairs GROUP BY ALL""")
+def eval_labelled(spark, sf):
+    return labelled_languages(spark, sf, em.HashProvider(b.HASH_DIM))["confusion"]
 
 
 # ---- runs
@@ -839,14 +849,54 @@ def text_run(spark, sf, **changes):
     return jb.analyse(sm.messages(spark, sf), params, em.HashProvider(b.HASH_DIM), em.HashProvider(b.HASH_DIM))
 
 
-@query("evaluate")
+_TEXT_WALK = greedy([b.TEXT_THRESHOLD])
+TEXT_RUN = _TEXT_WALK | {
+    "n_docs": "SELECT count(*) AS n FROM documents",
+    "hour_long": """SELECT w.sender, w.hour_idx, x.d, sum(x.v)::BIGINT AS v
+        FROM worded w CROSS JOIN n_docs JOIN dl x ON x.doc_id = (w.row_id * 7919) % n_docs.n GROUP BY ALL""",
+    "hour_sums": f"""SELECT sender, hour_idx, list(coalesce(v, 0) ORDER BY d) AS vec FROM (
+        SELECT k.sender, k.hour_idx, g.d, x.v FROM (SELECT DISTINCT sender, hour_idx FROM worded) k
+        CROSS JOIN (SELECT unnest(range({b.HASH_DIM})) AS d) g LEFT JOIN hour_long x USING (sender, hour_idx, d))
+        GROUP BY sender, hour_idx""",
+    "hour_sims": f"""SELECT h.sender, h.ord, h.hour_idx, h.n_msgs, t.topic_idx, {cosine('h.vec', 't.vec')} AS sim
+        FROM hours h CROSS JOIN tv t""",
+    "topic_rows": f"""SELECT list(list_transform(vec, lambda x: x / sqrt({dot('vec', 'vec')})) ORDER BY topic_idx) AS rows
+        FROM tv""",
+    "run_blocks": "SELECT w.*, n.name FROM blocks w JOIN default_topics n USING (topic_idx)",
+    "cell_lines": """SELECT sender, hour_idx, count(*) AS n_cell,
+        sum(1 + length(text) - length(replace(text, chr(10), '')))::BIGINT AS n_lines FROM worded GROUP BY ALL""",
+    "run_cells": """SELECT h.sender, h.hour_idx, count(*) AS n_blocks FROM blocks w JOIN hours h
+        ON h.sender = w.sender AND h.ord BETWEEN w.start_ord AND w.end_ord GROUP BY ALL""",
+    "caught": """SELECT sum(n_cell)::BIGINT AS distinct_messages, sum(n_lines * n_blocks)::BIGINT AS lines
+        FROM run_cells JOIN cell_lines USING (sender, hour_idx)""",
+    "found_langs": "SELECT count(*) AS n, count(*) FILTER (WHERE truth = pred) AS hits FROM lang_pairs",
+}
+RUN_PRINT = "hash|None|False|None|" + ",".join(sorted(pm.DEFAULT_TOPICS)) + "|False|False|auto"
+RUN_START = {"start_date": sm.START, "end_date": sm.END}
+
+
+@query(
+    "evaluate",
+    f"""SELECT 'sample' AS run_name, '{RUN_PRINT}|languages' AS accuracy_fingerprint,
+        (SELECT count(*) FROM worded) AS total_messages, count(*) AS num_segments, {fixed('avg(p)', 3)} AS avg_probability,
+        sum(n_msgs)::BIGINT AS messages_captured, (SELECT distinct_messages FROM caught) AS distinct_messages_captured,
+        (SELECT lines FROM caught) AS lines_captured, (SELECT n FROM found_langs) AS total_samples,
+        (SELECT hits FROM found_langs) AS correct_predictions FROM run_blocks""",
+    TEXT_RUN,
+)
 def evaluate(spark, sf):
-    run = text_run(spark, sf)
-    document = jb.run_document(run, "sample", "2024-01-31T00:00:00", 1.0)
+    """A whole evaluation: the run over the messages, and accuracy on the documents labelled with their language."""
+    provider = em.HashProvider(b.HASH_DIM)
+    run = text_run(spark, sf, labelled_set="languages", **RUN_START)
+    accuracy = labelled_languages(spark, sf, provider)
+    document = jb.run_document(run, "sample", "2024-01-31T00:00:00", 1.0, accuracy)
     run.release()  # the document is a finished row
+    accuracy["pairs"].unpersist()
     return document.select(
         "run_name", "config.accuracy_fingerprint", "performance.total_messages", "quality.num_segments",
-        "quality.avg_probability",
+        vx.fixed(F.col("quality.avg_probability"), 3).alias("avg_probability"),
+        F.col("quality.total_messages_captured").alias("messages_captured"), "quality.distinct_messages_captured",
+        "quality.lines_captured", "accuracy.total_samples", "accuracy.correct_predictions",
     )
 
 
@@ -857,10 +907,14 @@ def agg_run_cost(spark, sf):
     return total.withColumn("messages_per_second", mt.throughput(F.col("total_messages"), F.lit(50.0)))
 
 
-@query("sink_eval")
+@query(
+    "sink_eval",
+    f"SELECT 'sample' AS run_name, '{RUN_PRINT}' AS fingerprint, count(*)::DOUBLE AS num_segments FROM run_blocks",
+    TEXT_RUN,
+)
 def sink_eval(spark, sf):
     base = b.scratch(spark, "eval")
-    run = text_run(spark, sf)
+    run = text_run(spark, sf, **RUN_START)
     document = jb.run_document(run, "sample", "2024-01-31T00:00:00", 1.0)
     summary, topics = mt.summary(run.segments), mt.topic_distribution(run.segments)
     sk.write_run(document, run.with_transcripts(), summary, topics, base, "sample")
@@ -885,12 +939,51 @@ def sink_summary(spark, sf):
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-@query("fn_json")
+@query(
+    "fn_json",
+    f"""SELECT run_name, json_object('run_name', run_name, 'config', json_object('accuracy_fingerprint', fingerprint),
+        'quality', json_object('num_segments', num_segments::BIGINT, 'topics_detected', topics_detected::BIGINT,
+        'avg_probability', printf('%.4f', {fixed('avg_probability', 4)})))::VARCHAR AS document FROM run_rows""",
+    RUNS,
+)
 def fn_json(spark, sf):
-    runs = runs_table(spark, sf)
+    """Run documents as JSON text, nested; whole numbers and a printed probability."""
+    shown = F.struct(
+        F.col("quality.num_segments").cast("long").alias("num_segments"),
+        F.col("quality.topics_detected").cast("long").alias("topics_detected"),
+        F.format_string("%.4f", vx.fixed(F.col("quality.avg_probability"), 4)).alias("avg_probability"),
+    )
+    runs = runs_table(spark, sf).withColumn("quality", shown)
     return runs.select("run_name", F.to_json(F.struct("run_name", "config", "quality")).alias("document"))
 
 
+@query(
+    "store_run",
+    f"""SELECT r.run, count(*) AS n_segments, {fixed('avg(p)', 4)} AS avg_p, r.run = 2 AS all_found
+        FROM run_blocks CROSS JOIN (VALUES (1::BIGINT), (2::BIGINT)) r(run) GROUP BY ALL""",
+    TEXT_RUN,
+)
+def store_run(spark, sf):
+    """Two runs with one vector table: equal segments, and the second finds every vector. Words and topics are keyed;
+    the table is compacted between them."""
+    table = vt.VectorTable(spark, b.scratch(spark, "vectors"))
+    params = pm.RunParams(threshold=b.TEXT_THRESHOLD, use_keywords=False, lemmatize=False, **RUN_START)
+    both = []
+    for run_no in (1, 2):
+        run = jb.analyse(
+            sm.messages(spark, sf), params, em.HashProvider(b.HASH_DIM),
+            store=table, stored_at=f"2024-01-0{run_no} 00:00:00",
+        )
+        found = all(x.asked == x.found for x in run.stores)
+        both.append(
+            run.segments.agg(F.count(F.lit(1)).alias("n_segments"), vx.fixed(F.avg("p"), 4).alias("avg_p")).select(
+                F.lit(run_no).cast("long").alias("run"), "n_segments", "avg_p", F.lit(found).alias("all_found")
+            )
+        )
+        table.compact()
+    return both[0].unionByName(both[1])
+
+
 # ---- rows only: fitted models and the keyword walk
 
 
@@ -1006,3 +1099,12 @@ def find_blocks_keyword(spark, sf):
     hours.unpersist()
     found = kb.keyword_blocks(cells, None, model, KEYWORD_THRESHOLD, counted=counted)
     return found.select("sender", "topic_idx", "block_no", "start_ord", "end_ord", b.rounded(F.col("p")).alias("p"))
+
+
+@query("default_run")
+def default_run(spark, sf):
+    """A whole run with the default parameters: keywords, lemmas, the default topics and threshold."""
+    run = jb.analyse(sm.messages(spark, sf), pm.RunParams(), em.HashProvider(b.HASH_DIM))
+    return run.segments.select(
+        "sender", "topic", "block_no", "start_ts", "end_ts", "n_hours", "n_msgs", b.rounded(F.col("p")).alias("p")
+    )
