@@ -199,7 +199,7 @@ FROM b32 JOIN firsts USING (digest)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.fresh_path(spark, "archives")
     captures.write(table(spark, sf_dir, "pages"), path)
-    records = store.written(captures.read(spark, path), "records")
+    records = store.written(captures.read(spark, path), "records", "zstd")
     return captures.resolved(captures.flat(captures.transactions(records)))
 
 

@@ -23,8 +23,9 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of `df` as a table in the shared folder: computed once, read again after the loss of an executor."""
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """The rows of `df` as a table in the shared folder: computed once, read again after the loss of an executor.
+    `compression` is that of the session unless one is named; tables of whole texts are smaller with zstd."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
