@@ -878,7 +878,7 @@ RUN_START = {"start_date": sm.START, "end_date": sm.END}
 @query(
     "evaluate",
     f"""SELECT 'sample' AS run_name, '{RUN_PRINT}|languages' AS accuracy_fingerprint,
-        (SELECT count(*) FROM worded) AS total_messages, count(*) AS num_segments, {fixed('avg(p)', 3)} AS avg_probability,
+        (SELECT count(*) FROM worded) AS total_messages, count(*) AS num_segments, {fixed('avg(p)', 4)} AS avg_probability,
         sum(n_msgs)::BIGINT AS messages_captured, (SELECT distinct_messages FROM caught) AS distinct_messages_captured,
         (SELECT lines FROM caught) AS lines_captured, (SELECT n FROM found_langs) AS total_samples,
         (SELECT hits FROM found_langs) AS correct_predictions FROM run_blocks""",
@@ -894,7 +894,7 @@ def evaluate(spark, sf):
     accuracy["pairs"].unpersist()
     return document.select(
         "run_name", "config.accuracy_fingerprint", "performance.total_messages", "quality.num_segments",
-        vx.fixed(F.col("quality.avg_probability"), 3).alias("avg_probability"),
+        vx.fixed(F.col("quality.avg_probability"), 4).alias("avg_probability"),
         F.col("quality.total_messages_captured").alias("messages_captured"), "quality.distinct_messages_captured",
         "quality.lines_captured", "accuracy.total_samples", "accuracy.correct_predictions",
     )

@@ -207,3 +207,9 @@ def same_accuracy_groups(runs: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n_runs"), F.array_sort(F.collect_list("run_name")).alias("run_names"))
         .where(F.col("n_runs") > 1)
     )
+
+
+def same_accuracy(runs: DataFrame) -> bool:
+    """Do all runs (two or more) carry one and the same fingerprint? Their accuracy is then the same number."""
+    row = runs.agg(F.countDistinct(F.coalesce("fingerprint", F.lit(""))).alias("n"), F.max("fingerprint").alias("any")).first()
+    return row["n"] == 1 and bool(row["any"])

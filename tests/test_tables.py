@@ -144,3 +144,8 @@ def test_runs(spark, tmp_path):
     sk.write_comparison(mt.compare_runs(runs, ["one", "two"]), ["one", "two"], str(tmp_path / "out"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert "Precision\tN/A\t0.25" in lines
+    sk.write_comparison(mt.compare_runs(runs, ["two", "one"]), ["two", "one"], str(tmp_path / "once"), runs)
+    lines = [r.value for r in spark.read.text(str(tmp_path / "once")).collect()]
+    assert "Precision\tall runs\t0.25" in lines and "Cache Hit Rate (%)\t0.00\t50.00" in lines and len(lines) == 13
+    other = runs.withColumn("fingerprint", F.when(F.col("run_name") == "one", "f"))
+    assert mt.same_accuracy(runs) and not mt.same_accuracy(other) and not mt.same_accuracy(runs.where("false"))
