@@ -15,6 +15,7 @@ from talkspan.operators import metrics as mt
 from talkspan.operators import scoring as sc
 from talkspan.operators import segments as sg
 from talkspan.operators import spans as sp
+from talkspan.operators import tiles as ti
 from talkspan.sources import labels as lb
 from talkspan.sources import messages as ms
 from talkspan.sources import sample as sm
@@ -310,7 +311,7 @@ def score_direct(spark, sf):
 @query("fn_softmax", P_ROWS)
 def fn_softmax(spark, sf):
     hours = hr.with_ordinal(b.vector_hours(spark, sf))
-    sims = sc.join_topics(hours, sm.label_topics(spark, sf), sm.N_LABELS, "sender", "ord")
+    sims = ti.similarities(hours, sm.label_topics(spark, sf), sm.N_LABELS, "sender", "ord")
     p = sc.softmax_long(sims, "sender", "ord", score="sim")
     return p.withColumn("p", b.rounded(F.col("p")))
 

@@ -21,6 +21,7 @@ from talkspan.operators import neighbours as nb
 from talkspan.operators import lda as ld
 from talkspan.operators import metrics as mt
 from talkspan.operators import scoring as sc
+from talkspan.operators import tiles as ti
 from talkspan.operators import topics as tp
 from talkspan.operators import vocab as vo
 from talkspan.operators.checkpoints import written
@@ -408,6 +409,24 @@ def vec_topk_self(spark, sf):
     return nb.nearest_of_each(sm.vectors(spark, sf).select("vec_id", "vec"), 5).rows
 
 
+@query(
+    "vec_topk_tiles",
+    f"""SELECT vec_id, rank, topic_idx, {fixed('sim', 9)} AS sim, {fixed('exp(sim) / total')} AS p FROM (
+        SELECT *, sum(exp(sim)) OVER (PARTITION BY vec_id) AS total,
+            row_number() OVER (PARTITION BY vec_id ORDER BY floor(sim * 1e9::DOUBLE + 0.5) DESC, topic_idx) AS rank
+        FROM (SELECT e.vec_id, o.vec_id AS topic_idx, {cosine('e.vec', 'o.vec')} AS sim FROM emb e CROSS JOIN emb o))
+        WHERE rank <= 5""",
+)
+def vec_topk_tiles(spark, sf):
+    """Every vector as a topic: the five nearest topics of each vector and their share of the softmax over all of them.
+    Tiles are small enough for the samples to have several."""
+    vecs = sm.vectors(spark, sf)
+    topics = vecs.select(F.col("vec_id").alias("topic_idx"), "vec")
+    numbers = vecs.agg(F.max("vec_id")).first()[0]
+    found = ti.top_topics(vecs, topics, 0 if numbers is None else numbers + 1, 5, "vec_id", in_block=512, in_tile=256)
+    return found.select("vec_id", "rank", "topic_idx", b.rounded(F.col("sim"), 9).alias("sim"), b.rounded(F.col("p")).alias("p"))
+
+
 # ---- keyword modes over whole documents
 
 
@@ -990,8 +1009,22 @@ def store_run(spark, sf):
 @query("score_lda")
 def score_lda(spark, sf):
     docs = b.docs(spark, sf)
-    counts, model = ld.fit(docs, len(pm.DEFAULT_TOPICS))
-    return b.long_rounded(ld.score(docs, b.DOC, counts, model), "doc_id")
+    numbers, model = ld.fit(docs, b.DOC, len(pm.DEFAULT_TOPICS))
+    return b.long_rounded(ld.score(docs, b.DOC, numbers, model), "doc_id")
+
+
+@query(
+    "lda_counts",
+    "SELECT doc_id, dense_rank() OVER (ORDER BY word) - 1 AS word_id, word, n::DOUBLE AS n FROM doc_words",
+)
+def lda_counts(spark, sf):
+    """The counts that the topic model sees, read off its sparse vectors, with the word of each column."""
+    docs = b.docs(spark, sf)
+    numbers = ld.numbering(docs, b.DOC)
+    rows = ld.counts(docs, b.DOC, numbers, numbers.count())
+    cells = rows.select("doc_id", F.explode(F.arrays_zip("counts.indices", "counts.values")).alias("x"))
+    cells = cells.select("doc_id", F.col("x.indices").cast("long").alias("word_id"), F.col("x.values").alias("n"))
+    return cells.join(numbers, "word_id").select("doc_id", "word_id", "word", "n")
 
 
 @query("prov_w2v")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 BATCH_BYTES = 16 << 20
 
@@ -20,11 +21,12 @@ def _folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="talkspan-")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of `df` as a table in that folder: worked out once, now, and read by column as often as needed."""
+def written(df: DataFrame, name: str, schema: T.StructType | None = None) -> DataFrame:
+    """The rows of `df` as a table in that folder: worked out once, now, and read by column as often as needed (with
+    `schema`, as those types, which must be stored alike)."""
     path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:

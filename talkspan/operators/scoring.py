@@ -1,7 +1,7 @@
 """Probability of every topic for a text.
 
 Array form (`p` has one entry per topic, in topic order) is one narrow projection per text. The long
-form and `join_topics` exist for topic lists too large for a plan constant.
+form is that of `tiles`, for topic lists too large for a plan constant.
 """
 
 from __future__ import annotations
@@ -76,15 +76,6 @@ def long_p(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode("p").alias("topic_idx", "p"))
 
 
-def join_topics(df: DataFrame, topics: DataFrame, n_topics: int, *keys: str) -> DataFrame:
-    """Cosines in long form by an equi-join on the topic index, for any number of topics."""
-    numbered = df.withColumn("topic_idx", F.explode(F.sequence(F.lit(0), F.lit(n_topics - 1))))
-    right = topics.select("topic_idx", F.col("vec").alias("topic_vec"))
-    return numbered.join(right, "topic_idx").select(
-        *keys, "topic_idx", vx.cosine(F.col("vec"), F.col("topic_vec")).alias("sim")
-    )
-
-
 def softmax_long(scores: DataFrame, *keys: str, score: str = "score") -> DataFrame:
     """Softmax over the rows of each key: `keys, topic_idx, p`."""
     per_key = W.partitionBy(*keys)

@@ -1,7 +1,7 @@
 """The topic list of a run as plan constants.
 
 Topics are a parameter of a run: a short list somebody named. Their vectors are read once, checked
-against a size bound, and then travel inside the plan. Above the bound `scoring` joins them instead.
+against a size bound, and then travel inside the plan. Above the bound `tiles` joins them instead.
 """
 
 from __future__ import annotations
@@ -36,11 +36,11 @@ class TopicSpace:
 
 
 def topic_space(topics: DataFrame, dim: int) -> TopicSpace:
-    """Reads `topic_idx, name, vec`. Refuses lists beyond the bound, which `scoring` joins instead."""
+    """Reads `topic_idx, name, vec`. Refuses lists beyond the bound, which `tiles` joins instead."""
     most = max(MAX_CONSTANT_NUMBERS // dim, 1)
     rows = topics.select("topic_idx", "name", "vec").limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"more than {most} topics of {dim} numbers: use scoring.join_topics")
+        raise ValueError(f"more than {most} topics of {dim} numbers: use tiles.similarities or tiles.top_topics")
     rows.sort(key=lambda r: r["topic_idx"])
     return TopicSpace(
         tuple(r["name"] for r in rows), vx.unit_rows([[float(x) for x in r["vec"]] for r in rows])

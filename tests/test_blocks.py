@@ -13,6 +13,7 @@ from talkspan.operators import hours as hr
 from talkspan.operators import scoring as sc
 from talkspan.operators import segments as sg
 from talkspan.operators import spans as sp
+from talkspan.operators import tiles as ti
 from talkspan.operators.topics import TopicSpace
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -214,7 +215,7 @@ def test_long_and_array_scores_agree(spark, random_hours):
         [(i, n, [int(x * 1e9) for x in v]) for i, (n, v) in enumerate(zip(space.names, space.rows))],
         "topic_idx int, name string, vec array<bigint>",
     )
-    sims = sc.join_topics(frame, topics, 4, "sender", "hour_idx")
+    sims = ti.similarities(frame, topics, 4, "sender", "hour_idx")
     long = {
         (r.sender, r.hour_idx, r.topic_idx): r.p
         for r in sc.softmax_long(sims, "sender", "hour_idx", score="sim").collect()
