@@ -16,10 +16,12 @@ from talkspan.operators import scoring as sc
 from talkspan.operators import segments as sg
 from talkspan.operators import spans as sp
 from talkspan.operators import tiles as ti
+from talkspan.operators.checkpoints import written
 from talkspan.sources import labels as lb
 from talkspan.sources import messages as ms
 from talkspan.sources import sample as sm
 from talkspan.sources import sinks as sk
+from talkspan.streaming import follow as fo
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 SQL_STAMP = "'%Y-%m-%d %H:%M:%S'"
@@ -340,6 +342,24 @@ def find_all_blocks(spark, sf):
     return block_rows(b.blocks(spark, sf))
 
 
+@query(
+    "follow_blocks",
+    BLOCK_ROWS,
+    ONE
+    | {
+        "hour_stats": """SELECT sender, hour_idx, count(*) AS n_msgs, sum(len(words))::BIGINT AS n_words,
+            min(ts) AS first_ts, max(ts) AS last_ts FROM worded
+            WHERE hour_idx < (SELECT max(hour_idx) FROM worded) GROUP BY sender, hour_idx"""
+    },
+)
+def follow_blocks(spark, sf):
+    """The messages as a stream, worked off: blocks of all hours that ended before the newest message."""
+    kept = written(b.vector_messages(spark, sf), "chat")
+    stream = spark.readStream.schema(kept.schema).parquet(*{f.rsplit("/", 1)[0] for f in kept.inputFiles()})
+    found = fo.catch_up(stream, b.label_space(spark, sf), b.THRESHOLD, b.scratch(spark, "follow"), lateness="0 seconds")
+    return block_rows(found)
+
+
 @query("find_blocks", BLOCK_ROWS, LOW)
 def find_blocks(spark, sf):
     return block_rows(b.blocks(spark, sf, [b.LOW_THRESHOLD]))
