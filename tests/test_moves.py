@@ -4,7 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from catalog import base as b
 from talkspan.operators import hours as hr
+from talkspan.operators import segments as sg
 
 T0 = dt.datetime(2024, 1, 1, 10)
 MESSAGE = "row_id long, sender string, chatroom string, ts timestamp_ntz, text string, hour_idx int"
@@ -40,3 +42,41 @@ def test_hours_take_their_words_from_the_joined_text(spark):
 def test_texts_of_hours_move_once(spark):
     rows = spark.createDataFrame(messages(spark, *CHAT).rdd, MESSAGE)
     assert exchanges(hr.hour_texts(rows).select(F.sha2("text", 256))) == 1
+
+
+BLOCKS = "level int, sender string, topic_idx int, block_no int, hour_idxs array<int>"
+
+
+def test_transcripts_are_put_together_once_per_run_of_hours(spark):
+    rows = spark.createDataFrame(messages(spark, *CHAT).rdd, MESSAGE)
+    found = spark.createDataFrame(
+        [(0, "a", 0, 1, [1, 2]), (0, "a", 1, 1, [1, 2]), (0, "a", 2, 1, [2]), (0, "b", 0, 1, [3]), (0, "c", 0, 1, [3]), (0, None, 0, 1, [1])],
+        BLOCKS,
+    )
+    parts = sg.transcripts(sg.transcript_parts(found, rows))
+    whole = sg.block_transcripts(found, rows)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+    every = sg.with_transcripts(found, rows)
+    assert every.columns == [*found.columns, "chat_summary"] and every.count() == found.count()
+    assert every.where("sender = 'c'").first()["chat_summary"] == ""
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [sender" in plan and "topic_idx" not in plan.split("Aggregate [sender")[1].split("]")[0]
+
+
+def test_slices_of_lines_meet_their_cells_where_they_are(spark):
+    rows = spark.createDataFrame(messages(spark, *CHAT).rdd, MESSAGE)
+    assert exchanges(sg.line_slices(rows).groupBy(*hr.CELL).agg(F.sum("n_lines"))) == 1
+
+
+def test_words_are_counted_per_document(spark, tmp_path):
+    texts = spark.createDataFrame([(0, "The Cat's hat"), (1, None)], "doc_id long, text string")
+    texts.write.parquet(str(tmp_path / "documents.parquet"))
+    events = spark.createDataFrame(
+        [(i, T0, i % 2, "room") for i in range(6)], "event_id long, ts timestamp_ntz, user_id long, event_type string"
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    counted = b.counted(spark, str(tmp_path))
+    words = hr.with_words(b.messages(spark, str(tmp_path))).select("row_id", F.size("words").alias("n"))
+    assert {(r.row_id, r.n_words) for r in counted.collect()} == {(r.row_id, r.n) for r in words.collect()}
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("regexp_replace")  # below the join, so once per document
