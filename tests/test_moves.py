@@ -5,8 +5,12 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from catalog import base as b
+from talkspan.functions import text as tx
+from talkspan.operators import embeddings as em
 from talkspan.operators import hours as hr
+from talkspan.operators import keywords as kw
 from talkspan.operators import segments as sg
+from talkspan.plans import jobs
 
 T0 = dt.datetime(2024, 1, 1, 10)
 MESSAGE = "row_id long, sender string, chatroom string, ts timestamp_ntz, text string, hour_idx int"
@@ -80,3 +84,46 @@ def test_words_are_counted_per_document(spark, tmp_path):
     assert {(r.row_id, r.n_words) for r in counted.collect()} == {(r.row_id, r.n) for r in words.collect()}
     plan = counted._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("regexp_replace")  # below the join, so once per document
+
+
+def test_hashed_texts_equal_the_sums_of_their_words(spark):
+    texts = ["The Cat's hat", "", "ünder 日本語の文 way_2 x", "a b c", "cat " * 500, "\U0001f600 oḱ K2"]
+    frame = spark.createDataFrame([(f"h{i}", t) for i, t in enumerate(texts)] + [(None, None)], "text_hash string, text string")
+    for dim in (16, 24):
+        provider = em.HashProvider(dim)
+        got = {r.text_hash: r.vec for r in provider.vectors(frame).collect()}
+        counts = em.token_counts(frame, "text_hash", "text")
+        want = em.sum_word_vectors(counts, provider.lexicon(counts), ["text_hash"], dim)
+        assert got == {h: [0] * dim for h in got} | {r.text_hash: r.vec for r in want.collect()}
+        assert len(got) == len(texts) + 1 and exchanges(provider.vectors(frame)) == 0
+
+
+def test_hour_vectors_take_equal_texts_apart_once(spark):
+    rows = hr.with_words(messages(spark, *CHAT, *[("c", h, "The Cat's hat") for h in range(5)]))
+    tokens = rows.withColumn("tokens", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(tx.TOKEN), F.lit(1)))
+    counted = hr.hour_word_counts(tokens, "tokens")
+
+    class Words:  # additive, and not the hash provider itself
+        additive, dim = True, 16
+        lexicon = em.HashProvider(16).lexicon
+
+    want = em.sum_word_vectors(counted, kw.lexicon(counted, Words), hr.CELL, 16)
+    want = {(r.sender, r.hour_idx): r.vec for r in want.where("sender IS NOT NULL AND hour_idx IS NOT NULL").collect()}
+    for provider in (em.HashProvider(16), Words):
+        got = {(r.sender, r.hour_idx): r.vec for r in jobs.direct_hours(rows, provider).collect()}
+        assert {k: v for k, v in got.items() if None not in k} == want
+    assert "regexp_extract_all" not in _below_join(jobs.direct_hours(rows, em.HashProvider(16)))
+
+
+def _below_join(frame):
+    """The lines of a plan that read messages and do not group them by their text first."""
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    return plan.split("MapInArrow")[0]
+
+
+def test_similar_texts_meet_by_hash(spark):
+    rows = spark.createDataFrame([(1, "Cats", "cats"), (2, None, "cats"), (3, "", "cats"), (4, "dogs", "DOGS")], "id int, left string, right string")
+    found = em.text_similarity(rows, em.HashProvider(16))
+    assert {r.id: round(r.similarity, 9) for r in found.collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 1.0}
+    plan = em.text_similarity(rows, em.HashProvider(16)).select("id", "similarity")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l#" not in plan and "hashpartitioning(lower" not in plan
