@@ -9,8 +9,12 @@ from talkspan.functions import text as tx
 from talkspan.operators import embeddings as em
 from talkspan.operators import hours as hr
 from talkspan.operators import keywords as kw
+from talkspan import params as pm
+from talkspan.operators import model_blocks as mb
+from talkspan.operators import scoring as sc
 from talkspan.operators import segments as sg
 from talkspan.plans import jobs
+from talkspan.sources import messages as ms
 
 T0 = dt.datetime(2024, 1, 1, 10)
 MESSAGE = "row_id long, sender string, chatroom string, ts timestamp_ntz, text string, hour_idx int"
@@ -127,3 +131,19 @@ def test_similar_texts_meet_by_hash(spark):
     assert {r.id: round(r.similarity, 9) for r in found.collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 1.0}
     plan = em.text_similarity(rows, em.HashProvider(16)).select("id", "similarity")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(l#" not in plan and "hashpartitioning(lower" not in plan
+
+
+def test_cells_are_scored_without_their_texts(spark):
+    from catalog.texts import LETTERS, load_letter_model
+
+    rows = spark.createDataFrame(messages(spark, *CHAT).rdd, MESSAGE).drop("hour_idx")
+    params = pm.RunParams(threshold=0.01, use_keywords=False, lemmatize=False, start_date="2024-01-01", end_date="2024-01-02")
+    provider = em.make_provider("pandas", load=load_letter_model, dim=len(LETTERS))
+    run = jobs.analyse(rows, params, provider)
+    assert "text" not in run.hours.columns and "words" not in run.hours.columns
+    whole = hr.hour_texts(ms.with_hours(rows, run.start, run.end)).where("n_words > 0")
+    hours = hr.with_ordinal(jobs._embedded(whole, provider))
+    space = run.scorer["space"]
+    want = mb.walked_blocks(hours, sc.with_direct_p(hours, space), provider, space, 0.01)
+    assert sorted(map(str, run.blocks.collect())) == sorted(map(str, want.collect())) and want.count() > 0
+    run.release()
