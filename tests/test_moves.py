@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pyarrow as pa
+
 from pyspark.sql import functions as F
 
 from catalog import base as b
@@ -11,6 +13,7 @@ from talkspan.operators import hours as hr
 from talkspan.operators import keywords as kw
 from talkspan import params as pm
 from talkspan.operators import model_blocks as mb
+from talkspan.operators import neighbours as nb
 from talkspan.operators import scoring as sc
 from talkspan.operators import segments as sg
 from talkspan.plans import jobs
@@ -147,3 +150,21 @@ def test_cells_are_scored_without_their_texts(spark):
     want = mb.walked_blocks(hours, sc.with_direct_p(hours, space), provider, space, 0.01)
     assert sorted(map(str, run.blocks.collect())) == sorted(map(str, want.collect())) and want.count() > 0
     run.release()
+
+
+def test_nodes_ask_cells_in_pieces():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["node"])
+    for n_cells in (1, 700, nb.NUMBERS_AT_ONCE * 2):
+        pieces = list(nb._pieces([batch, batch.slice(0, 0)], n_cells))
+        assert pa.Table.from_batches(pieces).column("node").to_pylist() == list(range(1000))
+        assert max(p.num_rows for p in pieces) <= max(nb.NUMBERS_AT_ONCE // n_cells, 1)
+
+
+def test_neighbours_in_pieces(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [(i * 37) % 101 - 50, (i * 61) % 89 - 40, i % 7]) for i in range(200)], "vec_id long, vec array<bigint>")
+    found = []
+    for size in (1 << 18, 40):
+        monkeypatch.setattr(nb, "NUMBERS_AT_ONCE", size)
+        near = nb.nearest_of_each(rows, 3, n_cells=8)
+        found.append((near.visits, sorted(map(str, near.rows.collect()))))
+    assert found[0] == found[1]
