@@ -79,3 +79,16 @@ def test_empty_documents(spark, docs):
     model = model_for(spark, pm.FULL_TEXT)
     assert kw.score(docs.limit(0), ["id"], model).collect() == []
     assert kw.extract(docs.where("text IS NULL"), ["id"], model).collect() == []
+
+
+def test_texts_are_hashed_where_they_are(spark, tmp_path):
+    from catalog import texts
+
+    rows = [(1, "en", "train hotel"), (1, "en", "train hotel"), (2, "de", "zug"), (3, None, None), (None, "en", "food")]
+    spark.createDataFrame(rows, "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query, want in ((texts.score_clean_cosine, [None, 1, 1, 2, 3]), (texts.score_hybrid, [1, 1, 1, 1, 2])):
+        found = query(spark, str(tmp_path))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [text_hash" not in plan
+        ids = [r.doc_id for r in found.where("topic_idx = 0").collect()]
+        assert sorted(ids, key=lambda x: (x is not None, x)) == want
