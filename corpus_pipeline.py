@@ -54,8 +54,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their token ids, and whether the ids decode to the text again."""
-    path = vocabulary()
-    both = bpe.with_text(bpe.with_ids(_packed(docs), path), path)
+    both = bpe.with_ids_and_text(_packed(docs), vocabulary())
     n_tokens = F.size("ids").cast("long")
     return _unpacked(both, docs, ids=F.col("ids"), n_tokens=n_tokens,
                      round_trip=F.col("decoded") == F.coalesce("text", F.lit("")))

@@ -48,3 +48,13 @@ def test_stages_return_the_columns_of_documents(spark, folder):
         assert out.columns == clash.columns and {r["kept"] + r["findings"] for r in out.collect()} == {"minemine"}
     for _, stage in pl.STAGES:
         assert stage(spark, rows.limit(0), path).count() == 0
+
+
+def test_tokens_are_one_pass(spark):
+    rows = docs(spark, [*EDGE, "once more"])
+    both = pl.tokens(spark, rows, None)
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    path = pl.vocabulary()
+    want = pl.bpe.with_text(pl.bpe.with_ids(rows.select("doc_id", "text"), path), path)
+    found = {r.doc_id: (r.ids, r.n_tokens, r.round_trip) for r in both.collect()}
+    assert found == {r.doc_id: (r.ids, len(r.ids), r.decoded == (r.text or "")) for r in want.collect()}
