@@ -2,7 +2,9 @@
 
 Rows are dealt to blocks by the hash of their key, topics to tiles by their number, and a task multiplies one block by
 one tile. A row is copied once per tile, not once per topic, a topic once per block. `similarities` has one row per pair;
-`top_topics` returns the k best of each row with their softmax over all topics, and moves k rows and two sums per tile.
+`top_topics` returns the k best of each row with their softmax over all topics. It moves rows and topics by the
+`ROWS_TOGETHER` and `TOPICS_TOGETHER`, multiplies those block by tile in the task, and moves k rows and two sums for each
+such piece: up to `TOPICS_TOGETHER` topics a row moves once.
 
 Keys identify rows. A vector that is null, or zero, has cosine 0 with everything; nulls inside a vector count as 0.
 Topics without a number, or with one outside 0..n_topics-1, are left out. Without rows or topics nothing is returned.
@@ -24,11 +26,18 @@ from talkspan.operators.scoring import cosine_rows, list_matrix
 PAIRS_IN_TASK = 1 << 20  # rows that one product may return
 ROWS_IN_BLOCK = 8_192
 TOPICS_IN_TILE = 4_096
+ROWS_TOGETHER = 16_384  # rows that move together, where only the best of a product are returned: several blocks
+TOPICS_TOGETHER = 32_768  # the same of topics: several tiles
+LEAST_PIECES = 16  # pieces that rows are dealt to if they have that many blocks, so that few rows keep more than one task busy
 NUMBERS_AT_ONCE = 1 << 20  # of a product in memory, where only its best are returned
 PLACES = 1e9  # cosines are compared after rounding to nine places
 OWN = ("_block", "_tile", "_topic", "_vec")
 
 
+def _rows(df: DataFrame, keys: tuple[str, ...]) -> int:
+    return df.select(*keys).count() if keys else 0
+
+
 def _products(
     df: DataFrame,
     topics: DataFrame,
@@ -39,13 +48,14 @@ def _products(
     in_tile: int,
     work: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], pa.Table],
     fields: list[T.StructField],
+    n_rows: int | None = None,
 ) -> DataFrame:
     """`work(keys, vectors, unit topics, topic numbers)` for each block and tile, topics in the order of their numbers."""
     clash = {*OWN, *(f.name for f in fields)} & set(keys)
     if not keys or clash:
         raise ValueError(f"keys must be given, and not be called {sorted(clash)}")
     n_tiles = max(-(-n_topics // in_tile), 1)
-    n_blocks = max(-(-df.select(*keys).count() // in_block), 1)
+    n_blocks = max(-(-(_rows(df, keys) if n_rows is None else n_rows) // in_block), 1)
     block = F.pmod(F.xxhash64(*keys), F.lit(n_blocks)).cast("int")
     left = df.select(
         *keys, F.col(vec).alias("_vec"), block.alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))).alias("_tile")
@@ -103,6 +113,22 @@ def _best(sims: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(order, n - k, axis=1)[:, n - k :]
 
 
+def _tile(sims: np.ndarray, numbers: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Of each row: the largest cosine, the sum of exponentials below it, the k best and their topics."""
+    most = sims.max(axis=1)
+    best = _best(sims, min(k, len(numbers)))
+    return most, np.exp(sims - most[:, None]).sum(axis=1), np.take_along_axis(sims, best, axis=1), numbers[best]
+
+
+def _joined(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """What `_tile` gives for the topics of both."""
+    most = np.maximum(one[0], two[0])
+    total = one[1] * np.exp(one[0] - most) + two[1] * np.exp(two[0] - most)
+    near, at = (np.concatenate([x, y], axis=1) for x, y in zip(one[2:], two[2:]))
+    best = np.lexsort((at, -np.floor(near * PLACES + 0.5)), axis=1)[:, :k]
+    return most, total, np.take_along_axis(near, best, axis=1), np.take_along_axis(at, best, axis=1)
+
+
 def top_topics(
     df: DataFrame,
     topics: DataFrame,
@@ -115,8 +141,9 @@ def top_topics(
 ) -> DataFrame:
     """`keys, rank, topic_idx, sim, p`: the k nearest topics of each row, and the softmax over the cosines with all topics.
 
-    Cosines are compared to nine places, equal ones by topic number. Each tile reports its k best, its largest cosine and
-    the sum of exponentials below it; the tiles of a row are put together by rescaling those sums to the largest of all.
+    Cosines are compared to nine places, equal ones by topic number. Each tile gives its k best, its largest cosine and
+    the sum of exponentials below it; the tiles of a row are put together by rescaling those sums to the largest of all,
+    first in the task that holds neighbouring tiles, then over tasks.
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
@@ -125,14 +152,15 @@ def top_topics(
         kept = min(k, len(numbers))
         most, total = np.empty(len(vecs)), np.empty(len(vecs))
         near, at = np.empty((len(vecs), kept)), np.empty((len(vecs), kept), np.int32)
-        step = max(NUMBERS_AT_ONCE // max(len(numbers), 1), 1)
+        tiles = np.flatnonzero(np.diff(numbers // in_tile)) + 1
+        edges = [0, *tiles.tolist(), len(numbers)] if len(numbers) else [0]
+        step = max(min(NUMBERS_AT_ONCE // max(np.diff(edges).max(initial=1), 1), in_block), 1)
         for i in range(0, len(vecs), step):
-            sims = cosine_rows(vecs[i : i + step], unit)
-            some = slice(i, i + len(sims))
-            most[some] = sims.max(axis=1)
-            total[some] = np.exp(sims - most[some, None]).sum(axis=1)
-            best = _best(sims, kept)
-            near[some], at[some] = np.take_along_axis(sims, best, axis=1), numbers[best]
+            some, parts = slice(i, i + step), None
+            for a, b in zip(edges, edges[1:]):
+                one = _tile(cosine_rows(vecs[some], unit[a:b]), numbers[a:b], k)
+                parts = one if parts is None else _joined(parts, one, k)
+            most[some], total[some], near[some], at[some] = parts
         offsets = pa.array(np.arange(len(vecs) + 1, dtype=np.int32) * np.int32(kept))
         out = rows
         for name, column in (("most", pa.array(most)), ("total", pa.array(total))):
@@ -146,7 +174,10 @@ def top_topics(
         T.StructField("at", T.ArrayType(T.IntegerType())),
         T.StructField("near", T.ArrayType(T.DoubleType())),
     ]
-    tiles = _products(df, topics, n_topics, keys, vec, in_block, in_tile, work, fields)
+    n_rows = _rows(df, keys)
+    rows_together = max(min(ROWS_TOGETHER, -(-n_rows // LEAST_PIECES)), in_block)
+    topics_together = max(TOPICS_TOGETHER // in_tile, 1) * in_tile
+    tiles = _products(df, topics, n_topics, keys, vec, rows_together, topics_together, work, fields, n_rows)
     pairs = F.zip_with(
         "at",
         "near",

@@ -95,6 +95,25 @@ def test_a_row_is_copied_per_tile_not_per_topic(spark):
     assert copies.value == 40 * 3
 
 
+def test_the_best_of_many_tiles_move_once_a_piece(spark, monkeypatch):
+    vecs, topics = sample(40, 23)
+    left, right = frames(spark, vecs, topics)
+    moved, products = [], ti._products
+
+    def seen(df, tops, n, keys, vec, in_block, in_tile, *rest):
+        out = products(df, tops, n, keys, vec, in_block, in_tile, *rest)
+        moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(ti, "_products", seen)
+    few = ti.top_topics(left, right, 23, 3, "id", in_block=4, in_tile=2).orderBy("id", "rank").collect()
+    monkeypatch.setattr(ti, "TOPICS_TOGETHER", 9)  # four tiles of two
+    some = ti.top_topics(left, right, 23, 3, "id", in_block=4, in_tile=2).orderBy("id", "rank").collect()
+    assert moved == [40, 40 * 3]  # not once for each of the twelve tiles
+    assert [(r.id, r.topic_idx) for r in few] == [(r.id, r.topic_idx) for r in some]
+    assert np.allclose([r.p for r in few], [r.p for r in some], rtol=1e-12)
+
+
 DOCS = [
     (1, ["cat", "dog", "cat"]),
     (2, ["dog", "bird", "cat", "bird"]),
