@@ -189,6 +189,51 @@ def test_spelling_and_lemmas_on_counts_give_the_words_of_the_lists(spark, chat):
     run.release()
 
 
+@pytest.fixture(params=[3, 10_000])
+def batch(spark, request):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(request.param))
+    yield request.param
+    spark.conf.set(name, before)
+
+
+def walked(frame, params, provider):
+    run = jobs.analyse(frame, params, em.HashProvider(16), provider)
+    rows = {
+        (r.sender, r.topic_idx, r.block_no, r.start_ord, r.end_ord, r.n_msgs, round(r.p, 9)) for r in run.blocks.collect()
+    }
+    run.release()
+    return rows
+
+
+@pytest.mark.parametrize("mode", [pm.BASELINE, pm.BAG_OF_WORDS, pm.FULL_TEXT])
+def test_words_counted_in_the_walk_give_the_blocks_of_word_tables(spark, chat, batch, mode, monkeypatch):
+    frame, _ = chat
+    plural = frame.withColumn("text", F.regexp_replace("text", "travel", "hotels foods travel été ways"))
+    odd = plural.withColumn("text", F.when(F.col("row_id") % 11 == 0, None).otherwise(F.col("text")))
+    odd = odd.withColumn("sender", F.when(F.col("sender") != "u1", F.col("sender")))  # one sender without a name
+    params = pm.RunParams(topics=TOPICS, threshold=0.34, mode=mode, stop_words=("the", "bread"))
+    with monkeypatch.context() as m:
+        m.setattr(jobs, "keyword_cells", None)  # no row per cell and word
+        m.setattr(kw, "counts", None)
+        m.setattr(kb, "_lexicon", None)
+        got = walked(odd, params, em.HashProvider(24))
+        gated = walked(odd, params.with_(prefilter=0.1, lemmatize=False), em.HashProvider(24))
+    monkeypatch.setattr(jobs.kt, "fits", lambda model: False)
+    assert got == walked(odd, params, em.HashProvider(24)) and max(e - s for _, _, _, s, e, _, _ in got) > 0
+    assert gated == walked(odd, params.with_(prefilter=0.1, lemmatize=False), em.HashProvider(24))
+
+
+def test_words_are_hashed_alike_in_tables_and_tasks(spark):
+    words = ["a", "zug", "été", "𝒳y", "a#", "2024", "banana"] * 3
+    table = {r.word: r.vec for r in em.hashed_words(spark.createDataFrame([(w,) for w in set(words)], "word string"), 24).collect()}
+    assert em._HashedWords(24).vectors(words).tolist() == [table[w] for w in words]
+    few = em._HashedWords(24)
+    few.KEPT, few.AT_ONCE = 2, 3
+    assert few.vectors(words).tolist() == [table[w] for w in words]
+
+
 def test_no_keywords_means_uniform(spark):
     docs = hr.with_words(spark.createDataFrame([(1, "the of and"), (2, "é"), (3, None)], "id long, text string"))
     found = kw.score(docs, ["id"], model_for(spark, pm.BASELINE)).collect()
