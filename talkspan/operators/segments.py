@@ -7,14 +7,23 @@ is the scalable one: numbered parts of at most one slice of one hour each, nothi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkspan.functions import text as tx
 from talkspan.operators.blocks import BLOCK_KEY, block_hours
-from talkspan.operators.hours import CELL, _in_order, _slice
+from talkspan.operators.checkpoints import BATCH_BYTES, bounded_batches
+from talkspan.operators.hours import CELL, SLICE_ROWS, _in_order, _slice
 from talkspan.operators.metrics import lines_in
 
+HOT_MESSAGES = SLICE_ROWS
+TASK_MESSAGES = 32_768
+
 
 def line_slices(messages: DataFrame, null_text: str | None = None) -> DataFrame:
     """Transcript lines per cell in slices: `sender, hour_idx, slice, lines, n_lines`.
@@ -99,17 +108,145 @@ def segments(blocks: DataFrame, names) -> DataFrame:
     )
 
 
-def _whole(blocks: DataFrame, messages: DataFrame, null_text: str | None, how: str) -> DataFrame:
-    """Adds `chat_summary` to rows with `sender` and `hour_idxs`. Rows of the same hours (a topic each) share it: it is put
-    together once, the other columns travel through the same aggregate, and the rows are worked out once."""
-    own = [c for c in blocks.columns if c not in ("sender", "hour_idxs")]
-    spans = blocks.groupBy("sender", "hour_idxs").agg(F.collect_list(F.struct(*own)).alias("own"))
-    hours = spans.select("sender", "hour_idxs", "own", F.posexplode("hour_idxs").alias("pos", "hour_idx"))
+def _by_cells(runs: DataFrame, messages: DataFrame, null_text: str | None, how: str) -> DataFrame:
+    """`sender, hour_idxs, own, chat_summary` of runs of hours. Texts move to their cells, then lines to the runs, so a
+    sender's messages are spread over tasks."""
+    hours = runs.select("sender", "hour_idxs", "own", F.posexplode("hour_idxs").alias("pos", "hour_idx"))
     rows = hours.join(line_slices(messages, null_text), list(CELL), how).groupBy("sender", "hour_idxs").agg(
         F.any_value("own").alias("own"),
         F.array_sort(F.collect_list(F.struct("pos", "slice", "lines"))).alias("ordered"),
     )
-    joined = rows.select("sender", "hour_idxs", "own", F.array_join("ordered.lines", "\n").alias("chat_summary"))
+    return rows.select("sender", "hour_idxs", "own", F.array_join("ordered.lines", "\n").alias("chat_summary"))
+
+
+class _Run:
+    """A run of hours that waits for its last one; `row` of `table` is what it came with."""
+
+    __slots__ = ("table", "row", "hours", "first", "last")
+
+    def __init__(self, table: pa.RecordBatch, row: int, hours: list) -> None:
+        self.table, self.row, self.hours = table, row, hours
+        known = [h for h in hours if h is not None]
+        self.first, self.last = (min(known), max(known)) if known else (-1, -1)
+
+
+class _Lines:
+    """The lines of a sender's cells, kept while an open run holds them."""
+
+    def __init__(self, every: bool) -> None:
+        self.every = every
+        self.open: list[_Run] = []
+        self.cells: dict[int, list | str] = {}
+        self.done: list[tuple[_Run, str]] = []
+        self.size = 0
+
+    def text(self, hour: int) -> str:
+        lines = self.cells[hour]
+        if not isinstance(lines, str):
+            self.cells[hour] = lines = "\n".join(x for x in lines if x is not None)
+        return lines
+
+    def until(self, hour: int | None) -> None:
+        """Closes the runs that end before `hour`, all of them without it."""
+        still = []
+        for run in self.open:
+            if hour is not None and run.last >= hour:
+                still.append(run)
+                continue
+            lines = [self.text(h) for h in run.hours if h in self.cells]
+            if lines or self.every:
+                self.done.append((run, "\n".join(lines)))
+                self.size += sum(map(len, lines))
+        if len(still) < len(self.open) or not still:
+            first = min((run.first for run in still), default=None)
+            self.cells = {h: x for h, x in self.cells.items() if h >= first} if still else {}
+        self.open = still
+
+    def rows(self) -> pa.RecordBatch:
+        tables = list({id(run.table): run.table for run, _ in self.done}.values())
+        starts, n = {}, 0
+        for table in tables:
+            starts[id(table)], n = n, n + table.num_rows
+        at = pa.array([starts[id(run.table)] + run.row for run, _ in self.done], pa.int64())
+        kept = pa.concat_batches(tables).take(at)
+        texts = pa.array([text for _, text in self.done], pa.string())
+        self.done, self.size = [], 0
+        return pa.RecordBatch.from_arrays([*kept.columns, texts], names=["sender", "hour_idxs", "own", "chat_summary"])
+
+
+def _by_senders(runs: DataFrame, messages: DataFrame, total: int, null_text: str | None, how: str) -> DataFrame:
+    """What `_by_cells` gives, in one pass over the messages of a sender in the order of hours: a text moves once, however
+    many runs hold it. A task keeps the lines of the runs that are open."""
+    spark = messages.sparkSession
+    said = messages.dropna(subset=list(CELL)).select(
+        "sender", F.col("hour_idx").alias("hour"), F.lit(True).alias("said"), "row_id", "chatroom", "ts", "text"
+    )
+    begun = runs.where(F.size("hour_idxs") > 0).select(
+        "sender", F.array_min("hour_idxs").alias("hour"), F.lit(False).alias("said"), "hour_idxs", "own"
+    )
+    both = said.unionByName(begun, allowMissingColumns=True)
+    n_tasks = -(-total // TASK_MESSAGES)
+    more = n_tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.repartition(n_tasks, "sender") if more else both.repartition("sender")
+    text = tx.message_text(F.col("text"), null_text)
+    line = F.when(F.col("said"), tx.transcript_line(F.col("sender"), F.col("chatroom"), F.col("ts"), text))
+    rows = dealt.select("sender", "hour", "said", "row_id", line.alias("line"), "hour_idxs", "own")
+    rows = rows.sortWithinPartitions("sender", "hour", "said", "row_id", "line")
+    every = how == "left"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, sender, hour = _Lines(every), None, None
+        for batch in batches:
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            senders, hours, said = (column[c].to_pylist() for c in ("sender", "hour", "said"))
+            table = pa.RecordBatch.from_arrays([column[c] for c in ("sender", "hour_idxs", "own")], names=["sender", "hour_idxs", "own"])
+            table = table.filter(pc.invert(column["said"]))
+            own, lines, n = table.column(1).to_pylist(), column["line"], 0
+            for i, at in enumerate(hours):
+                if senders[i] != sender:
+                    found.until(None)
+                    sender, hour = senders[i], at
+                elif at != hour:
+                    found.until(at)
+                    hour = at
+                if not said[i]:
+                    found.open.append(_Run(table, n, own[n]))
+                    n += 1
+                elif found.open:
+                    found.cells.setdefault(at, []).append(lines[i].as_py())
+                if found.size > BATCH_BYTES:
+                    yield found.rows()
+            if found.done:
+                yield found.rows()
+        found.until(None)
+        if found.done:
+            yield found.rows()
+
+    bounded_batches(spark)
+    kinds = {f.name: f for f in runs.schema.fields}
+    schema = T.StructType([kinds[c] for c in ("sender", "hour_idxs", "own")]).add("chat_summary", T.StringType())
+    return rows.mapInArrow(run, schema)
+
+
+def _whole(blocks: DataFrame, messages: DataFrame, null_text: str | None, how: str) -> DataFrame:
+    """Adds `chat_summary` to rows with `sender` and `hour_idxs`. Rows of the same hours (a topic each) share it: it is put
+    together once, the other columns travel along, and the rows are worked out once.
+
+    Senders of more than `HOT_MESSAGES` messages are spread by cells, the others read one by one; messages are counted
+    for that, now."""
+    own = [c for c in blocks.columns if c not in ("sender", "hour_idxs")]
+    runs = blocks.groupBy("sender", "hour_idxs").agg(F.collect_list(F.struct(*own)).alias("own"))
+    counts = messages.groupBy("sender").agg(F.count(F.lit(1)).alias("n"))
+    many = F.col("sender").isNotNull() & (F.col("n") > HOT_MESSAGES)
+    told = counts.agg(F.sum("n").alias("total"), F.collect_list(F.when(many, F.col("sender"))).alias("hot")).first()
+    total, hot = told["total"] or 0, told["hot"]  # a name per HOT_MESSAGES messages at most
+    if hot:
+        busy = F.coalesce(F.col("sender").isin(hot), F.lit(False))
+        joined = _by_senders(runs.where(~busy), messages.where(~busy), total, null_text, how).unionByName(
+            _by_cells(runs.where(busy), messages.where(busy), null_text, how)
+        )
+    else:
+        joined = _by_senders(runs, messages, total, null_text, how)
     return joined.select("sender", "hour_idxs", "chat_summary", F.explode("own").alias("own")).select(
         "sender", "hour_idxs", "own.*", "chat_summary"
     ).select(*blocks.columns, "chat_summary")

@@ -74,6 +74,43 @@ def test_transcripts_are_put_together_once_per_run_of_hours(spark):
     assert "Aggregate [sender" in plan and "topic_idx" not in plan.split("Aggregate [sender")[1].split("]")[0]
 
 
+def spread_chat(spark):
+    """Three senders, cells without messages, equal row ids, a missing text, and blocks that overlap and share hours."""
+    said = [("abc"[i % 3], i * 7 % 12, None if i == 9 else f"t{i} \u00fc\n{i % 4}") for i in range(60)]
+    rows = messages(spark, *said, ("a", 4, "z"), ("a", 4, "y"), (None, 1, "nobody"), ("b", None, "never"))
+    rows = rows.withColumn("row_id", F.when(F.col("row_id") > 58, 58).otherwise(F.col("row_id")))
+    hours = ([0, 1, 2, 3, 4], [2], [3, 4, 5], [2, 9, 11], [4, 5], [11], [2], [40])
+    found = [(0, s, t, 1, h) for s in ("a", "b", "c", "d", None) for t, h in enumerate(hours)] + [(0, "a", 9, 1, [])]
+    return rows, spark.createDataFrame(found, BLOCKS)
+
+
+def test_transcripts_of_a_sender_are_read_in_one_pass(spark, monkeypatch):
+    rows, found = spread_chat(spark)
+    for how, whole in (("inner", lambda: sg.block_transcripts(found, rows)), ("left", lambda: sg.with_transcripts(found, rows))):
+        runs = found.groupBy("sender", "hour_idxs").agg(F.collect_list("topic_idx").alias("own"))
+        cells = sg._by_cells(runs, rows, None, how).select("sender", "hour_idxs", "chat_summary", F.explode("own").alias("topic_idx"))
+        want = sorted((str(r.sender), r.topic_idx, r.chat_summary) for r in cells.collect())
+        for hot, size, batch in ((1 << 16, 20, 3), (20, 1 << 24, 10_000), (0, 1 << 24, 7)):
+            monkeypatch.setattr(sg, "HOT_MESSAGES", hot)
+            monkeypatch.setattr(sg, "BATCH_BYTES", size)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            try:
+                got = sorted((str(r.sender), r.topic_idx, r.chat_summary) for r in whole().collect())
+            finally:
+                spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            assert got == want
+
+
+def test_texts_of_transcripts_move_once(spark):
+    rows, found = spread_chat(spark)
+    for frame in (sg.block_transcripts(found, rows), sg.with_transcripts(found, rows)):
+        plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        # the messages with their blocks; below that only blocks move
+        walk = plan[plan.index("MapInArrow"):]
+        assert "Exchange" not in plan[: plan.index("MapInArrow")]
+        assert walk.count("Exchange hashpartitioning") == 2 and walk.index("Exchange") < walk.index("Union")
+
+
 def test_slices_of_lines_meet_their_cells_where_they_are(spark):
     rows = spark.createDataFrame(messages(spark, *CHAT).rdd, MESSAGE)
     assert exchanges(sg.line_slices(rows).groupBy(*hr.CELL).agg(F.sum("n_lines"))) == 1
