@@ -105,9 +105,9 @@ def test_texts_of_transcripts_move_once(spark):
     rows, found = spread_chat(spark)
     for frame in (sg.block_transcripts(found, rows), sg.with_transcripts(found, rows)):
         plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
-        # the messages with their blocks; below that only blocks move
-        walk = plan[plan.index("MapInArrow"):]
-        assert "Exchange" not in plan[: plan.index("MapInArrow")]
+        # the messages with their blocks; below that only blocks move, and nothing is sorted anew
+        above, walk = plan.split("FlatMapGroupsInArrow", 1)
+        assert "Exchange" not in above and walk.count("Sort [") == 1
         assert walk.count("Exchange hashpartitioning") == 2 and walk.index("Exchange") < walk.index("Union")
 
 

@@ -149,3 +149,19 @@ def test_runs(spark, tmp_path):
     assert "Precision\tall runs\t0.25" in lines and "Cache Hit Rate (%)\t0.00\t50.00" in lines and len(lines) == 13
     other = runs.withColumn("fingerprint", F.when(F.col("run_name") == "one", "f"))
     assert mt.same_accuracy(runs) and not mt.same_accuracy(other) and not mt.same_accuracy(runs.where("false"))
+
+
+def test_segments_are_written_small_and_read_alike(spark, tmp_path):
+    rows = [
+        ("u", t, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), 86400, 0.5, "News", f'a "quoted", line\nand another {t % 2}\n' * 400) for t in range(8)
+    ]
+    kinds = "sender string, block_no int, start_ts timestamp_ntz, end_ts timestamp_ntz, duration_s long, p double, topic string, chat_summary string"
+    segs = spark.createDataFrame(rows, kinds).coalesce(1)
+    found, sizes = [], []
+    for how in ("none", "gzip"):
+        path = str(tmp_path / how)
+        sk.write_segments_csv(segs, path, how)
+        back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        found.append(sorted(map(tuple, back.collect())))
+        sizes.append(sum(f.stat().st_size for f in (tmp_path / how).glob("part-*")))
+    assert found[0] == found[1] and len(found[0]) == 8 and sizes[1] * 10 < sizes[0]
