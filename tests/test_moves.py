@@ -182,6 +182,40 @@ def test_cells_are_scored_without_their_texts(spark):
     run.release()
 
 
+def test_texts_of_cells_move_once_and_again_only_in_chains(spark, monkeypatch):
+    """Blocks of a model: what is kept are numbers, and the walk asks for the texts of the cells it puts together."""
+    from catalog.texts import LETTERS, load_letter_model
+
+    said = [("a", 1, "zzz"), ("a", 2, "zzz"), ("a", 4, "Politics"), ("b", 1, "zzz"), ("b", 7, "Sports tomorrow")]
+    rows = spark.createDataFrame(messages(spark, *CHAT, *said).rdd, MESSAGE).drop("hour_idx")
+    provider = em.make_provider("pandas", load=load_letter_model, dim=len(LETTERS))
+    asked, walked_blocks = [], mb.walked_blocks
+
+    def spied(hours, scored, provider, space, threshold, gate, texts):
+        def some(cells):
+            asked.append((cells.count(), hours.count()))
+            return texts(cells)
+
+        return walked_blocks(hours, scored, provider, space, threshold, gate, some)
+
+    monkeypatch.setattr(mb, "walked_blocks", spied)
+    for threshold in (0.01, 0.06, 0.08):
+        params = pm.RunParams(threshold=threshold, use_keywords=False, lemmatize=False, start_date="2024-01-01", end_date="2024-01-02")
+        run = jobs.analyse(rows, params, provider)
+        assert not any("text" in frame.columns for frame in run.kept)
+        whole = hr.hour_texts(ms.with_hours(rows, run.start, run.end)).where("n_words > 0")
+        hours = hr.with_ordinal(jobs._embedded(whole, provider))
+        space = run.scorer["space"]
+        want = walked_blocks(hours, sc.with_direct_p(hours, space), provider, space, threshold)
+        assert sorted(map(str, run.blocks.collect())) == sorted(map(str, want.collect()))
+        run.release()
+    assert asked[0][0] > asked[-1][0] and all(some <= every for some, every in asked)
+    texts = spark.createDataFrame([("cat",), ("",), (None,), ("cat",)], "text string").coalesce(1)
+    assert [r.vec for r in texts.select(provider.column(F.col("text")).alias("vec")).collect()][2] is None
+    plan = texts.select(provider.column(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_nodes_ask_cells_in_pieces():
     batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["node"])
     for n_cells in (1, 700, nb.NUMBERS_AT_ONCE * 2):
