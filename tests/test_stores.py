@@ -126,3 +126,27 @@ def test_an_evaluation_holds_accuracy_and_captured_lines(spark):
     assert row.performance.execution_time_seconds == 4.0 and row.performance.messages_per_second == 6.0
     assert row.quality.lines_captured == sum(s.chat_summary.count("\n") + 1 for s in segs) > row.quality.total_messages_captured
     assert row.quality.distinct_messages_captured <= row.quality.total_messages_captured == sum(s.n_msgs for s in segs)
+
+
+def test_stored_rows_leave_no_shuffle_files(spark, tmp_path):
+    from talkspan.operators import checkpoints as cp
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    frame = spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s"))
+
+    def shuffles():
+        return tracker.shuffleStatuses().size()
+
+    want, before = sorted(map(tuple, frame.collect())), shuffles()
+    kept = cp.written(frame, "small")
+    table = vt.VectorTable(spark, str(tmp_path / "vectors"))
+    table.append(frame.select(F.col("k").cast("string").alias("text"), F.array("s").alias("vec")), "m", "2024-01-01 00:00:00")
+    assert shuffles() <= before and spark.conf.get(name, "false") == "false"
+    assert sorted(map(tuple, kept.collect())) == want and table.load("m").count() == 7
+    with cp.freed_shuffles(spark):  # a frame that is run twice works its shuffles out anew
+        twice = frame.where("k < 5")
+        assert len(twice.collect()) == len(twice.collect()) == 5
+    with pytest.raises(ZeroDivisionError), cp.freed_shuffles(spark):
+        1 / 0
+    assert spark.conf.get(name, "false") == "false"
